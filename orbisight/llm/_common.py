@@ -59,5 +59,13 @@ def small_batches(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.Record
         yield batch.slice(at, rows)
 
 
+def by_slices(column: pa.Array, make: Callable[[list], list]) -> list:
+    """What ``make`` gives for the values of a column, a thousand at a time, so that few Python strings exist at once."""
+    out: list = []
+    for at in range(0, len(column), 1000):
+        out += make(column.slice(at, 1000).to_pylist())
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import alnum_words, rows_by_arrow, small_batches
+from ._common import alnum_words, by_slices, rows_by_arrow, small_batches
 
 Window = tuple[int, list[bytes], str]
 _STATE = "doc_id long, text string, marks binary, items array<string>"
@@ -133,12 +133,12 @@ def find_contamination(
 def _clean(held: Broadcast):  # noqa: ANN202
     @arrow_udf("boolean")
     def clean(column: pa.Array) -> pa.Array:
-        out = []
-        for t in column.to_pylist():
-            words, found = alnum_words(t), set()
+        def free(text: str) -> bool:
+            words, found = alnum_words(text), set()
             mark(words, held.value, bytearray(len(words)), found)
-            out.append(not found)
-        return pa.array(out, pa.bool_())
+            return not found
+
+        return pa.array(by_slices(column, lambda part: [free(t) for t in part]), pa.bool_())
 
     return clean
 

@@ -19,10 +19,11 @@ import sys
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from ._common import rows_by_arrow
+from ._common import by_slices, rows_by_arrow
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -136,8 +137,8 @@ def redacted(text: Column) -> Column:
     """A column with the secrets of a text column replaced; null stays null."""
     model = trained()
 
-    @pandas_udf("string")
-    def run(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: None if t is None else redact(t, model))
+    @arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(by_slices(texts, lambda part: [redact(t, model) for t in part]), pa.string())
 
     return run(text)

@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from ._common import blank_words, rows_by_arrow, settle
+from ._common import blank_words, by_slices, rows_by_arrow, settle
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -192,9 +192,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     narrow = settle(fingerprints(docs, doc_id, text, words))
     grouped = groups(narrow, radius).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
 
-    @pandas_udf("long")
-    def mark(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: signed(fingerprint(t, words))).astype("int64")
+    @arrow_udf("long")
+    def mark(texts: pa.Array) -> pa.Array:
+        return pa.array(by_slices(texts, lambda part: [signed(fingerprint(t, words)) for t in part]), pa.int64())
 
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     kept = docs.select(row.alias("row"), F.col(f"`{doc_id}`").cast("long").alias("__id"), mark(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__fp")).join(grouped, "__fp")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from ._common import settle, utf8
+from ._common import by_slices, settle, utf8
 
 #: Sources up to this number are joined by broadcast; more are joined by shuffle with the hot ones salted.
 BROADCAST_SOURCES = 100_000
@@ -31,7 +31,7 @@ BROADCAST_SOURCES = 100_000
 @arrow_udf(LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text; null has none."""
-    return pa.array([len(utf8(t).split()) for t in texts.to_pylist()], pa.int64())
+    return pa.array(by_slices(texts, lambda part: [len(utf8(t).split()) for t in part]), pa.int64())
 
 
 def _key(source: str) -> Column:

@@ -20,9 +20,11 @@ import re
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ._common import _WORDS, rows_by_arrow, utf8
+from ._common import _WORDS, by_slices, rows_by_arrow, utf8
 
 #: Fixed lists: the second person in the languages of the corpus, and the signs that stand for letters.
 SECOND_PERSON = frozenset(w.encode() for w in "you your yours yourself youre ya u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros tus".split())
@@ -219,12 +221,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def keep_civil(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose score is below the threshold, columns as they were."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def rated(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(model.score(np.array([measure(t, model.lexicon) for t in texts], float).reshape(len(texts), len(NAMES))))
+    @arrow_udf("double")
+    def rated(texts: pa.Array) -> pa.Array:
+        some = lambda part: model.score(np.array([measure(t, model.lexicon) for t in part], float).reshape(len(part), len(NAMES))).tolist()
+        return pa.array(by_slices(texts, some), pa.float64())
 
     return docs.where(rated(F.coalesce(F.col(text).cast("string"), F.lit(""))) < threshold)
