@@ -49,6 +49,7 @@ def rows_by_arrow(df: DataFrame, schema: str, make: Callable[..., dict]) -> Data
             for part in small_batches(batch):
                 made = make(**{name: part.column(k).to_pylist() for k, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+            pa.default_memory_pool().release_unused()  # a reused worker would hold the largest batch it ever read
 
     return df.mapInArrow(run, schema)
 
@@ -64,6 +65,7 @@ def by_slices(column: pa.Array, make: Callable[[list], list]) -> list:
     out: list = []
     for at in range(0, len(column), 1000):
         out += make(column.slice(at, 1000).to_pylist())
+    pa.default_memory_pool().release_unused()
     return out
 
 
