@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import area, gather, graph
+from .plans import area, fusion, gather, graph
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     found: dict = {}
-    for module in (area, gather, graph):
+    for module in (area, fusion, gather, graph):
         found |= module.QUERIES
     return found

@@ -78,15 +78,26 @@ def range_metrics(df: DataFrame, predicted: Column, true: Column, weight: Column
     )
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """The lower weighted median: first value whose running weight reaches half of the group's."""
+def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, share: float, name: str = "weighted_quantile") -> DataFrame:
+    """The lower weighted quantile: first value whose running weight reaches the share of the group's."""
     run = Window.partitionBy(*keys).orderBy(value)
     return (
         df.groupBy(*keys, value).agg(F.sum(weight).alias("w")).withColumn("upto", F.sum("w").over(run)).withColumn("total", F.sum("w").over(Window.partitionBy(*keys)))
-        .where(F.col("upto") >= F.col("total") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
+        .where(F.col("upto") >= F.col("total") * share).groupBy(*keys).agg(F.min(value).alias(name))
     )
 
 
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """The weighted quantile at one half."""
+    return weighted_quantile(df, keys, value, weight, 0.5, "weighted_median")
+
+
+def majority_and_envelope(df: DataFrame, cell: str, view: Column, mask: Column) -> DataFrame:
+    """(cell, majority, envelope) of three masks: set in two of them at least, and set in any."""
+    by_mask = df.groupBy(cell, view.alias("_view")).agg(F.bool_or(mask).alias("_set"))
+    return by_mask.groupBy(cell).agg((F.count_if("_set") >= 2).alias("majority"), F.bool_or("_set").alias("envelope"))
+
+
 def voxel_blend(df: DataFrame, size: float, weight: str = "w", axes: tuple[str, ...] = ("x", "y", "z"), carried: tuple[str, ...] = ()) -> DataFrame:
     """Weighted mean position (and carried values) in each voxel; cells of hardly any weight go."""
     key = [F.floor(F.col(a) / size).cast("long").alias(f"k{a}") for a in axes]
