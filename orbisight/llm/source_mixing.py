@@ -17,21 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
 
-from ._common import by_slices, settle, utf8
+from ._common import settle
 
 #: Sources up to this number are joined by broadcast; more are joined by shuffle with the hot ones salted.
 BROADCAST_SOURCES = 100_000
 
 
-@arrow_udf(LongType())
-def word_count(texts: pa.Array) -> pa.Array:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; null has none."""
-    return pa.array(by_slices(texts, lambda part: [len(utf8(t).split()) for t in part]), pa.int64())
+def word_count(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text, null has none: each becomes one letter, then the blanks go; no list is made."""
+    letters = F.translate(F.regexp_replace(text, r"[^\x20\x09-\x0D]++", "w"), " \t\n\x0b\f\r", "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def _key(source: str) -> Column:
@@ -48,9 +45,16 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def ranked(sources: DataFrame) -> DataFrame:
-    """(k, rank) by code point, null last; a sort by ranges and an index on top of it, never all in one task."""
-    rows = sources.orderBy(F.col("source").asc_nulls_last()).select("k").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return sources.sparkSession.createDataFrame(rows, "k string, rank long")
+    """(k, rank) by code point, null last; a sort by ranges, and each range's rows counted before it, never all in one task.
+
+    One count for each range is added up in one task; there are as many as shuffle partitions, at most.
+    """
+    at = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    placed = settle(sources.orderBy(F.col("source").asc_nulls_last()).select("k", at.alias("at")))
+    part = F.shiftright("at", 33).alias("part")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("ahead"))
+    return placed.select("k", part, "at").join(ahead, "part").select("k", (F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
 
 
 def water_fill(sources: DataFrame, most_epochs: float = 3.0) -> DataFrame:
@@ -98,7 +102,7 @@ def plan(sizes: DataFrame, weights: Sequence[float], most_epochs: float = 3.0) -
 
 def _sized(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.select("doc_id", _key("source").alias("k"), "source", word_count(F.coalesce("text", F.lit(""))).alias("size"), _order(seed, "doc_id", "text").alias("u"))
+    return rows.select("doc_id", _key("source").alias("k"), "source", word_count(F.col("text")).alias("size"), _order(seed, "doc_id", "text").alias("u"))
 
 
 def mix(

@@ -318,3 +318,15 @@ def test_boosting_and_calibration():
     assert np.mean((trees.margin(x[1500:]) > 0) == (y[1500:] > 0.5)) > 0.85
     at, chance = toxicity.isotonic(trees.margin(x[1500:]), y[1500:])
     assert (np.diff(at) > 0).all() and (np.diff(chance) >= 0).all()
+
+
+def test_words_are_counted_and_sources_ranked(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a b\tc", None, "", " ", "é x \U0001f600 y", "\x0b\x0c\r\n", "$1 \\ a", "w " * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", source_mixing.word_count(F.col("t")).alias("n")).collect()
+    assert {r.k: r.n for r in rows} == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
+    names = [None, "", "￿", "\U0001f600", *(f"s{k}" for k in range(300))]
+    sources = spark.createDataFrame([("n" if s is None else f"v{s}", s) for s in names], "k string, source string")
+    order = sorted((s for s in names if s is not None), key=lambda s: s.encode())
+    assert {r["k"]: r["rank"] for r in source_mixing.ranked(sources).collect()} == {f"v{s}": k for k, s in enumerate(order)} | {"n": len(order)}
