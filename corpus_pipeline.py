@@ -12,23 +12,39 @@ from orbisight.llm import decontamination, secret_scans, simhash, source_mixing,
 from orbisight.llm._common import table
 
 
+#: Arrow batches of the stages hold this much text, unless the session says otherwise: rows wait in memory for each batch.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Set the size of Arrow batches where the session leaves it open."""
+    told = spark.conf.getAll
+    for key, value in BATCH.items():
+        if key not in told:
+            spark.conf.set(key, value)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    bounded(spark)
     return toxicity.keep_civil(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    bounded(spark)
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    bounded(spark)
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; n_chars follows."""
+    bounded(spark)
     return docs.withColumn("text", secret_scans.redacted(F.col("text"))).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
