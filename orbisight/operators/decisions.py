@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def exclusive_claims(claims: DataFrame, cell: Sequence[str], segment: str, quality: str) -> DataFrame:
@@ -54,3 +54,38 @@ def unmatched_priors(priors: DataFrame, tracks: DataFrame, on: Sequence[str], by
     """Of every ``by``: priors that some track observes, and those that none does; tracks are made distinct before the join."""
     seen = tracks.select(*on).distinct().withColumn("_seen", F.lit(True))
     return priors.join(seen, list(on), "left").groupBy(by).agg(F.count("_seen").alias("matched"), F.count_if(F.col("_seen").isNull()).alias("unmatched"))
+
+
+def proposal_origins(proposals: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(id, origin) of rows (id, parent, source): ``cam`` or ``coverage`` by the root of the parent chain, else ``unresolved``.
+
+    Only rows of source ``frontier`` point on; a missing parent leaves the chain unresolved and a cycle is an error.  Each
+    round doubles what every pointer skips, so the rounds grow with the logarithm of the longest chain; ids are unique.
+    """
+    from .regions import checkpointed
+
+    open_end = F.col("source") == "frontier"
+    root = F.when(F.col("source") == "semantic", "cam").when(~open_end, "coverage")
+    state = checkpointed(proposals.select("id", F.when(open_end & F.col("parent").isNotNull(), F.col("parent")).alias("at"), F.when(open_end & F.col("parent").isNull(), "unresolved").otherwise(root).alias("origin")))
+    for _ in range(most_rounds):
+        if state.where("origin is null").isEmpty():
+            return state.select("id", "origin")
+        done = state.where("origin is not null").select("id", "origin")
+        nodes = state.select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("origin").alias("found"), F.lit(True).alias("known"))
+        moved = state.where("origin is null").join(nodes, "at", "left")
+        moved = moved.select("id", F.col("further").alias("at"), F.when(F.col("known").isNull(), "unresolved").otherwise(F.col("found")).alias("origin"))
+        state = checkpointed(moved.unionByName(done.select("id", F.lit(None).cast(moved.schema["at"].dataType).alias("at"), "origin")))
+    raise ValueError("the parents of proposals form a cycle")
+
+
+def stereo_view_pairs(pairs: DataFrame, least_score: float = 0.2, least_overlap: float = 0.05, most: int | None = 3) -> DataFrame:
+    """Scored pairs of views, at most ``most`` of each reference: by score, then source.
+
+    Reads reference, source, support_a, support_b, overlap, share (of matches) and residual (median epipolar, null: none).
+    """
+    parts = 0.60 * F.col("overlap") + 0.25 * F.least(F.lit(1.0), 8 * F.col("share")) + 0.15 * F.coalesce(F.exp(-F.col("residual") / 0.01), F.lit(0.0))
+    kept = pairs.withColumn("score", F.sqrt(F.col("support_a") * F.col("support_b")) * parts).where((F.col("score") >= least_score) & (F.col("overlap") >= least_overlap))
+    if most is None:
+        return kept
+    place = F.row_number().over(Window.partitionBy("reference").orderBy(F.desc("score"), "source"))
+    return kept.withColumn("place", place).where(F.col("place") <= most)

@@ -35,3 +35,11 @@ def test_priors_without_tracks_are_counted(spark):
     priors = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, panorama string")
     tracks = spark.createDataFrame([(1,), (1,)], "k int")
     assert sorted(map(tuple, D.unmatched_priors(priors, tracks, ["k"], "panorama").collect())) == [("a", 1, 1), ("b", 0, 1)]
+
+
+def test_origins_follow_long_chains_and_refuse_cycles(spark):
+    chain = [(k, k - 1, "frontier") for k in range(1, 41)] + [(0, None, "semantic"), (50, None, "frontier"), (51, 99, "frontier"), (60, 7, "exhaustive"), (61, 60, "frontier")]
+    got = {r.id: r.origin for r in D.proposal_origins(spark.createDataFrame(chain, "id long, parent long, source string")).collect()}
+    assert got == {**dict.fromkeys(range(41), "cam"), 50: "unresolved", 51: "unresolved", 60: "coverage", 61: "coverage"}
+    with pytest.raises(ValueError, match="cycle"):
+        D.proposal_origins(spark.createDataFrame([(1, 2, "frontier"), (2, 1, "frontier")], "id long, parent long, source string"), most_rounds=4)
