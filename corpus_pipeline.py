@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orbisight.llm import decontamination, secret_scans, simhash, source_mixing, toxicity
+from orbisight.llm import decontamination, near_copies, secret_scans, source_mixing, toxicity
 from orbisight.llm._common import table
 
 
@@ -31,9 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, linked by five-word shingles at similarity 0.8."""
     bounded(spark)
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
