@@ -1,12 +1,12 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary: every word's hash in ``2**word_bits`` classes, and every pair of neighbours in
-``2**pair_bits``.  The background model counts all documents, the target model all documents that a label marks as
-wanted.  A token's loss under a model is -ln of its interpolated probability, and a document's score is the mean over
-its tokens of background loss less target loss: high means like the target.
+Two bigram models share one vocabulary, all words of the corpus.  The background model counts all documents, the target
+model all documents that a label marks as wanted.  A token's loss under a model is -ln of its interpolated probability,
+and a document's score is the mean over its tokens of background loss less target loss: high means like the target.
 
-Counting runs over the whole corpus: each task sends its own counts and they are added up by key, so what is gathered
-grows with the input, while the model itself has a size fixed by the two parameters and can be broadcast.
+Words are kept apart by 64-bit codes, pairs by the codes of both words.  Counts are tables with a row for each word and
+each pair, so they grow with the input; tokens meet their pair's losses in a join, and nothing is broadcast or gathered
+in the driver but totals.
 
 Edge cases: null and empty texts have no tokens and score null; repeated rows are counted and scored each; a document
 with several labels is wanted if one says so; without wanted documents the target model is uniform; empty tables work;
@@ -16,20 +16,20 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import alnum_words, rows_by_arrow, small_batches
+from ._common import alnum_words, settle, small_batches
 
 _SEEN: dict[bytes, int] = {}
 _START = 0x9E3779B1
 
 
 def word_codes(text: str | None) -> np.ndarray:
-    """A 32-bit code for each word."""
+    """A 64-bit code for each word."""
     words = alnum_words(text)
     if len(_SEEN) > 500_000:
         _SEEN.clear()
@@ -37,7 +37,7 @@ def word_codes(text: str | None) -> np.ndarray:
     for k, w in enumerate(words):
         code = _SEEN.get(w)
         if code is None:
-            code = _SEEN[w] = crc32(w)
+            code = _SEEN[w] = xxhash.xxh64_intdigest(w)
         out[k] = code
     return out
 
@@ -52,7 +52,7 @@ def tokens(text: str | None, word_bits: int, pair_bits: int) -> tuple[np.ndarray
 
 
 def count(docs: DataFrame, word_bits: int, pair_bits: int) -> dict[str, np.ndarray]:
-    """words, contexts and pairs: how often each class occurs in all texts of a one-column frame."""
+    """words, contexts and pairs: how often each hashed class occurs in all texts of a one-column frame; a summary of fixed size."""
     sizes = (1 << word_bits, 1 << word_bits, 1 << pair_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,39 +79,56 @@ def count(docs: DataFrame, word_bits: int, pair_bits: int) -> dict[str, np.ndarr
     return dict(zip(("words", "contexts", "pairs"), out, strict=True))
 
 
-def log_model(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """What a lookup needs, as 32-bit floats: smoothed word probabilities and plain counts."""
-    words = counts["words"].astype(float)
-    return {"words": ((words + 1) / (words.sum() + len(words))).astype(np.float32), "contexts": counts["contexts"].astype(np.float32), "pairs": counts["pairs"].astype(np.float32)}
+def postings(texts: DataFrame) -> DataFrame:
+    """key, before, word and n: how often each pair of neighbours occurs in each row of (key, text)."""
 
-
-def losses(model: dict[str, np.ndarray], word: np.ndarray, before: np.ndarray, pair: np.ndarray, strength: float) -> np.ndarray:
-    """-ln p of each token: pair counts with ``strength`` tokens' worth of the word model mixed in."""
-    p = (model["pairs"][pair].astype(float) + strength * model["words"][word]) / (np.maximum(model["contexts"][before], model["pairs"][pair]).astype(float) + strength)
-    return -np.log(p)
-
-
-def cross_entropy_difference(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", word_bits: int = 17, pair_bits: int = 20, strength: float = 8.0
-) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch, 200):
+                keys, pairs, n = [], [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    codes = word_codes(text)
+                    if not len(codes):
+                        continue
+                    both = np.empty(len(codes), [("before", np.uint64), ("word", np.uint64)])
+                    both["before"][0], both["before"][1:], both["word"] = _START, codes[:-1], codes
+                    order = np.lexsort((both["word"], both["before"]))
+                    both = both[order]
+                    new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                    keys.append(np.full(len(new), key, np.int64))
+                    pairs.append(both[new])
+                    n.append(np.diff(np.append(new, len(both))))
+                if keys:
+                    both = np.concatenate(pairs)
+                    longs = [np.concatenate(keys), both["before"].copy().view(np.int64), both["word"].copy().view(np.int64), np.concatenate(n).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in longs], ["key", "before", "word", "n"])
+            pa.default_memory_pool().release_unused()
+
+    return texts.mapInArrow(run, "key long, before long, word long, n long")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", strength: float = 8.0) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     wanted = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("y")).where("y = 1").select("doc_id").distinct()
-    background = log_model(count(rows.select("text"), word_bits, pair_bits))
-    labelled = rows.join(wanted.hint("merge"), "doc_id", "left_semi")  # labels grow with the corpus: the same plan at every size, nothing broadcast
-    target = log_model(count(labelled.select("text"), word_bits, pair_bits))
-    held = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    def make(doc_id: list, text: list) -> dict:
-        out: dict[str, list] = {"doc_id": doc_id, "n_tokens": [], "target_loss": [], "background_loss": [], "score": []}
-        for t in text:
-            made = tokens(t, word_bits, pair_bits)
-            n = len(made[0])
-            a, b = (float(losses(m, *made, strength).mean()) if n else None for m in held.value)
-            out["n_tokens"].append(n)
-            out["target_loss"].append(a)
-            out["background_loss"].append(b)
-            out["score"].append(b - a if n else None)
-        return out
-
-    return rows_by_arrow(rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double", make)
+    labelled = settle(rows.join(wanted.hint("merge"), "doc_id", "left_semi").select("key", "text"))  # labels grow with the corpus: the same plan at every size, nothing broadcast
+    told = postings(rows.select("key", "text"))  # equal texts share a key and have equal means
+    zero = F.lit(0).cast("long")
+    both = told.select("before", "word", F.col("n").alias("b"), zero.alias("t")).unionByName(postings(labelled).select("before", "word", zero.alias("b"), F.col("n").alias("t")))
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+
+    sides = F.explode(F.array(F.struct(F.col("word").alias("code"), "b", "t", zero.alias("cb"), zero.alias("ct")), F.struct(F.col("before").alias("code"), zero.alias("b"), zero.alias("t"), F.col("b").alias("cb"), F.col("t").alias("ct"))))
+    single = settle(both.select(sides.alias("x")).select("x.*").groupBy("code").agg(*sums("b", "t", "cb", "ct")))
+    total = single.where("b > 0").agg(F.coalesce(F.sum("b"), zero).alias("b"), F.coalesce(F.sum("t"), zero).alias("t"), F.count(F.lit(1)).alias("v")).first()
+    chance = lambda c: (F.col(c) + 1) / F.lit(float(max(1, total[c] + total["v"])))
+    words = single.select(F.col("code").alias("word"), chance("b").alias("wb"), chance("t").alias("wt"))
+    contexts = single.select(F.col("code").alias("before"), "cb", "ct")
+
+    pairs = both.groupBy("before", "word").agg(*sums("b", "t")).join(words, "word").join(contexts, "before")
+    loss = lambda c: -F.log((F.col(c) + strength * F.col(f"w{c}")) / (F.col(f"c{c}") + strength))
+    priced = pairs.select("before", "word", loss("b").alias("lb"), loss("t").alias("lt"))
+    scored = told.join(priced, ["before", "word"]).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("lb")).alias("lb"), F.sum(F.col("n") * F.col("lt")).alias("lt"))
+    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    means = scored.join(copies, "key").select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("lt") / F.col("n")).alias("target_loss"), (F.col("lb") / F.col("n")).alias("background_loss"))
+    found = rows.select("doc_id", "key").join(means, "key", "left")
+    return found.select("doc_id", F.coalesce("n_tokens", zero).alias("n_tokens"), "target_loss", "background_loss", (F.col("background_loss") - F.col("target_loss")).alias("score"))
