@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that reveal what they protect.
 
-Everything runs as DataFrame and SQL functions.  Pattern matches are the protected entities.  From the words within
-``reach`` code points of each match, corpus co-occurrence estimates how much a term tells about an entity e: the
-pointwise mutual information PMI(e; t) = ln(n(e, t) N / (n(e) n(t))), set against all there is to tell, the information
-content ln(N / n(e)).  n counts documents over the whole corpus.  A term whose ratio reaches ``threshold`` discloses the
-entity as well as its own name would; it is a span wherever it stands near that entity.  Only terms seen with an entity
-in at least ``support`` different surroundings are judged, so copies of one text prove nothing.
+Everything runs as DataFrame and SQL functions.  Pattern matches are the protected entities.  From all words of the
+documents that hold an entity e, corpus co-occurrence estimates how much a term tells about it: the pointwise mutual
+information PMI(e; t) = ln(n(e, t) N / (n(e) (n(t) + ``smoothing``))), set against all there is to tell, the information
+content ln(N / n(e)).  n counts distinct texts over the whole corpus, so copies of one text prove nothing.  A term whose
+ratio reaches ``threshold`` discloses the entity as well as its own name would; it is a span throughout every document
+that holds the entity.  Every entity is judged, also one that occurs once; the smoothing is what low counts cost.
 
 The patterns are possessive and anchored to the end of the last match or the start of a run, which finds the same
 matches as the plain ones and takes time in proportion to the text.  Positions come from the lengths of what lies
@@ -17,7 +17,7 @@ empty tables give empty results; other columns are ignored.  Positions are code
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._common import settle
 
@@ -77,43 +77,39 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def _surroundings(text: Column, spans: Column, reach: int) -> Column:
-    """For each span its entity, a hash of what stands around it and the terms there with their positions."""
+def _words(held: DataFrame) -> DataFrame:
+    """uid, term, start and end of every term in (uid, text); positions are running sums over what lies between."""
+    steps = F.arrays_zip(F.split("text", _TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)).alias("match"))
+    each = held.select("uid", F.posexplode(steps).alias("at", "x")).select("uid", "at", "x.*")
+    size = F.length("match")
+    end = F.sum(F.length("gap") + F.coalesce(size, F.lit(0))).over(Window.partitionBy("uid").orderBy("at"))
+    return each.select("uid", F.lower("match").alias("term"), (end - size).cast("int").alias("start"), end.cast("int").alias("end")).where("term is not null")
 
-    def around(span: Column) -> Column:
-        lo = F.greatest(span["start"] - reach, F.lit(0))
-        before = F.substring(text, lo + 1, span["start"] - lo)
-        after = F.substring(text, span["end"] + 1, F.lit(reach))
-        terms = lambda part, shift: F.transform(located(part, _TERM, "term"), lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + shift).alias("start"), (t["end"] + shift).alias("end")))
-        left = F.filter(terms(before, lo), lambda t: (t["start"] > lo) | (lo == 0))  # words cut at the rim are left out
-        right = F.filter(terms(after, span["end"]), lambda t: (t["end"] < span["end"] + reach))
-        return F.struct(F.concat(span["kind"], F.lit(":"), F.lower(span["value"])).alias("entity"), F.xxhash64(before, after).alias("around"), F.concat(left, right).alias("terms"))
 
-    return F.transform(spans, around)
-
-
-def find_personal_data(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 60, support: int = 3, threshold: float = 0.9
-) -> DataFrame:
+def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, threshold: float = 0.9) -> DataFrame:
     """doc_id and spans (kind, start, end, value) of every row: base spans by kind and start, then disclosing terms."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    seen = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    near = F.when(F.size("spans") > 0, _surroundings(F.col("text"), F.col("spans"), reach))
-    marks = settle(seen.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "spans", near.alias("near")))
-
-    entities = marks.where(F.size("spans") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.*")
-    known = entities.groupBy("entity").agg(F.countDistinct("around").alias("seen"), F.countDistinct("uid").alias("n_e")).where(F.col("seen") >= support)
-    told = entities.join(known.select("entity", "n_e"), "entity").select("entity", "n_e", "uid", "around", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    pairs = settle(told.groupBy("entity", "n_e", "term").agg(F.countDistinct("uid").alias("n_et"), F.countDistinct("around").alias("seen")).where(F.col("seen") >= support))
-    if pairs.isEmpty():
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    seen = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("spans"))
+    marks = settle(seen.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
+
+    total = float(marks.select("key").distinct().count())
+    held = marks.where(F.size("spans") > 0)
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    entities = held.select("uid", "key", F.explode(names).alias("entity"))
+    known = entities.groupBy("entity").agg(F.countDistinct("key").alias("n_e"))
+    entities = settle(entities.join(known, "entity").where(F.col("n_e") < total))
+    if entities.isEmpty():
         return marks.select("doc_id", "spans")
-    total = marks.count()
-    words = rows.where("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    information = F.log(F.lit(float(total)) / F.col("n_e"))
-    shared = F.log(F.least("n_et", "n_t") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    disclosing = pairs.join(counts, "term").where((information > 0) & (shared >= threshold * information)).select("entity", "term")
-    found = entities.select("uid", "entity", F.explode("terms").alias("t")).select("uid", "entity", "t.*").join(disclosing, ["entity", "term"])
+    split = F.explode(F.filter(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower)), lambda t: t != "")).alias("term")
+    texts = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"))
+    counts = texts.select(split).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # ratio >= threshold if n_et / (n_t + smoothing) >= (n_e / N) ** (1 - threshold); as n_et <= n_t, n_e, frequent terms can't reach it
+    bar = (F.col("n_t") + smoothing) * F.pow(F.col("n_e") / total, F.lit(1 - threshold)) - 1e-9
+    most = held.select("uid", split).join(counts, "term")
+    told = settle(entities.join(most, "uid").where(F.least("n_e", "n_t") >= bar))
+    disclosing = told.groupBy("entity", "term", "n_e", "n_t").agg(F.countDistinct("key").alias("n_et")).where(F.col("n_et") >= bar).select("entity", "term")
+    wanted = told.select("uid", "entity", "term").join(disclosing, ["entity", "term"]).select("uid", "term").distinct()
+    found = _words(held.select("uid", "text")).join(wanted, ["uid", "term"])
     added = found.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("more"))
     free = F.filter("more", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return marks.join(added, "uid", "left").select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", free)).alias("spans"))
