@@ -7,16 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a temporary one only where none is set."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbisight-checkpoint-"))
-    return df.checkpoint(eager=True)
+from ..sources.lineage import checkpointed
 
 
 def measure(cells: DataFrame, height: int, width: int, label: str = "label") -> DataFrame:
@@ -72,6 +63,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("components did not settle")
     roots = ties.groupBy("a").agg(F.min("b").alias("root"))
     return nodes.select("node").join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("root", "node").alias("root"))
 

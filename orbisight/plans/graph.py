@@ -137,12 +137,13 @@ def _frames(df: DataFrame) -> DataFrame:
 def keyframes_stream(spark, d: str) -> DataFrame:
     """The stateful tracker over the events as a stream that ends; its rows by state."""
     import os
-    import tempfile
     import uuid
 
+    from ..sources.lineage import shared_folder
+
     schema = read(spark, d, "events").schema
     name = f"keyframes_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbisight-stream-")
+    shared = shared_folder(spark)
     stream = K.track(_frames(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")), 600.0, 7200.0, 50.0)
     out = os.path.join(shared, name, "rows")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(shared, name, "state")).trigger(availableNow=True).start().awaitTermination()
