@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.lineage import checkpointed
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Keeps 0-9, a-z and every byte of a non-ASCII character, folds A-Z, blanks the rest.
 _WORDS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).translate(_FOLD)
@@ -30,11 +31,22 @@ def blank_words(text: str | None) -> list[bytes]:
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbisight-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
+
+
+def by_place(docs: DataFrame) -> DataFrame:
+    """The same columns named c0, c1, ... by place, so that names that clash, in case too, are never looked up."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """The name that ``by_place`` gives to a column: the one spelled so, else the only one that differs in case."""
+    if name in docs.columns:
+        return f"c{docs.columns.index(name)}"
+    like = [k for k, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    if len(like) != 1:
+        raise ValueError(f"no column {name}")
+    return f"c{like[0]}"
 
 
 def rows_by_arrow(df: DataFrame, schema: str, make: Callable[..., dict]) -> DataFrame:
