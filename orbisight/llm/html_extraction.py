@@ -14,19 +14,19 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from bisect import bisect_right
+from collections.abc import Generator, Iterable
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import rows_by_arrow
+from ._common import by_place, place, rows_by_arrow
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile("[\"'>]")
+_NAMES = re.compile(r"(?:class|id|role|aria-label)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 RAW = {"script", "style", "textarea", "title", "template", "iframe", "noscript", "noembed", "svg", "math", "object", "canvas", "select"}
@@ -55,78 +55,141 @@ class Node:
         self.children: list[int] = []
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The nodes, parents first, and the runs of text (node, text); a run with node -1 parts two blocks."""
-    nodes, runs = [Node("#root", -1)], []
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the node that owns their text
-    at, links = 0, 0
-
-    def say(raw: str) -> None:
-        text = _html.unescape(raw) if "&" in raw else raw
-        k = stack[-1][1]
-        n = len(text.strip())
-        runs.append((k, text))
-        nodes[k].own += n
-        if links:
-            nodes[k].link += n
-
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
+def tokens(page: str) -> Generator[tuple[str, str, bool, str], str | None, None]:
+    """Text (text, "", False, "") and tags ("", name, closing, attributes) in page order, in time linear in the page.
+
+    A tag ends at the first ``>`` outside of quotes; where a quote never closes, at the first one of all.  After a script and
+    its like, the caller sends the name, and everything up to the closing tag is skipped.
+    """
+    at, said, size, last = 0, 0, len(page), page.rfind(">")
+    unclosed: dict[str, int] = {}  # from where on a quote has no partner
+    lost = -1  # tags that begin before this are known to reach a quote that never closes
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last and not page.startswith("<!--", at):
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            continue
-        tag, ends, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag not in INLINE:
-            runs.append((-1, ""))
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
+        start, name, closing, attributes = at, "", False, ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), at):
+            at = page.find(">", at) + 1
+        else:
+            closing = page.startswith("/", at + 1)
+            found = _NAME.match(page, at + 1 + closing)
+            if found is None:
+                at += 1
+                continue
+            name, here = found[0].lower(), found.end()
+            end = -1
+            while start >= lost:
+                stop = _STOP.search(page, here)
+                if stop is None:
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
+                if stop[0] == ">":
+                    end = stop.start()
                     break
-            continue
-        if tag in VOID:
-            continue
-        if tag in RAW and not attributes.endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
-            continue
-        if attributes.endswith("/") and tag in RAW:
-            continue
-        shut = None
-        if tag in CLOSES_P:
-            shut = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] not in INLINE), None)
-            shut = shut if shut is not None and stack[shut][0] == "p" else None
-        if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[tag]:
-                    shut = k
-                    if tag != "tr":
-                        break
-                elif stack[k][0] in FENCES:
+                mark = stop[0]
+                partner = -1 if stop.start() >= unclosed.get(mark, size) else page.find(mark, stop.end())
+                if partner < 0:
+                    unclosed[mark] = min(unclosed.get(mark, size), stop.start())
+                    lost = stop.start()
                     break
-        if shut is not None:
-            links -= sum(x[0] == "a" for x in stack[shut:])
-            del stack[shut:]
-        links += tag == "a"
-        names = frozenset(w.lower() for x in _NAMES.findall(attributes) for w in _PIECES.findall("".join(x)))
-        if attributes and _HIDDEN.search(attributes):
-            names |= {"popup"}
-        if tag in INLINE and not names & AGAINST:
-            stack.append((tag, stack[-1][1]))
-        else:
-            nodes.append(Node(tag, stack[-1][1], names, tag in INLINE))
-            nodes[stack[-1][1]].children.append(len(nodes) - 1)
-            stack.append((tag, len(nodes) - 1))
+                here = partner + 1
+            if end < 0:
+                end = page.find(">", found.end())
+            attributes, at = page[found.end() : end], end + 1
+        if start > said:
+            yield page[said:start], "", False, ""
+        said = at
+        if name:
+            raw = yield "", name, closing, attributes
+            if raw:
+                close = re.compile(rf"</{re.escape(raw)}(?=[\s/>])", re.I).search(page, at)
+                end = page.find(">", close.end()) if close else -1
+                said = at = size if end < 0 else end + 1
+                yield "", "", False, ""
+    if said < size:
+        yield page[said:], "", False, ""
+
+
+class Open:
+    """The open elements, with the places of each name, so that no step walks the stack."""
+
+    def __init__(self) -> None:
+        self.names, self.owners = ["#root"], [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of elements that aren't inline
+
+    def add(self, name: str, owner: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.owners.append(owner)
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def first_after(self, names: Iterable[str], fence: int) -> int:
+        """The outermost of these names inside the fence."""
+        found = [p[k] for n in names if (p := self.places.get(n)) and (k := bisect_right(p, fence)) < len(p)]
+        return min(found, default=0)
+
+    def shut(self, at: int) -> None:
+        while len(self.names) > at:
+            name = self.names.pop()
+            self.owners.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+    """The nodes, parents first, and the runs of text (node, text); a run with node -1 parts two blocks."""
+    nodes, runs, stack = [Node("#root", -1)], [], Open()
+    found = tokens(page)
+    token = next(found, None)
+    while token is not None:
+        raw, tag, closing, attributes = token
+        skip = None
+        if raw:
+            text = _html.unescape(raw) if "&" in raw else raw
+            k, n = stack.owners[-1], len(text.strip())
+            runs.append((k, text))
+            nodes[k].own += n
+            if stack.places.get("a"):
+                nodes[k].link += n
+        elif tag:
+            if tag not in INLINE:
+                runs.append((-1, ""))
+            if closing:
+                at = stack.last((tag,))
+                if at and not (tag in INLINE and at < stack.blocks[-1]):
+                    stack.shut(at)
+            elif tag in RAW:
+                skip = None if attributes.endswith("/") else tag
+            elif tag not in VOID:
+                shut = stack.blocks[-1] if tag in CLOSES_P and stack.names[stack.blocks[-1]] == "p" else 0
+                if tag in SIBLINGS:
+                    fence = stack.last(FENCES - SIBLINGS[tag])
+                    at = stack.first_after(SIBLINGS[tag], fence) if tag == "tr" else stack.last(SIBLINGS[tag])
+                    shut = at if at > fence else shut
+                if shut:
+                    stack.shut(shut)
+                names = frozenset(w.lower() for x in _NAMES.findall(attributes) for w in _PIECES.findall("".join(x)))
+                if attributes and _HIDDEN.search(attributes):
+                    names |= {"popup"}
+                if tag in INLINE and not names & AGAINST:
+                    stack.add(tag, stack.owners[-1])
+                else:
+                    nodes.append(Node(tag, stack.owners[-1], names, tag in INLINE))
+                    nodes[stack.owners[-1]].children.append(len(nodes) - 1)
+                    stack.add(tag, len(nodes) - 1)
+        try:
+            token = found.send(skip)
+        except StopIteration:
+            token = None
     for k in range(len(nodes) - 1, -1, -1):
         node = nodes[k]
         node.total += node.own
@@ -275,7 +338,8 @@ def trained(seed: int = 7, pages: int = 600) -> tuple[np.ndarray, np.ndarray]:
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every row; one narrow pass, no shuffle, the model is a few dozen numbers."""
     model = model or trained()
-    source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    of = lambda name: F.col(place(pages, name))
+    source = by_place(pages).select(of(page_id).cast("long").alias("page_id"), of(url).cast("string").alias("url"), of(html).cast("string").alias("html"))
 
     def make(page_id: list, url: list, html: list) -> dict:
         text = [extract(x, model) for x in html]
