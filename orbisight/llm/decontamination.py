@@ -9,8 +9,8 @@ bound (that it ends inside the document), and verifies the remaining words one b
 Benchmark windows are read in blocks of at most ``block_bytes``; each block is broadcast, so nothing that is broadcast
 grows with the data, and further blocks are applied to the same rows in the same pass without a shuffle.
 
-Edge cases: null or empty texts have no words; an item shorter than the window is one window; items with a null id are
-left out; a repeated item counts once; repeated documents each get a row; empty tables work; other columns are ignored.
+Edge cases: null or empty texts have no words; an item shorter than the window is one window; the windows of an item with
+a null id are hit like others, but it has no id to be listed or counted by; a repeated item counts once; repeated documents each get a row; empty tables work; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import alnum_words, by_slices, rows_by_arrow, small_batches
+from ._common import alnum_words, by_place, by_slices, place, rows_by_arrow, small_batches
 
-Window = tuple[int, list[bytes], str]
+Window = tuple[int, list[bytes], str | None]
 _STATE = "doc_id long, text string, marks binary, items array<string>"
 
 
@@ -34,7 +34,7 @@ def item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[lis
     block, used = [], 0
     for item, text in items.toLocalIterator():
         words = alnum_words(text)
-        if item is None or not words:
+        if not words:
             continue
         windows = [words[k : k + window] for k in range(max(1, len(words) - window + 1))]
         block.append((item, windows))
@@ -72,7 +72,7 @@ def prefix_index(block: list[tuple[str, list[list[bytes]]]], frequency: Counter)
     return dict(index)
 
 
-def mark(words: list[bytes], index: dict[bytes, list[Window]], marks: bytearray, found: set[str]) -> None:
+def mark(words: list[bytes], index: dict[bytes, list[Window]], marks: bytearray, found: set[str | None]) -> None:
     """Mark the words inside verified windows and note their items."""
     n = len(words)
     for at in [k for k, w in enumerate(words) if w in index]:
@@ -98,8 +98,8 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20
 ) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids with a window in the document, sorted) and spans (hit word ranges, end exclusive)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    wanted = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string"))
+    rows = by_place(docs).select(F.col(place(docs, doc_id)).cast("long").alias("doc_id"), F.col(place(docs, text)).cast("string").alias("text"))
+    wanted = by_place(items).select(F.col(place(items, item_id)).cast("string"), F.col(place(items, item_text)).cast("string"))
     context = docs.sparkSession.sparkContext
     state = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("items"))
     for block in item_blocks(wanted, window, block_bytes):
@@ -112,8 +112,8 @@ def find_contamination(
                 words, found = alnum_words(t), set(i or ())
                 own = bytearray(m) if m else bytearray(len(words))
                 mark(words, held.value, own, found)
-                out_marks.append(bytes(own) if found else None)
-                out_items.append(sorted(found) or None)
+                out_marks.append(bytes(own) if m or found else None)
+                out_items.append(sorted(x for x in found if x is not None) or None)
             return {"doc_id": doc_id, "text": text, "marks": out_marks, "items": out_items}
 
         state = rows_by_arrow(state, _STATE, search)
@@ -145,11 +145,12 @@ def _clean(held: Broadcast):  # noqa: ANN202
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows, columns as they were, that hold no window of any item."""
-    wanted = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string"))
-    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    kept = docs
+    wanted = by_place(items).select(F.col(place(items, item_id)).cast("string"), F.col(place(items, item_text)).cast("string"))
+    kept = by_place(docs)
+    body = F.col(place(docs, text)).cast("string")
+    texts = kept.select(body.alias("text"))
     for block in item_blocks(wanted, window, block_bytes):
         frequency = document_frequency(texts, {w for _, windows in block for words in windows for w in words})
         clean = _clean(docs.sparkSession.sparkContext.broadcast(prefix_index(block, frequency)))
-        kept = kept.where(clean(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    return kept
+        kept = kept.where(clean(F.coalesce(body, F.lit(""))))
+    return kept.toDF(*docs.columns)
