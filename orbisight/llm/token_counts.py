@@ -17,12 +17,16 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Callable
 from itertools import accumulate
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ._common import rows_by_arrow
+from ._common import by_place, by_slices, place, rows_by_arrow
 
 #: Entries a worker keeps before it forgets them all; results do not depend on it.
 CACHE = 600_000
@@ -35,6 +39,20 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 
 
+class Kept(dict):
+    """What a function gives, remembered where its argument is short."""
+
+    def __init__(self, make: Callable[[str], int]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> int:
+        value = self.make(key)
+        if len(key) <= 60:
+            self[key] = value
+        return value
+
+
 class PrefixCounter:
     """Prefix tables for one byte-level BPE file of the ``tokenizers`` library."""
 
@@ -52,8 +70,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocabulary))
         self.text_of = {k: s for s, k in self.vocabulary.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.totals: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        self.totals = Kept(lambda raw: self.table(raw.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS))[-1])
+        self.chunks = Kept(lambda chunk: self._words(f" {chunk}"))
 
     def may_follow(self, a: int, b: int) -> bool:
         if (known := self.fits.get((a, b))) is None:
@@ -74,23 +92,6 @@ class PrefixCounter:
                     break
         return count
 
-    def last_count(self, word: str) -> int:
-        """count[n] of a short pre-token, from the end: the recurrence of ``table`` on the prefixes it needs."""
-        vocabulary, may_follow = self.vocabulary, self.may_follow
-        last, count = {}, {0: 0}
-
-        def solve(i: int) -> int:
-            for j in range(i):
-                token = vocabulary.get(word[j:i])
-                if token is not None and (j == 0 or may_follow(last[j] if j in last else solve(j), token)):
-                    last[i], count[i] = token, count[j] + 1
-                    return token
-            raise ValueError("the vocabulary lacks a byte")
-
-        if word:
-            solve(len(word))
-        return count[len(word)]
-
     def pieces(self, text: str) -> list[str]:
         return [w for w, _ in self.before.pre_tokenize_str(text)]
 
@@ -98,44 +99,43 @@ class PrefixCounter:
         return self.special.split(text) if self.special else [text]
 
     def _words(self, text: str) -> int:
-        """Tokens of a stretch of text, by its pre-tokens."""
-        total, known = 0, self.totals
-        for raw in PRE_TOKENS.findall(text):
-            n = known.get(raw)
-            if n is None:
-                word = raw.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
-                n = self.last_count(word) if len(word) <= 60 else self.table(word)[-1]
-                if len(word) <= 60:
-                    if len(known) > CACHE:
-                        known.clear()
-                    known[raw] = n
-            total += n
-        return total
+        """Tokens of a stretch of text, by the last entry of the prefix table of each of its pre-tokens."""
+        return sum(map(self.totals.__getitem__, PRE_TOKENS.findall(text)))
 
     def count(self, text: str | None) -> int:
-        """Tokens of the whole text.  A space before a character that is none always begins a pre-token, so what lies
-        between such spaces is counted once and remembered."""
+        """Tokens of the whole text."""
+        return self.measure(text, None)[0]
+
+    def measure(self, text: str | None, budget: int | None) -> tuple[int, int]:
+        """Tokens of the whole text, and the length of its longest prefix of at most ``budget`` of them.
+
+        A space before a character that is none always begins a pre-token, so what lies between such spaces is counted
+        once and remembered.  The prefix ends after the last such space with a total within the budget; only from there to
+        where the total is two over, which nothing that follows makes good, are the prefixes looked at one by one.
+        """
         if not text:
-            return 0
-        if _ODD_SPACE.search(text):
-            return sum(1 if k % 2 else sum(self.table(w)[-1] for w in self.pieces(part)) for k, part in enumerate(self.segments(text)))
-        total, known = 0, self.chunks
-        for k, part in enumerate(self.segments(text)):
-            if k % 2:
-                total += 1
-                continue
-            first, *rest = _CHUNKS.split(part)
-            total += self._words(first)
-            for chunk in rest:
-                n = known.get(chunk)
-                if n is None:
-                    n = self._words(" " + chunk)
-                    if len(chunk) <= 60:
-                        if len(known) > CACHE:
-                            known.clear()
-                        known[chunk] = n
-                total += n
-        return total
+            return 0, 0
+        segments = self.segments(text)
+        if len(segments) > 1 or _ODD_SPACE.search(text):
+            total = sum(1 if k % 2 else sum(self.table(w)[-1] for w in self.pieces(part)) for k, part in enumerate(segments))
+            return total, len(text) if budget is None or total <= budget else self._longest(text, budget)
+        first, *rest = _CHUNKS.split(text)
+        sums = list(accumulate(map(self.chunks.__getitem__, rest), initial=self._words(first)))
+        for known in (self.totals, self.chunks, self.fits):
+            if len(known) > CACHE:
+                known.clear()
+        if budget is None or sums[-1] <= budget:
+            return sums[-1], len(text)
+        lo, hi = bisect_right(sums, budget) - 1, bisect_right(sums, budget + 2)
+        while lo > 0 and (not rest[lo - 1] or rest[lo - 1][-1].isspace()):  # the space must follow a character that is none
+            lo -= 1
+        if lo < 1:
+            return sums[-1], self._longest(" ".join([first, *rest[:hi]]), budget)
+        before = len(first) + lo + sum(map(len, rest[:lo]))
+        return sums[-1], before + self._longest("".join(f" {c}" for c in rest[lo:hi]), budget - sums[lo])
+
+    def _longest(self, text: str, budget: int) -> int:
+        return max(i for i, n in enumerate(self.prefixes(text)) if n <= budget)
 
     def prefixes(self, text: str | None) -> list[int]:
         """Tokens of text[:i] for every i; special strings are counted where they are complete."""
@@ -171,8 +171,7 @@ class PrefixCounter:
 
     def cut(self, text: str, budget: int) -> str:
         """The longest prefix of at most ``budget`` tokens."""
-        table = self.prefixes(text)
-        return text[: max(i for i, n in enumerate(table) if n <= budget)]
+        return text[: self.measure(text, budget)[1]]
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -186,27 +185,27 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every row; one narrow pass without a shuffle.
+    """doc_id, n_bytes, n_tokens, over_limit and kept_chars (code points of the longest prefix within ``limit``) of every row.
 
-    ``tokenizer`` names a file that every executor has at the same path.
+    One narrow pass without a shuffle; ``tokenizer`` names a file that every executor has at the same path.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = by_place(docs).select(F.col(place(docs, doc_id)).cast("long").alias("doc_id"), F.col(place(docs, text)).cast("string").alias("text"))
 
     def make(doc_id: list, text: list) -> dict:
         own = counter(tokenizer)
-        n = [own.count(t) for t in text]
-        return {"doc_id": doc_id, "n_bytes": [len(t.encode()) if t else 0 for t in text], "n_tokens": n, "over_limit": [x > limit for x in n]}
+        n, kept = zip(*[own.measure(t, limit) for t in text], strict=True) if text else ((), ())
+        return {"doc_id": doc_id, "n_bytes": [len(t.encode()) if t else 0 for t in text], "n_tokens": list(n), "over_limit": [x > limit for x in n], "kept_chars": list(kept)}
 
-    return rows_by_arrow(rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", make)
+    return rows_by_arrow(rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long", make)
 
 
 def cut_to_budget(docs: DataFrame, tokenizer: str, budget: int, text: str = "text") -> DataFrame:
     """The rows with ``text`` cut to its longest prefix of at most ``budget`` tokens; null stays null."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def cut(texts):  # noqa: ANN001, ANN202
+    @arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
         own = counter(tokenizer)
-        return texts.map(lambda t: None if t is None else own.cut(t, budget))
+        return pa.array(by_slices(texts, lambda part: [None if t is None else own.cut(t, budget) for t in part]), pa.string())
 
-    return docs.withColumn(text, cut(F.col(text)))
+    body = place(docs, text)
+    return by_place(docs).withColumn(body, cut(F.col(body).cast("string"))).toDF(*docs.columns)
