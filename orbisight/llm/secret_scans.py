@@ -1,21 +1,19 @@
 """Secret scanning: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 First-order Markov models are trained from labelled samples: one for each family of random strings (hex, upper-case
-alphanumeric, base 64) and one for ordinary identifiers.  A run of key characters is a secret if the log-likelihood
-ratio of the best random family to the ordinary model exceeds a threshold per character and in all.  Pattern matches
-stay as they are; the models only add spans that touch none of them.
+alphanumeric, base 64) and one for ordinary identifiers.  A run of key characters, of any length and case, is a secret if
+the log-likelihood ratio of the best random family to the ordinary model exceeds a threshold per character and in all.
+Pattern matches stay as they are; what they leave of a run is scored too, so the models add spans that touch none of them.
 
 Edge cases: null counts as empty (no spans); repeated rows repeat; an empty table gives an empty result; other columns
-are ignored.  Positions are code points, ends exclusive.
+are ignored, also if their names clash.  Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-import builtins
-import keyword
 import random
 import re
-import sys
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -23,14 +21,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import by_slices, rows_by_arrow
+from ._common import by_place, by_slices, place, rows_by_arrow
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+#: A total ratio of 16 can't be reached by fewer characters, as a character adds less than 2.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+")
+#: Words that identifiers are made of.
+ORDINARY = (
+    "abort accept account action active add address alias align allow append apply archive array assert async attach attribute author average backup base batch begin binary block body boolean border bound branch bucket buffer build bundle button byte cache call cancel capture category cell change channel char check child "
+    "class clean clear client clone close cluster code collect color column command comment commit compare compile config connect console const container content context control convert copy count create current cursor data database date debug decode default define delete depth describe device digest direct disable display document "
+    "domain download draw driver element empty enable encode end engine entry error event exact example except exclude execute export expression factory feature field file filter final find first flag flat float folder font force format forward frame function generate get global graph grid group handle hash header height hidden "
+    "history host image import include index info input insert install instance integer interface item iterator join key label language last latest layout length level library limit line link list load local lock log long loop"
+).split()
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = {c: k for k, c in enumerate(_ALPHABET)}
 
@@ -42,36 +48,49 @@ def random_samples(rng: random.Random, n: int) -> dict[str, list[str]]:
 
 
 def ordinary_samples(rng: random.Random, n: int) -> list[str]:
-    """Labelled ordinary identifiers: names of Python's own library joined in the usual styles, some with a number."""
-    names = sorted({*dir(builtins), *keyword.kwlist, *sys.stdlib_module_names, *dir(str), *dir(random), *dir(np), *dir(re), *dir(sys)})
-    words = sorted({w.lower() for name in names for w in re.findall(r"[A-Za-z][a-z]+", name)})
-    styles = (lambda p: "_".join(p), lambda p: "-".join(p), lambda p: "".join(w.title() for w in p), lambda p: "_".join(p).upper(), lambda p: "/".join(p), lambda p: "".join(p))
-    return [rng.choice(styles)([rng.choice(words) for _ in range(rng.randint(2, 6))]) + rng.choice(("", "", "", f"_{rng.randint(1, 2030)}", str(rng.randint(1, 99)), "=", "--------")) for _ in range(n)]
-
-
-def markov(samples: list[str], smoothing: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the first character and of each next one."""
+    """Labelled ordinary strings: identifiers, paths and shouted, numbered and plain words, from a fixed list and made syllables."""
+    parts = [a + b for a in ("b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "st", "t", "th", "tr", "v", "w") for b in ("a", "e", "i", "o", "u", "ai", "an", "ed", "en", "er", "ing", "ion", "on", "ou")]
+    made = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+    word = lambda: rng.choice(ORDINARY) if rng.random() < 0.6 else made()
+    styles = (lambda p: "_".join(p), lambda p: "-".join(p), lambda p: "".join(w.title() for w in p), lambda p: "_".join(p).upper(), lambda p: "/".join(p), lambda p: "".join(p), lambda p: "".join(p).upper(), lambda p: "-".join(p).title())
+    ends = ("", "", "", lambda: f"_{rng.randint(1, 2030)}", lambda: str(rng.randint(1, 99)), "=", "--------", lambda: f"-{rng.randint(1900, 2100)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"/{rng.randint(0, 10**9)}")
+    numbers = lambda: str(rng.randint(0, 10 ** rng.randint(8, 20)))
+    end = lambda: e() if callable(e := rng.choice(ends)) else e
+    return [numbers() if rng.random() < 0.03 else rng.choice(styles)([word() for _ in range(rng.randint(1, 6))]) + end() for _ in range(n)]
+
+
+def markov(samples: list[str], smoothing: float = 0.1, unknown: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the first character and of each next one; a share ``unknown`` goes to all characters alike."""
     size = len(_ALPHABET)
     first, pairs = np.full(size, smoothing), np.full((size, size), smoothing)
     for s in samples:
         codes = [_CODE[c] for c in s]
         first[codes[0]] += 1
         np.add.at(pairs, (codes[:-1], codes[1:]), 1)
-    return np.log(first / first.sum()), np.log(pairs / pairs.sum(1, keepdims=True))
+    blend = lambda p: np.log((1 - unknown) * p + unknown / size)
+    return blend(first / first.sum()), blend(pairs / pairs.sum(1, keepdims=True))
 
 
 @lru_cache(maxsize=4)
-def trained(seed: int = 11, n: int = 4000) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
-    """(random families, ordinary) fitted to ``n`` seeded samples each."""
+def trained(seed: int = 11, n: int = 4000) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray], dict[str, float]]:
+    """(random families, ordinary, ratios met so far) fitted to ``n`` seeded samples each."""
     rng = random.Random(seed)
-    return {k: markov(v) for k, v in random_samples(rng, n).items()}, markov(ordinary_samples(rng, 3 * n))
+    return {k: markov(v) for k, v in random_samples(rng, n).items()}, markov(ordinary_samples(rng, 3 * n), unknown=0.1), {}
 
 
 def likelihood_ratio(run: str, model: tuple) -> float:
-    """Best random family's log-likelihood less the ordinary one's."""
+    """Best random family's log-likelihood less the ordinary one's; remembered for short runs, which recur."""
+    known = model[2].get(run)
+    if known is not None:
+        return known
     codes = np.fromiter((_CODE[c] for c in run), np.int64, len(run))
     score = lambda m: m[0][codes[0]] + m[1][codes[:-1], codes[1:]].sum()
-    return float(max(map(score, model[0].values())) - score(model[1]))
+    ratio = float(max(map(score, model[0].values())) - score(model[1]))
+    if len(run) <= 40:
+        if len(model[2]) > 300_000:
+            model[2].clear()
+        model[2][run] = ratio
+    return ratio
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,7 +104,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def find(text: str | None, model: tuple, per_character: float = 0.8, total: float = 20.0) -> list[tuple[int, int, int]]:
+def _left(start: int, end: int, spans: list[tuple[int, int, int]], starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """What spans leave of [start, end); ``ends`` holds the largest end so far, so that no earlier span is looked at."""
+    k, out, at = bisect_left(ends, start + 1), [], start
+    while k < len(spans) and starts[k] < end:
+        if starts[k] > at:
+            out.append((at, starts[k]))
+        at, k = max(at, ends[k]), k + 1
+    return [*out, (at, end)] if at < end else out
+
+
+def find(text: str | None, model: tuple, per_character: float = 0.4, total: float = 16.0) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end), by start and then kind."""
     if not text:
         return []
@@ -94,26 +123,19 @@ def find(text: str | None, model: tuple, per_character: float = 0.8, total: floa
     for _, _, e in spans:
         top = max(top, e)
         ends.append(top)
-    from bisect import bisect_left
-
     starts = [s for s, _, _ in spans]
     for m in _RUN.finditer(text):
-        k = bisect_left(starts, m.end())  # spans that start before the run's end
-        if k and ends[k - 1] > m.start():
-            continue
-        run = m[0]
-        if run.isalpha() and (run.islower() or run.isupper()):
-            continue
-        ratio = likelihood_ratio(run, model)
-        if ratio >= total and ratio >= per_character * len(run):
-            own.append((m.start(), 3, m.end()))
+        for start, end in _left(m.start(), m.end(), spans, starts, ends) if spans else [m.span()]:
+            ratio = likelihood_ratio(text[start:end], model)
+            if ratio >= total and ratio >= per_character * (end - start):
+                own.append((start, 3, end))
     return sorted(spans + own)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_character: float = 0.8, total: float = 20.0) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_character: float = 0.4, total: float = 16.0) -> DataFrame:
     """doc_id and spans (kind, start, end, ordered) of every row; one narrow pass, the models are small and fixed in size."""
     model = trained()
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = by_place(docs).select(F.col(place(docs, doc_id)).cast("long").alias("doc_id"), F.col(place(docs, text)).cast("string").alias("text"))
 
     def make(doc_id: list, text: list) -> dict:
         return {"doc_id": doc_id, "spans": [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t, model, per_character, total)] for t in text]}
@@ -142,3 +164,13 @@ def redacted(text: Column) -> Column:
         return pa.array(by_slices(texts, lambda part: [redact(t, model) for t in part]), pa.string())
 
     return run(text)
+
+
+def redact_rows(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows with redacted texts; ``n_chars``, if there is such a column, follows where the text isn't null."""
+    own, body = by_place(docs), place(docs, text)
+    own = own.withColumn(body, redacted(F.col(body).cast("string")))
+    if n_chars in docs.columns:
+        at = place(docs, n_chars)
+        own = own.withColumn(at, F.coalesce(F.length(body).cast("long"), F.col(at)))
+    return own.toDF(*docs.columns)
