@@ -5,21 +5,26 @@ documents that hold an entity e, corpus co-occurrence estimates how much a term
 information PMI(e; t) = ln(n(e, t) N / (n(e) (n(t) + ``smoothing``))), set against all there is to tell, the information
 content ln(N / n(e)).  n counts distinct texts over the whole corpus, so copies of one text prove nothing.  A term whose
 ratio reaches ``threshold`` discloses the entity as well as its own name would; it is a span throughout every document
-that holds the entity.  Every entity is judged, also one that occurs once; the smoothing is what low counts cost.
+that holds the entity, and ``sanitised`` removes it.  Every entity is judged, also one that occurs once; the smoothing is
+what low counts cost.  Entities that occur in just the same texts have the same counts with every term, so they are judged
+as one: a text with very many addresses is no reason to pair each of them with each of its words.
 
 The patterns are possessive and anchored to the end of the last match or the start of a run, which finds the same
 matches as the plain ones and takes time in proportion to the text.  Positions come from the lengths of what lies
-between the matches.
+between the matches, added up in runs of 256 whose results are joined, so that long lists are not copied at every step.
 
 Edge cases: null counts as empty (no spans); rows with a null doc_id are scanned like others; repeated rows repeat;
-empty tables give empty results; other columns are ignored.  Positions are code points, ends exclusive.
+empty tables give empty results; other columns are ignored, also if their names clash.  Positions are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import settle
+from ._common import by_place, place, settle
 
 KINDS = ("email", "ip", "card", "phone")
 _MAIL = "A-Za-z0-9._%+-"
@@ -53,18 +58,38 @@ def _holds(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def running(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], run: int = 256) -> Column:
+    """What ``step(at, item) -> (at, made)`` makes of the items in order, ``at`` beginning at 0; null is left out.
+
+    Runs of items are folded on their own and then joined, so that n items copy some n * run, not n * n, elements.
+    """
+    none = F.from_json(F.lit("[]"), f"array<{kind}>")
+    pair = lambda at, made: F.struct(at.alias("at"), made.alias("made"))
+
+    def one(seen: Column, item: Column) -> Column:
+        at, made = step(seen["at"], item)
+        return pair(at, F.when(made.isNull(), seen["made"]).otherwise(F.concat(seen["made"], F.array(made))))
+
+    def some(seen: Column, items: Column) -> Column:
+        inner = F.aggregate(items, pair(seen["at"], none), one)
+        return F.transform(F.array(inner), lambda x: pair(x["at"], F.concat(seen["made"], x["made"])))[0]
+
+    starts = lambda all_: F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / run).cast("int"))
+    runs = lambda all_: F.when(F.size(all_) > run, F.transform(starts(all_), lambda k: F.slice(all_, k * run + 1, F.lit(run)))).otherwise(F.array(all_))
+    return F.transform(F.array(items), lambda all_: F.aggregate(runs(all_), pair(F.lit(0), none), some)["made"])[0]
+
+
 def located(text: Column, pattern: str, kind: str) -> Column:
-    """All matches of a pattern as (kind, start, end, value), by what lies between them; linear but for copying spans."""
+    """All matches of a pattern as (kind, start, end, value), by what lies between them."""
     steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    begin = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), f"array<{_SPAN}>").alias("spans"))
 
-    def step(seen: Column, x: Column) -> Column:
-        start = seen["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), seen["spans"]).otherwise(F.concat(seen["spans"], F.array(span))).alias("spans"))
+        return end, F.when(x["match"].isNotNull(), span)
 
-    return F.aggregate(steps, begin, step)["spans"]
+    return running(steps, _SPAN, step)
 
 
 def base_spans(text: Column) -> Column:
@@ -78,51 +103,64 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(held: DataFrame) -> DataFrame:
-    """uid, term, start and end of every term in (uid, text); positions are running sums over what lies between."""
+    """key, term, start and end of every term in (key, text); positions are running sums over what lies between."""
     steps = F.arrays_zip(F.split("text", _TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)).alias("match"))
-    each = held.select("uid", F.posexplode(steps).alias("at", "x")).select("uid", "at", "x.*")
+    each = held.select("key", F.posexplode(steps).alias("at", "x")).select("key", "at", "x.*")
     size = F.length("match")
-    end = F.sum(F.length("gap") + F.coalesce(size, F.lit(0))).over(Window.partitionBy("uid").orderBy("at"))
-    return each.select("uid", F.lower("match").alias("term"), (end - size).cast("int").alias("start"), end.cast("int").alias("end")).where("term is not null")
+    end = F.sum(F.length("gap") + F.coalesce(size, F.lit(0))).over(Window.partitionBy("key").orderBy("at"))
+    return each.select("key", F.lower("match").alias("term"), (end - size).cast("int").alias("start"), end.cast("int").alias("end")).where("term is not null")
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, threshold: float = 0.9) -> DataFrame:
-    """doc_id and spans (kind, start, end, value) of every row: base spans by kind and start, then disclosing terms."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    """doc_id, spans (kind, start, end, value: base spans by kind and start, then disclosing terms) and sanitised of every row.
+
+    ``sanitised`` is the text with entities generalised to their kind and disclosing terms removed; null if nothing was found.
+    """
+    rows = by_place(docs).select(F.col(place(docs, doc_id)).cast("long").alias("doc_id"), F.coalesce(F.col(place(docs, text)).cast("string"), F.lit("")).alias("text"))
     seen = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("spans"))
-    marks = settle(seen.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
+    marks = settle(seen.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
 
     total = float(marks.select("key").distinct().count())
-    held = marks.where(F.size("spans") > 0)
+    held = settle(marks.where(F.size("spans") > 0).groupBy("key").agg(F.min("text").alias("text"), F.any_value("spans").alias("spans")))
     names = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
-    entities = held.select("uid", "key", F.explode(names).alias("entity"))
-    known = entities.groupBy("entity").agg(F.countDistinct("key").alias("n_e"))
-    entities = settle(entities.join(known, "entity").where(F.col("n_e") < total))
-    if entities.isEmpty():
-        return marks.select("doc_id", "spans")
+    entities = held.select("key", F.explode(names).alias("entity"))
+    where = [F.bit_xor(F.xxhash64(F.lit(k), "key")).alias(f"in_{k}") for k in range(2)]
+    known = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), *where)
+    alike = ["n_e", "in_0", "in_1"]
+    judged = settle(entities.join(known, "entity").where(F.col("n_e") < total).select("key", *alike).distinct())
+    if judged.isEmpty():
+        return marks.select("doc_id", "spans", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
     split = F.explode(F.filter(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower)), lambda t: t != "")).alias("term")
     texts = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"))
     counts = texts.select(split).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # ratio >= threshold if n_et / (n_t + smoothing) >= (n_e / N) ** (1 - threshold); as n_et <= n_t, n_e, frequent terms can't reach it
     bar = (F.col("n_t") + smoothing) * F.pow(F.col("n_e") / total, F.lit(1 - threshold)) - 1e-9
-    most = held.select("uid", split).join(counts, "term")
-    told = settle(entities.join(most, "uid").where(F.least("n_e", "n_t") >= bar))
-    disclosing = told.groupBy("entity", "term", "n_e", "n_t").agg(F.countDistinct("key").alias("n_et")).where(F.col("n_et") >= bar).select("entity", "term")
-    wanted = told.select("uid", "entity", "term").join(disclosing, ["entity", "term"]).select("uid", "term").distinct()
-    found = _words(held.select("uid", "text")).join(wanted, ["uid", "term"])
-    added = found.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("more"))
+    most = held.select("key", split).join(counts, "term")
+    told = settle(judged.join(most, "key").where(F.least("n_e", "n_t") >= bar))
+    disclosing = told.groupBy(*alike, "term", "n_t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= bar).select(*alike, "term")
+    wanted = told.select("key", *alike, "term").join(disclosing, [*alike, "term"]).select("key", "term").distinct()
+    found = _words(held.select("key", "text")).join(wanted, ["key", "term"])
+    added = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("more"))
     free = F.filter("more", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return marks.join(added, "uid", "left").select("doc_id", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", free)).alias("spans"))
+    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", free))
+    out = marks.join(added, "key", "left").select("doc_id", "text", spans.alias("spans"))
+    return out.select("doc_id", "spans", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with entities generalised to their kind and disclosing terms removed; of spans that overlap the first."""
+    """The text with entities generalised to their kind and disclosing terms removed; spans that overlap go as one, by the
+    kind of the first.  Null without spans.  Pieces are cut from UTF-32, where a code point's place needs no search."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ends = F.array_append(order, F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("kind")))
+
+    def step(wide: Column) -> Callable[[Column, Column], tuple[Column, Column]]:
+        def cut(at: Column, s: Column) -> tuple[Column, Column]:
+            between = F.decode(F.substring(wide, at * 4 + 1, (s["start"] - at) * 4), "UTF-32")
+            mark = F.when(s["kind"].isin("term", ""), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.concat(between, mark))
 
-    def step(done: Column, s: Column) -> Column:
-        kept = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        mark = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["end"].alias("at"), F.concat(done["out"], kept, mark).alias("out")))
+        return cut
 
-    return F.aggregate(order, begin, step, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
+    wide = F.encode(text, "UTF-32")
+    pieces = F.transform(F.array(F.struct(wide.alias("wide"), ends.alias("ends"))), lambda x: running(x["ends"], "string", step(x["wide"])))[0]
+    return F.when(F.size(spans) > 0, F.array_join(pieces, ""))

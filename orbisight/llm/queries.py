@@ -57,7 +57,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_told(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_told(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"), "sanitised")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
