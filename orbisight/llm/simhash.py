@@ -1,12 +1,12 @@
 """SimHash near-duplicates with vantage-point trees over Hamming distance.
 
-Fingerprints are the bitwise majority of the XXH64 of word shingles.  Only distinct fingerprints are compared.  They
-are dealt to shards so that every pair within the radius meets in one: the 64 bits are cut into radius + 1 blocks, of
-which one must then be equal, so a shard is a ball of radius zero around its block value and no boundary overlaps.
-A shard over ``shard_rows`` is split into rings of Hamming distance from a vantage point, its smallest fingerprint;
-by the triangle inequality a partner lies within the radius of the own ring, so members near a boundary also query the
-rings they overlap.  Inside a shard a vantage-point tree prunes by the same bound and yields exact pairs, of which only
-a spanning forest leaves the task.  Components of the forests are joined by large-star and small-star rounds on
+Fingerprints are the bitwise majority of the XXH64 of word shingles.  Only distinct fingerprints are compared.  They are
+dealt to shards in which every pair within the radius meets: the 64 bits are cut into radius + 2 pieces, of which two
+must then be equal, so a shard holds what agrees in one choice of two pieces.  The shard's vantage point is that choice
+with all other bits zero; its members are partitioned into rings of Hamming distance from it, at every size.  By the
+triangle inequality a partner lies within the radius of the own distance, so members near a boundary also query the ring
+that they overlap.  Inside a ring a vantage-point tree prunes by the same bound and yields exact pairs, of which only a
+spanning forest leaves the task.  Components of the forests are joined by large-star and small-star rounds on
 checkpointed edges.  Copies are never expanded into pairs and nothing is collected in the driver.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a null doc_id never becomes the
@@ -17,28 +17,36 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import arrow_udf
 
-from ._common import blank_words, by_slices, rows_by_arrow, settle
+from ..operators import regions
+from ._common import blank_words, by_place, place, rows_by_arrow, settle
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Majority of the shingles' hashes, bit by bit; a bit counts as set in more than half of them."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; the whole sequence if it is shorter, nothing without words."""
     w = blank_words(text)
-    if not w:
-        return 0
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(w) - words + 1)
-    hashes = np.fromiter((digest(b" ".join(w[k : k + words]), 42) for k in range(n)), np.uint64, n)
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.fromiter((digest(b" ".join(w[k : k + words]), 42) for k in range(n)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit, whether it is set in more than half of the hashes; zero without hashes."""
     votes = np.zeros(64, np.int64)
-    for at in range(0, n, 8192):  # bounded scratch for very long texts
+    for at in range(0, len(hashes), 8192):  # bounded scratch for very long texts
         votes += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Majority of the shingles' hashes."""
+    return majority(shingle_hashes(text, words))
 
 
 def signed(x: int) -> int:
@@ -47,7 +55,7 @@ def signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = by_place(docs).select(F.col(place(docs, doc_id)).cast("long").alias("doc_id"), F.col(place(docs, text)).cast("string").alias("text"))
     return rows_by_arrow(rows, "doc_id long, fp long", lambda doc_id, text: {"doc_id": doc_id, "fp": [signed(fingerprint(t, words)) for t in text]})
 
 
@@ -69,7 +77,7 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def tree_links(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 256) -> Iterator[tuple[int, int]]:
+def tree_links(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 32) -> Iterator[tuple[int, int]]:
     """(query, point) positions within the radius: a vantage-point tree over the points, walked with all queries at once.
 
     A query leaves a branch as soon as the triangle inequality shows that nothing in it can be near enough.
@@ -101,42 +109,34 @@ def tree_links(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int =
         stack.append((own[~inner], asking[dq > middle - radius]))
 
 
-def links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20_000, bundle_rows: int = 2_000) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, ring: int = 13, bundle_rows: int = 20_000) -> DataFrame:
     """Edges a > b (signed longs) whose components are those of all pairs of distinct fp within the radius."""
-    blocks = radius + 1
-    width = -(-64 // blocks)
-    mask = (1 << width) - 1
-    keyed = distinct.select(
-        "fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit(mask).cast("long")) for k in range(blocks)])).alias("block", "value")
-    )
-    sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")).where("n > 1")
-    large = sizes.where(F.col("n") > shard_rows)
-    crowded = keyed.join(large, ["block", "value"])
-    d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-    ring = F.lit(radius + 1)
-    near = F.array_distinct(F.array(F.floor((d - radius) / ring), F.floor(d / ring), F.floor((d + radius) / ring)))
-    ringed = crowded.select("block", "value", "fp", F.floor(d / ring).alias("home"), F.explode(near).alias("ring")).where("ring >= 0")
-    alone = keyed.join(sizes.where(F.col("n") <= shard_rows), ["block", "value"], "left_semi")
-    dealt = alone.select("block", "value", F.lit(-1).cast("long").alias("ring"), "fp", F.lit(True).alias("own")).unionByName(
-        ringed.select("block", "value", F.col("ring").cast("long").alias("ring"), "fp", (F.col("home") == F.col("ring")).alias("own"))
-    )
-
-    bundles = max(1, distinct.count() * blocks // bundle_rows)  # many shards to a task, each shard whole
-    bundled = dealt.withColumn("bundle", F.pmod(F.xxhash64("block", "value", "ring"), F.lit(bundles)))
+    edges = [64 * k // (radius + 2) for k in range(radius + 3)]
+    pieces = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    choices = [signed(a | b) for a, b in combinations(pieces, 2)]
+    bundles = max(1, distinct.count() * len(choices) // bundle_rows)  # many shards to a task, each ring whole
+    each = distinct.select("fp", F.posexplode(F.array(*[F.lit(c) for c in choices])).alias("choice", "mask"))
+    d = F.bit_count(F.col("fp").bitwiseAND(F.bitwise_not("mask")))
+    home = F.floor(d / ring)
+    near = F.array_distinct(F.array(home, F.floor(F.greatest(d - radius, F.lit(0)) / ring), F.floor((d + radius) / ring)))
+    dealt = each.select("fp", F.col("choice").cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("value"), home.alias("home"), F.explode(near).alias("ring"))
+    bundled = dealt.select("fp", "choice", F.col("ring").cast("byte").alias("ring"), (F.col("home") == F.col("ring")).alias("own"), F.pmod(F.xxhash64("choice", "value", "ring"), F.lit(bundles)).cast("int").alias("bundle"))
+    masks = np.array(choices, np.int64)
 
     def pair(bundle: pa.Table) -> pa.Table:
-        block, value, ring, fp = (bundle.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "ring", "fp"))
+        choice, at, fp = (bundle.column(c).to_numpy().astype(np.int64) for c in ("choice", "ring", "fp"))
         own = bundle.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.lexsort((fp, ~own, ring, value, block))
-        block, value, ring, fp, own = block[order], value[order], ring[order], fp[order], own[order]
-        edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0) | (np.diff(ring) != 0)) + 1
+        value = fp & masks[choice]
+        order = np.lexsort((fp, ~own, at, value, choice))
+        choice, value, at, fp, own = choice[order], value[order], at[order], fp[order], own[order]
+        edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(value) != 0) | (np.diff(at) != 0)) + 1
+        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
         bits, forest = fp.view(np.uint64), Forest(len(fp))
-        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)], strict=True):
+        for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
             mine = int(own[lo:hi].sum())  # own members come first and are the points, all are queries
-            if hi - lo > 1 and mine:
-                for q, p in tree_links(bits[lo : lo + mine], bits[lo:hi], radius):
-                    if p != q:
-                        forest.join(lo + q, lo + p)
+            for q, p in tree_links(bits[lo : lo + mine], bits[lo:hi], radius) if mine else ():
+                if p != q:
+                    forest.join(lo + q, lo + p)
         roots = np.fromiter((forest.root(k) for k in range(len(fp))), np.int64, len(fp))
         tied = np.flatnonzero(fp[roots] != fp)
         return pa.table({"a": pa.array(fp[tied], pa.int64()), "b": pa.array(fp[roots[tied]], pa.int64())})
@@ -144,28 +144,11 @@ def links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20_000, bundle
     return bundled.groupBy("bundle").applyInArrow(pair, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); root is the smallest node reachable.
-
-    Large-star and small-star alternate, as in MapReduce connected components; each keeps the number of edges bounded
-    by the input's, no star is gathered in one task, and the rounds grow with the logarithm of the diameter.
-    """
-    edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = settle(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b) but the roots; root is the smallest node reachable."""
+    edges = settle(edges.where("a <> b").distinct())
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    return regions.components(nodes, edges).where("node <> root")
 
 
 def groups(marks: DataFrame, radius: int = 3) -> DataFrame:
@@ -181,22 +164,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = settle(fingerprints(docs, doc_id, text, words))
     grouped = groups(marks, radius)
     return marks.join(grouped, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows, columns as they were, that stand for their group: the smallest doc_id's, one row even if it repeats.
-
-    Rows without a doc_id come last in their group; among rows that share it the least, column by column.
-    """
-    names = docs.columns
-    narrow = settle(fingerprints(docs, doc_id, text, words))
-    grouped = groups(narrow, radius).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
-
-    @arrow_udf("long")
-    def mark(texts: pa.Array) -> pa.Array:
-        return pa.array(by_slices(texts, lambda part: [signed(fingerprint(t, words)) for t in part]), pa.int64())
-
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    kept = docs.select(row.alias("row"), F.col(f"`{doc_id}`").cast("long").alias("__id"), mark(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__fp")).join(grouped, "__fp")
-    kept = kept.where(F.col("__id").eqNullSafe(F.col("__least")))
-    return kept.groupBy("__root").agg(F.min("row").alias("row")).select("row.*")
