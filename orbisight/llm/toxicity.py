@@ -11,7 +11,8 @@ one short feature row for each of them.  Labels, lang, source and doc_id are no
 
 Edge cases: null counts as empty and gets the score of an empty text; without labels of both kinds every score is the
 base rate (0 without labels); labels with a null doc_id or value are left out, a doc_id with several labels is toxic if
-one says so; repeated documents each get a row; other columns are ignored.
+one says so; of rows that share a doc_id one text is learned from, so ``bound`` holds for rows; repeated documents each
+get a row; other columns are ignored, also if their names clash.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._common import _WORDS, by_slices, rows_by_arrow, utf8
+from ._common import _WORDS, by_place, by_slices, place, rows_by_arrow, settle, utf8
 
 #: Fixed lists: the second person in the languages of the corpus, and the signs that stand for letters.
 SECOND_PERSON = frozenset(w.encode() for w in "you your yours yourself youre ya u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros tus".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
-_OBFUSCATED = re.compile(r"[A-Za-z]+(?:[013457@$!*#]+[A-Za-z]+)+|\b[A-Za-z](?:[.\-_* ][A-Za-z]\b){3,}")
+#: Tried at the start of a run of letters only and possessive, so that a long word is read once.
+_OBFUSCATED = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:[013457@$!*#]++[A-Za-z]++)++|\b[A-Za-z](?:[.\-_* ][A-Za-z]\b){3,}+")
 STEM = 5
 NAMES = ("n", "word_hits", "word_kinds", "word_density", "stem_hits", "stem_kinds", "stem_density", "near_you", "you_density", "upper_ratio", "upper_words", "exclaim", "question", "punctuation", "obfuscated", "obfuscated_hits", "longest_repeat")
 
@@ -64,8 +66,8 @@ def measure(text: str | None, lexicon: Lexicon) -> list[float]:
     shouted = len(re.findall(rb"\b[A-Z]{3,}\b", raw)) if upper > 2 else 0
     n1 = max(1, n)
     return [
-        float(min(n, 5000)), len(hits), len({words[k] for k in hits}), len(hits) / n1, len(begun), len(set(begun)), len(begun) / n1, near, len(you) / n1, upper / max(1, letters), shouted / n1,
-        marks / size, asks / size, punctuation / size, len(hidden) / n1, found, float(min(9, max((m.end() - m.start() for m in re.finditer(rb"!{2,}|\?{2,}", raw)), default=0))),
+        float(n), len(hits), len({words[k] for k in hits}), len(hits) / n1, len(begun), len(set(begun)), len(begun) / n1, near, len(you) / n1, upper / max(1, letters), shouted / n1,
+        marks / size, asks / size, punctuation / size, len(hidden) / n1, found, float(max((m.end() - m.start() for m in re.finditer(rb"!{2,}|\?{2,}", raw)), default=0)),
     ]
 
 
@@ -162,11 +164,11 @@ class Model(NamedTuple):
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = 20_000, words: int = 400) -> Model:
     """Lexicon, trees and calibration from at most ``bound`` labelled rows outside the held-out fold."""
-    known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
+    known = by_place(labels).select(F.col(place(labels, doc_id)).cast("long").alias("id"), F.col(place(labels, label)).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0).orderBy(F.xxhash64("id"), "id").limit(bound)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    sample = rows.join(F.broadcast(known), "id").select("id", "y", "text")  # at most ``bound`` ids and labels are broadcast
-    sample = sample.where(F.col("text").isNotNull())
+    rows = by_place(docs).select(F.col(place(docs, doc_id)).cast("long").alias("id"), F.col(place(docs, text)).cast("string").alias("text")).where("id is not null and text is not null")
+    found = rows.join(F.broadcast(known), "id")  # at most ``bound`` ids and labels are broadcast
+    sample = settle(found.groupBy("id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")))
 
     def terms(y: list, text: list, id: list) -> dict:  # noqa: A002
         out: dict[str, list] = {"stem": [], "term": [], "y": [], "part": []}
@@ -210,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row, in one narrow pass; the model's size is bounded by its parameters."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = by_place(docs).select(F.col(place(docs, doc_id)).cast("long").alias("doc_id"), F.col(place(docs, text)).cast("string").alias("text"))
 
     def make(doc_id: list, text: list) -> dict:
         x = np.array([measure(t, model.lexicon) for t in text], float).reshape(len(text), len(NAMES))
@@ -226,4 +228,5 @@ def keep_civil(docs: DataFrame, model: Model, text: str = "text", threshold: flo
         some = lambda part: model.score(np.array([measure(t, model.lexicon) for t in part], float).reshape(len(part), len(NAMES))).tolist()
         return pa.array(by_slices(texts, some), pa.float64())
 
-    return docs.where(rated(F.coalesce(F.col(text).cast("string"), F.lit(""))) < threshold)
+    own = by_place(docs)
+    return own.where(rated(F.coalesce(F.col(place(docs, text)).cast("string"), F.lit(""))) < threshold).toDF(*docs.columns)
