@@ -45,20 +45,22 @@ def boundaries(cells: DataFrame, height: int, width: int, label: str = "label")
     return pairs.select("y", "x").unionByName(other.select(F.col("y").cast("int"), F.col("x").cast("int"))).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100, task_rows: int = 50_000) -> DataFrame:
     """(node, root) with the smallest node of each component; nodes without edges are their own.
 
-    Large-star and small-star rounds on checkpointed edges: joins on nodes only, pre-aggregated, logarithmic rounds.
+    Large-star and small-star rounds on checkpointed edges: joins on nodes only, pre-aggregated, logarithmic rounds, at the
+    end of which the number of edges never exceeds the input's.  As many tasks run as the edges fill with ``task_rows``.
     """
     ties = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
+    tasks = max(2, -(-2 * ties.count() // task_rows))
+    ties, seen = ties.coalesce(tasks), None
     for _ in range(most_rounds):
         both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        star = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        star = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         moved = star.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        ties = checkpointed(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        ties = checkpointed(moved.unionByName(low.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks))
         now = ties.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
