@@ -109,7 +109,7 @@ def tree_links(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int =
         stack.append((own[~inner], asking[dq > middle - radius]))
 
 
-def links(distinct: DataFrame, radius: int = 3, ring: int = 13, bundle_rows: int = 20_000) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, ring: int = 13, bundle_rows: int = 2_500) -> DataFrame:
     """Edges a > b (signed longs) whose components are those of all pairs of distinct fp within the radius."""
     edges = [64 * k // (radius + 2) for k in range(radius + 3)]
     pieces = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
@@ -146,7 +146,7 @@ def links(distinct: DataFrame, radius: int = 3, ring: int = 13, bundle_rows: int
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots; root is the smallest node reachable."""
-    edges = settle(edges.where("a <> b").distinct())
+    edges = settle(edges.where("a <> b"))
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     return regions.components(nodes, edges).where("node <> root")
 
