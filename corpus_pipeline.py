@@ -1,15 +1,19 @@
-"""Cleaning a corpus in five stages; each takes (spark, docs, sf_dir), is written as Parquet and read by the next."""
+"""Cleaning a corpus in five stages; each takes (spark, docs, sf_dir), is written as Parquet and read by the next.
+
+All stages find ``doc_id``, ``text`` and ``source`` by the exact name first, carry every other column along unread, maps and
+names that clash with the stage's own too, and give an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orbisight.llm import decontamination, near_copies, secret_scans, source_mixing, toxicity
 from orbisight.llm._common import table
+from orbisight.sources.lineage import shared_folder
 
 
 #: Arrow batches of the stages hold this much text, unless the session says otherwise: rows wait in memory for each batch.
@@ -25,31 +29,48 @@ def bounded(spark: SparkSession) -> None:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null text counts as empty and stays unless empty texts are toxic; rows are judged one by one, so repeated rows share
+    their fate; a null doc_id is never learned from; without labels of both kinds no row goes below a base rate of one half.
+    """
     bounded(spark)
     return toxicity.keep_civil(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, linked by five-word shingles at similarity 0.8."""
+    """One document of each group stays, linked by five-word shingles at similarity 0.8: one of the smallest doc_id.
+
+    Null and empty texts are copies of one another; rows without a doc_id come last; repeated rows leave one; texts of any
+    length are compared whole.
+    """
     bounded(spark)
     return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows share their fate; an item without an id counts like others.
+    """
     bounded(spark)
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; n_chars follows."""
+    """Secrets are replaced in the text; n_chars, where there is such a column, follows.
+
+    A null text stays null and keeps its n_chars; no row goes or comes.
+    """
     bounded(spark)
-    return docs.withColumn("text", secret_scans.redacted(F.col("text"))).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return secret_scans.redact_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each row as often as it is taken, numbered by repetition."""
+    """The mix: each row as often as it is taken, numbered by ``repetition`` (by ``repetition_1`` where there is such a column).
+
+    Null texts have size 0; null is a source of its own; repeated rows are dealt one by one.
+    """
     return source_mixing.mixed(docs, weights=(5, 2, 1))
 
 
@@ -61,7 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; intermediate tables go to the shared checkpoint folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbisight-pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}", f"{k}-{name}.parquet")
