@@ -52,3 +52,19 @@ def test_stage_odd_rows(spark):
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert sorted(stage(spark, frame, SF).collect(), key=str) == sorted([(None, "a b", 1), (4, "x y", 1), (2, None, 1)], key=str)
     assert stage(spark, frame.limit(0), SF).count() == 0
+
+
+def test_set_outside_of_the_main_group_meets_the_sizes_it_may_link(spark):
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(146)]
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for j in rng.sample(range(146), rng.randint(0, 9)):
+            w[j] = f"x{rng.randrange(5) if k % 2 else f'{k}-{j}'}"
+        texts.append(" ".join(w[rng.randint(0, 6) :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect())
+    assert got == sorted(set(brute_groups(texts)))

@@ -20,3 +20,28 @@ def test_terms_of_an_entity_that_occurs_once(spark):
         assert terms == [(j, j + 6, "quagga") for j in at] and len(at) == 3
     assert [s.kind for s in found[3002]] == ["email"]
     assert not any(found[k] for k in range(3000))
+
+
+def test_many_addresses_in_one_text(spark):
+    import time
+
+    text = " ".join(f"user{k}@mail{k % 7}.org😀" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "plain words"), (3, None)], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    took = time.time() - began
+    want, at = [], 0
+    for k, w in enumerate(text.split(" ")):
+        want.append((at, at + len(w) - 1))
+        at += len(w) + 1
+    assert [(s.start, s.end) for s in found[1].spans if s.kind == "email"] == want
+    assert found[1].sanitised == " ".join(["[EMAIL]😀"] * 100_000) and found[2].sanitised is None
+    assert took < 60
+
+
+def test_sanitised_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("ab é😀 xyz end", [("email", 3, 5), ("term", 6, 9), ("phone", 4, 5)]), ("abc", [("ip", 0, 3)]), ("abcdef", [("ip", 0, 3), ("card", 2, 5)]), ("abc", [])]
+    frame = spark.createDataFrame(rows, "t string, s array<struct<kind:string,start:int,end:int>>")
+    assert [r.x for r in frame.select(pii.sanitised(F.col("t"), F.col("s")).alias("x")).collect()] == ["ab [EMAIL]  end", "[IP]", "[IP]f", None]

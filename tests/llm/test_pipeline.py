@@ -5,7 +5,8 @@ import re
 import corpus_pipeline
 from orbisight.llm import decontamination, secret_scans, source_mixing, toxicity
 
-from .test_operators import brute_decontamination, brute_simhash, brute_targets
+from .test_near_copies import brute_groups
+from .test_operators import brute_decontamination, brute_targets, clashing
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +29,7 @@ def test_stages(spark, tmp_path):
             assert {r.doc_id for r in after} == set(ids) - rejected
         elif name == "near_dedup":
             order = sorted(range(len(ids)), key=lambda j: ids[j])
-            _, label = brute_simhash([texts[j] for j in order])
+            label = brute_groups([texts[j] for j in order])
             assert sorted(r.doc_id for r in after) == sorted({ids[order[j]] for j in label})
         elif name == "decontamination":
             assert {r.doc_id for r in after} == {j for j, x in zip(ids, brute_decontamination(texts, items), strict=True) if not x[1]}
@@ -56,5 +57,14 @@ def test_empty_documents(spark, tmp_path):
     assert docs.count() == 0
 
 
+def test_clashing_columns_go_through(spark):
+    docs = clashing(spark, ["a b c d e f g h"] * 3 + [None, "", "token = abcdef12 and words"])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns or name == "source_mixing" and out.columns == [*docs.columns, "repetition_1"]
+        docs = out
+    assert {r[0] for r in docs.collect()} <= {0, 3, 5}
+
+
 def test_kernels_are_shared():
     assert decontamination.alnum_words("A-b É") == [b"a", b"b", "É".encode()] and source_mixing.BROADCAST_SOURCES > 0
