@@ -1,7 +1,8 @@
 """Spherical geometry as column expressions.
 
 Frame: +X right, +Y up, +Z forward; pixel centres; longitude in [-pi, pi), latitude falls with the row.  A ray is a
-struct (x, y, z).  Nothing here leaves whole-stage code generation.
+struct (x, y, z).  Rows may be numbered through a stack of panoramas; ``row_in`` is the row in its own.  Nothing here
+leaves whole-stage code generation.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ def ray_of(lon: Column, lat: Column) -> Column:
     return ray(F.sin(lon) * F.cos(lat), F.sin(lat), F.cos(lon) * F.cos(lat))
 
 
+def row_in(y: Column, height: int) -> Column:
+    """The row in its panorama, of a row of a stack."""
+    return F.pmod(y, F.lit(height))
+
+
 def erp_pixel_to_ray(x: Column, y: Column, height: int, width: int) -> Column:
-    return ray_of(2 * PI * (x + 0.5) / width - PI, PI / 2 - PI * (y + 0.5) / height)
+    return ray_of(2 * PI * (x + 0.5) / width - PI, PI / 2 - PI * (row_in(y, height) + 0.5) / height)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,6 +73,7 @@ def nearest(c: Column) -> Column:
 
 def row_area(y: Column, height: int, width: int) -> Column:
     """Exact solid angle of a cell of the row."""
+    y = row_in(y, height)
     return (F.sin(PI / 2 - PI * y / height) - F.sin(PI / 2 - PI * (y + 1) / height)) * (2 * PI / width)
 
 

@@ -27,6 +27,11 @@ def component_confidence(edges: DataFrame, component: str, group: str, confidenc
     return sums.select(component, F.when(F.col("yes").isNull(), F.col("semantic") * 0.5).otherwise(left).alias("confidence"))
 
 
+def promotion_state(views: Column, confidence: Column, least_views: int = 2, least_confidence: float = 0.55, dormant_below: float = 0.2) -> Column:
+    """Few views are proposed; of the others the sure ones are confirmed, the unsure dormant, and what lies between ambiguous."""
+    return F.when(views < least_views, "proposed").when(confidence >= least_confidence, "confirmed").when(confidence < dormant_below, "dormant").otherwise("ambiguous")
+
+
 def match_prior(matches: DataFrame, pair: str, support: str, valid: Column, mix: float, power: float, most_ratio: float) -> DataFrame:
     """Of every pair: valid and supported matches, effective sample size and the largest ratio of weights.
 

@@ -23,12 +23,12 @@ def measure(cells: DataFrame, height: int, width: int, label: str = "label") ->
 def neighbours(cells: DataFrame, height: int, width: int, label: str = "label") -> DataFrame:
     """(y, x, label, other, edge, side): each cell with its eastern and its southern neighbour and their shared edge.
 
-    The seam wraps, the poles do not; two equi-joins, no all-pairs step.
+    The seam wraps, the poles do not, and panoramas of a stack do not touch; two equi-joins, no all-pairs step.
     """
     a = cells.select("y", "x", F.col(label).alias("label"))
     b = cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(label).alias("other"))
     east = a.join(b, (F.col("ny") == F.col("y")) & (F.col("nx") == F.pmod(F.col("x") + 1, F.lit(width)))).withColumn("edge", F.lit(math.pi / height)).withColumn("side", F.lit("east"))
-    south = a.join(b, (F.col("ny") == F.col("y") + 1) & (F.col("nx") == F.col("x"))).withColumn("edge", 2 * math.pi / width * F.abs(F.cos(math.pi / 2 - math.pi * (F.col("y") + 1) / height))).withColumn("side", F.lit("south"))
+    south = a.join(b, (F.col("ny") == F.col("y") + 1) & (F.col("nx") == F.col("x")) & (G.row_in(F.col("ny"), height) > 0)).withColumn("edge", 2 * math.pi / width * F.abs(F.cos(math.pi / 2 - math.pi * (G.row_in(F.col("y"), height) + 1) / height))).withColumn("side", F.lit("south"))
     return east.unionByName(south)
 
 

@@ -30,10 +30,11 @@ def row_table(spark: SparkSession, height: int, width: int, taps: list[tuple[flo
     return spark.createDataFrame(rows, "y int, dx int, sy int, w double")
 
 
-def gather(cells: DataFrame, lut: DataFrame, width: int) -> DataFrame:
+def gather(cells: DataFrame, lut: DataFrame, height: int, width: int) -> DataFrame:
     """(y, x, w, value, valid): every tap of every observed cell, found by pushing each source to its targets."""
-    source = cells.select(F.col("y").alias("sy"), F.col("x").alias("sx"), "value", "valid")
-    return source.join(F.broadcast(lut), "sy").select("y", F.pmod(F.col("sx") - F.col("dx"), F.lit(width)).alias("x"), "w", "value", "valid")
+    row = G.row_in(F.col("y"), height)
+    source = cells.select((F.col("y") - row).alias("top"), row.alias("sy"), F.col("x").alias("sx"), "value", "valid")
+    return source.join(F.broadcast(lut), "sy").select((F.col("top") + F.col("y")).alias("y"), F.pmod(F.col("sx") - F.col("dx"), F.lit(width)).alias("x"), "w", "value", "valid")
 
 
 def filtered(taps: DataFrame, kind: str = "sum") -> DataFrame:
@@ -69,28 +70,29 @@ def disk_taps(radius_rad: float, east_step: float, north_step: float) -> list[tu
     return [(i * east_step, j * north_step, 1.0) for i in reach(east_step) for j in reach(north_step) if math.hypot(i * east_step, j * north_step) <= radius_rad + 1e-12 or i == j == 0]
 
 
-def morphology(cells: DataFrame, lut: DataFrame, width: int, kind: str) -> DataFrame:
+def morphology(cells: DataFrame, lut: DataFrame, height: int, width: int, kind: str) -> DataFrame:
     """Dilation (max) or erosion (min) over the symmetric closure of the sampled neighbour relation."""
-    source = cells.where("valid").select(F.col("y").alias("sy"), F.col("x").alias("sx"), "value")
+    row = G.row_in(F.col("y"), height)
+    source = cells.where("valid").select((F.col("y") - row).alias("top"), row.alias("sy"), F.col("x").alias("sx"), "value")
     targets = cells.select("y", "x")
-    pushed = source.join(F.broadcast(lut), "sy").select("y", F.pmod(F.col("sx") - F.col("dx"), F.lit(width)).cast("int").alias("x"), "value")
-    pulled = source.select(F.col("sy").alias("y"), "sx", "value").join(F.broadcast(lut), "y").select(F.col("sy").alias("y"), F.pmod(F.col("sx") + F.col("dx"), F.lit(width)).cast("int").alias("x"), "value")
+    pushed = source.join(F.broadcast(lut), "sy").select((F.col("top") + F.col("y")).alias("y"), F.pmod(F.col("sx") - F.col("dx"), F.lit(width)).cast("int").alias("x"), "value")
+    pulled = source.select("top", F.col("sy").alias("y"), "sx", "value").join(F.broadcast(lut), "y").select((F.col("top") + F.col("sy")).alias("y"), F.pmod(F.col("sx") + F.col("dx"), F.lit(width)).cast("int").alias("x"), "value")
     best = F.max("value") if kind == "dilate" else F.min("value")
     return pushed.unionByName(pulled).groupBy("y", "x").agg(best.alias("value")).join(targets, ["y", "x"], "left_semi")
 
 
 def resample_nearest(cells: DataFrame, targets: DataFrame, x: Column, y: Column, height: int, width: int) -> DataFrame:
-    """The cells that fractional source pixels of the targets fall on; x wraps and y clamps."""
-    at = targets.withColumn("_x", F.pmod(G.nearest(x), F.lit(width)).cast("int")).withColumn("_y", F.least(F.greatest(G.nearest(y), F.lit(0)), F.lit(height - 1)).cast("int"))
+    """The cells that fractional source pixels of the targets (pano, ..) fall on; x wraps and y clamps."""
+    at = targets.withColumn("_x", F.pmod(G.nearest(x), F.lit(width)).cast("int")).withColumn("_y", (F.col("pano") * height + F.least(F.greatest(G.nearest(y), F.lit(0)), F.lit(height - 1))).cast("int"))
     source = cells.select(F.col("y").alias("_y"), F.col("x").alias("_x"), "value", "valid")
     return at.join(source, ["_y", "_x"]).drop("_y", "_x")
 
 
 def resample_bilinear(cells: DataFrame, targets: DataFrame, keys: list[str], x: Column, y: Column, height: int, width: int) -> DataFrame:
-    """Four corners of each target by one join, added up with their weights renormalised over valid corners."""
+    """Four corners of each target (pano, ..) by one join, added up with their weights renormalised over valid corners."""
     fx, fy = x - F.floor(x), y - F.floor(y)
     corner = lambda i, j, w: F.struct((F.floor(x) + i).alias("cx"), (F.floor(y) + j).alias("cy"), w.alias("w"))
     four = F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))
-    spread = targets.select(*keys, F.explode(four).alias("c")).select(*keys, F.pmod("c.cx", F.lit(width)).cast("int").alias("_x"), F.least(F.greatest("c.cy", F.lit(0)), F.lit(height - 1)).cast("int").alias("_y"), F.col("c.w").alias("w"))
+    spread = targets.select(*keys, F.explode(four).alias("c")).select(*keys, F.pmod("c.cx", F.lit(width)).cast("int").alias("_x"), (F.col("pano") * height + F.least(F.greatest("c.cy", F.lit(0)), F.lit(height - 1))).cast("int").alias("_y"), F.col("c.w").alias("w"))
     source = cells.where("valid").select(F.col("y").alias("_y"), F.col("x").alias("_x"), "value")
     return spread.join(source, ["_y", "_x"]).groupBy(*keys).agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"), F.sum("w").alias("weight"))

@@ -14,12 +14,12 @@ def absolute_difference(left: DataFrame, right: DataFrame, disparities: int, tru
     return shifted.join(other, ["y", "rx"]).select("y", "x", "d", F.least(F.abs(F.col("l") - F.col("r")), F.lit(truncate)).alias("cost"))
 
 
-def census(cells: DataFrame, radius: int = 1) -> DataFrame:
+def census(cells: DataFrame, height: int, radius: int = 1) -> DataFrame:
     """One bit for each neighbour that is at least the centre, in raster order; cells without all neighbours go."""
     offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy or dx]
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("bit"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate(offsets)])).alias("o")
     asked = cells.select("y", "x", F.col("value").alias("centre"), steps).select("y", "x", "centre", "o.bit", (F.col("y") + F.col("o.dy")).alias("ny"), (F.col("x") + F.col("o.dx")).alias("nx"))
-    found = asked.join(cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"), "value"), ["ny", "nx"])
+    found = asked.join(cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"), "value"), ["ny", "nx"]).where(F.floor(F.col("ny") / height) == F.floor(F.col("y") / height))
     bit = F.when(F.col("value") >= F.col("centre"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
     return found.groupBy("y", "x").agg(F.sum(bit).alias("code"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(offsets)).select("y", "x", "code")
 

@@ -15,14 +15,16 @@ def cube(spark: SparkSession) -> DataFrame:
 
 
 def fibonacci(spark: SparkSession, n: int) -> DataFrame:
-    """Golden-angle spiral, theta = acos(1 - 2 (i + 1/2) / n)."""
-    i = F.col("id").cast("double")
-    return spark.range(n).select(F.col("id").alias("view"), (90 - F.degrees(F.acos(1 - 2 * (i + 0.5) / n))).alias("lat_deg"), F.degrees(F.pmod(i * (math.pi * (3 - math.sqrt(5))), F.lit(2 * math.pi))).alias("lon_deg"))
+    """Golden-ratio spiral through k = i + 1/2: height 1 - 2 k / n, longitude 2 pi k / phi brought to (-180, 180]."""
+    k = F.col("id") + 0.5
+    turn = k * (2 * math.pi / ((1 + math.sqrt(5)) / 2))
+    return spark.range(n).select(F.col("id").alias("view"), F.degrees(F.asin(1 - 2 * k / n)).alias("lat_deg"), F.degrees(F.atan2(F.sin(turn), F.cos(turn))).alias("lon_deg"))
 
 
-def spiral(spark: SparkSession, n: int, turns: float) -> DataFrame:
-    i = F.col("id").cast("double")
-    return spark.range(n).select(F.col("id").alias("view"), (90 - 180 * (i + 0.5) / n).alias("lat_deg"), F.pmod(360 * turns * (i + 0.5) / n, F.lit(360.0)).alias("lon_deg"))
+def spiral(spark: SparkSession, n: int) -> DataFrame:
+    """n even steps t from 0 to 1: latitude acos(1 - 2 t) - 90, longitude sqrt(n) turns of t, from -180 on."""
+    t = F.col("id") / float(max(1, n - 1))
+    return spark.range(n).select(F.col("id").alias("view"), (F.degrees(F.acos(1 - 2 * t)) - 90).alias("lat_deg"), (F.pmod(360 * math.sqrt(n) * t, F.lit(360.0)) - 180).alias("lon_deg"))
 
 
 def icosahedron(spark: SparkSession, subdivisions: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..operators import aggregate as A, regions as R
 from ..sources.tables import AREA, CELLS, EVIDENCE, HEIGHT as H, OBSERVATIONS, WIDTH as W, cells, evidence, observations, read, with_area
 
-LON, LAT = "(2*pi()*(x+0.5)/128 - pi())", "(pi()/2 - pi()*(y+0.5)/64)"
+LON, LAT = "(2*pi()*(x+0.5)/128 - pi())", "(pi()/2 - pi()*(y%64+0.5)/64)"
 RAY = f"sin({LON})*cos({LAT}) AS rx, sin({LAT}) AS ry, cos({LON})*cos({LAT}) AS rz"
 RAYS = f"{CELLS}, rays AS (SELECT *, {RAY} FROM cells)"
 
@@ -104,7 +104,7 @@ def area_histogram(spark, d: str) -> DataFrame:
 
 def equalize_histogram(spark, d: str) -> DataFrame:
     level = F.least(F.floor(F.col("value")), F.lit(255)).cast("int")
-    return A.equalisation(cells(spark, d).where("valid"), level, F.round(F.cos(G.PI / 2 - G.PI * (F.col("y") + 0.5) / H) * 1e6).cast("long").cast("double"))
+    return A.equalisation(cells(spark, d).where("valid"), level, F.round(F.cos(G.PI / 2 - G.PI * (G.row_in(F.col("y"), H) + 0.5) / H) * 1e6).cast("long").cast("double"))
 
 
 def measure_by_row(spark, d: str) -> DataFrame:
@@ -192,7 +192,7 @@ def range_metrics(spark, d: str) -> DataFrame:
 
 
 def transpose_antipodal(spark, d: str) -> DataFrame:
-    return cells(spark, d).select((H - 1 - F.col("y")).alias("y"), ((F.col("x") + W // 2) % W).alias("x"), "value")
+    return cells(spark, d).select((F.col("y") + H - 1 - 2 * G.row_in(F.col("y"), H)).alias("y"), ((F.col("x") + W // 2) % W).alias("x"), "value")
 
 
 def epipolar_errors(spark, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ def luma_of_parts(spark, d: str) -> DataFrame:
 
 _E = "((-0.3)*ry + 0.2*rz)", "(0.3*rx - 0.9*rz)", "((-0.2)*rx + 0.9*ry)"
 _NEIGHBOURS = f"""{CELLS}, pairs AS (SELECT a.y, a.x, a.label, b.label AS other, pi()/64 AS edge, b.y AS ny, b.x AS nx FROM cells a JOIN cells b ON b.y = a.y AND b.x = (a.x + 1) % 128
- UNION ALL SELECT a.y, a.x, a.label, b.label, 2*pi()/128*abs(cos(pi()/2 - pi()*(a.y+1)/64)), b.y, b.x FROM cells a JOIN cells b ON b.y = a.y + 1 AND b.x = a.x)"""
+ UNION ALL SELECT a.y, a.x, a.label, b.label, 2*pi()/128*abs(cos(pi()/2 - pi()*(a.y%64+1)/64)), b.y, b.x FROM cells a JOIN cells b ON b.y = a.y + 1 AND b.x = a.x AND b.y % 64 > 0)"""
 
 
 def _blend_sql(expression: str) -> str:
@@ -271,7 +271,7 @@ QUERIES = {
     "voxel_blend": (voxel_blend, "WITH p AS (SELECT l_extendedprice/1000 AS x, l_discount AS y, l_quantity/10 AS z, l_quantity AS w FROM lineitem) SELECT CAST(floor(x/5) AS BIGINT) AS kx, CAST(floor(y/5) AS BIGINT) AS ky, CAST(floor(z/5) AS BIGINT) AS kz, round(sum(w),3) AS weight, round(sum(w*x)/sum(w),5) AS x, round(sum(w*y)/sum(w),5) AS y, round(sum(w*z)/sum(w),5) AS z FROM p GROUP BY 1, 2, 3 HAVING sum(w) >= 1e-6"),
     "binary_region_metrics": (binary_region_metrics, "WITH s AS (SELECT sum(CASE WHEN quality=1 AND toxic=0 THEN 1.0 ELSE 0 END)::DOUBLE AS b, sum(CASE WHEN quality=1 THEN 1.0 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN toxic=0 THEN 1.0 ELSE 0 END)::DOUBLE AS t, sum(CASE WHEN quality=1 OR toxic=0 THEN 1.0 ELSE 0 END)::DOUBLE AS u FROM labels) SELECT round(b/u,6) AS iou, round(2*b/(p+t),6) AS dice, round(b/p,6) AS precision, round(b/t,6) AS recall FROM s"),
     "range_metrics": (range_metrics, "WITH p AS (SELECT l_extendedprice*(1-l_discount) AS a, l_extendedprice AS t, l_quantity AS w FROM lineitem WHERE l_extendedprice > 0) SELECT round(sum(abs(a-t)*w)/sum(w),4) AS mae, round(sqrt(sum((a-t)*(a-t)*w)/sum(w)),4) AS rmse, round(sum(abs(a-t)/t*w)/sum(w),4) AS abs_rel, round(sum(CASE WHEN greatest(a/t,t/a) < 1.25 THEN w ELSE 0 END)/sum(w),4) AS delta_1, count(*) AS n FROM p"),
-    "transpose_antipodal": (transpose_antipodal, f"WITH {CELLS} SELECT 63 - y AS y, (x + 64) % 128 AS x, value FROM cells"),
+    "transpose_antipodal": (transpose_antipodal, f"WITH {CELLS} SELECT y + 63 - 2*(y%64) AS y, (x + 64) % 128 AS x, value FROM cells"),
     "epipolar_errors": (epipolar_errors, f"""WITH {RAYS}, q AS (SELECT y, x, {_E[0]} AS ax, {_E[1]} AS ay, {_E[2]} AS az, {_R1[0]} AS bx, {_R1[1]} AS by_, {_R1[2]} AS bz FROM rays), g AS (SELECT *, 0.3*by_ - 0.2*bz AS cx, -0.3*bx + 0.9*bz AS cy, 0.2*bx - 0.9*by_ AS cz, bx*ax + by_*ay + bz*az AS v FROM q), h AS (SELECT *, ax*ax+ay*ay+az*az - v*v + cx*cx+cy*cy+cz*cz - v*v AS n FROM g)
  SELECT y, x, round(CASE WHEN n > 0 THEN abs(v)/sqrt(n) ELSE abs(v) END,7) AS residual FROM h"""),
     "luma_of_parts": (luma_of_parts, "SELECT p_partkey, round(0.299*p_size + 0.587*p_retailprice + 0.114*(p_partkey % 255),4) AS luma FROM part"),

@@ -26,11 +26,11 @@ def _stencil(kernel: list[list[float]], kind: str, digits: int = 5):
     taps = S.kernel_taps(kernel, STEP)
 
     def run(spark, d: str) -> DataFrame:
-        found = S.filtered(S.gather(cells(spark, d), S.row_table(spark, H, W, taps), W), kind)
+        found = S.filtered(S.gather(cells(spark, d), S.row_table(spark, H, W, taps), H, W), kind)
         return found.select("y", "x", r("value", digits).alias("value"), "taps")
 
     made = {"sum": "sum(w*value)", "mean": "sum(w*value)/sum(w)", "median": "median(value)", "max": "max(value)", "min": "min(value)"}[kind]
-    sql = f"WITH {CELLS}, {_lut_sql(taps)} SELECT CAST(l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, round({made}, {digits}) AS value, count(*) AS taps FROM cells c JOIN lut l ON c.y = l.sy WHERE c.valid GROUP BY 1, 2"
+    sql = f"WITH {CELLS}, {_lut_sql(taps)} SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, round({made}, {digits}) AS value, count(*) AS taps FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2"
     return run, sql
 
 
@@ -44,7 +44,7 @@ def gradient(spark, d: str) -> DataFrame:
     pairs = S.row_table(spark, H, W, [(e[0], e[1], k) for k, e in enumerate(east)]).withColumnRenamed("w", "k")
     weights = spark.createDataFrame([(float(k), e[2], n[2]) for k, (e, n) in enumerate(zip(east, north, strict=True))], "k double, we double, wn double")
     taps = pairs.join(F.broadcast(weights), "k").withColumn("w", F.struct("we", "wn"))
-    got = S.gather(cells(spark, d), taps.select("y", "dx", "sy", "w"), W).where("valid")
+    got = S.gather(cells(spark, d), taps.select("y", "dx", "sy", "w"), H, W).where("valid")
     sums = got.groupBy("y", "x").agg(F.sum(F.col("w.we") * F.col("value")).alias("e"), F.sum(F.col("w.wn") * F.col("value")).alias("n"))
     return sums.select("y", "x", r("e", 5).alias("east"), r("n", 5).alias("north"), r(F.hypot("e", "n"), 5).alias("magnitude"))
 
@@ -53,50 +53,53 @@ def _gradient_sql() -> str:
     east, north = S.kernel_taps(S.SOBEL_EAST, STEP), S.kernel_taps(S.SOBEL_NORTH, STEP)
     both = _lut_sql([(a[0], a[1], a[2] * 1024 + b[2]) for a, b in zip(east, north, strict=True)])
     # the two weights are packed into one number, multiples of 1/8 below one and of 128 above
-    return f"""WITH {CELLS}, {both}, s AS (SELECT CAST(l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(round(w/1024*8)/8*value) AS e, sum((w - round(w/1024*8)/8*1024)*value) AS n FROM cells c JOIN lut l ON c.y = l.sy WHERE c.valid GROUP BY 1, 2)
+    return f"""WITH {CELLS}, {both}, s AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(round(w/1024*8)/8*value) AS e, sum((w - round(w/1024*8)/8*1024)*value) AS n FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2)
  SELECT y, x, round(e,5) AS east, round(n,5) AS north, round(sqrt(e*e+n*n),5) AS magnitude FROM s"""
 
 
 def _morph(kind: str):
     def run(spark, d: str) -> DataFrame:
-        return S.morphology(cells(spark, d), S.row_table(spark, H, W, _DISK), W, kind)
+        return S.morphology(cells(spark, d), S.row_table(spark, H, W, _DISK), H, W, kind)
 
     best = "max" if kind == "dilate" else "min"
-    sql = f"""WITH {CELLS}, {_lut_sql(_DISK)}, p AS (SELECT l.y AS y, ((c.x - dx) % 128 + 128) % 128 AS x, value FROM cells c JOIN lut l ON c.y = l.sy WHERE c.valid UNION ALL SELECT l.sy, (c.x + dx + 128) % 128, value FROM cells c JOIN lut l ON c.y = l.y WHERE c.valid)
+    sql = f"""WITH {CELLS}, {_lut_sql(_DISK)}, p AS (SELECT c.y - c.y%64 + l.y AS y, ((c.x - dx) % 128 + 128) % 128 AS x, value FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid UNION ALL SELECT c.y - c.y%64 + l.sy, (c.x + dx + 128) % 128, value FROM cells c JOIN lut l ON c.y % 64 = l.y WHERE c.valid)
  SELECT CAST(p.y AS INTEGER) AS y, CAST(p.x AS INTEGER) AS x, {best}(p.value) AS value FROM p JOIN cells t ON t.y = p.y AND t.x = p.x GROUP BY 1, 2"""
     return run, sql
 
 
 def opening(spark, d: str) -> DataFrame:
     lut = S.row_table(spark, H, W, _DISK)
-    low = S.morphology(cells(spark, d), lut, W, "erode").withColumn("valid", F.lit(True))
-    return S.morphology(low, lut, W, "dilate")
+    low = S.morphology(cells(spark, d), lut, H, W, "erode").withColumn("valid", F.lit(True))
+    return S.morphology(low, lut, H, W, "dilate")
 
 
 def closing(spark, d: str) -> DataFrame:
     lut = S.row_table(spark, H, W, _DISK)
-    high = S.morphology(cells(spark, d), lut, W, "dilate").withColumn("valid", F.lit(True))
-    return S.morphology(high, lut, W, "erode")
+    high = S.morphology(cells(spark, d), lut, H, W, "dilate").withColumn("valid", F.lit(True))
+    return S.morphology(high, lut, H, W, "erode")
 
 
-def _targets(spark, h: int, w: int) -> DataFrame:
-    return spark.range(h * w).select(F.floor(F.col("id") / w).cast("int").alias("oy"), (F.col("id") % w).cast("int").alias("ox"))
+def _targets(spark, d: str, h: int, w: int) -> DataFrame:
+    """(pano, oy, ox): an output lattice for each panorama of the stack."""
+    panos = cells(spark, d).select(F.floor(F.col("y") / H).alias("pano")).distinct()
+    each = panos.select("pano", F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("id"))
+    return each.select("pano", F.floor(F.col("id") / w).cast("int").alias("oy"), (F.col("id") % w).cast("int").alias("ox"))
 
 
 def resize_bilinear(spark, d: str) -> DataFrame:
     x, y = (F.col("ox") + 0.5) / 48 * W - 0.5, (F.col("oy") + 0.5) / 24 * H - 0.5
-    return S.resample_bilinear(cells(spark, d), _targets(spark, 24, 48), ["oy", "ox"], x, y, H, W).select("oy", "ox", r("value").alias("value"), r("weight").alias("weight"))
+    return S.resample_bilinear(cells(spark, d), _targets(spark, d, 24, 48), ["pano", "oy", "ox"], x, y, H, W).select("pano", "oy", "ox", r("value").alias("value"), r("weight").alias("weight"))
 
 
 def resize_nearest(spark, d: str) -> DataFrame:
     x, y = (F.col("ox") + 0.5) / 48 * W - 0.5, (F.col("oy") + 0.5) / 24 * H - 0.5
-    return S.resample_nearest(cells(spark, d), _targets(spark, 24, 48), x, y, H, W).select("oy", "ox", "value", "valid")
+    return S.resample_nearest(cells(spark, d), _targets(spark, d, 24, 48), x, y, H, W).select("pano", "oy", "ox", "value", "valid")
 
 
 def rotate_nearest(spark, d: str) -> DataFrame:
     m = G.axis_rotation((0.3, 1.0, 0.2), -0.7)
-    t = _targets(spark, H, W).withColumn("p", G.ray_to_erp_pixel(G.rotate(m, G.erp_pixel_to_ray(F.col("ox"), F.col("oy"), H, W)), H, W))
-    return S.resample_nearest(cells(spark, d), t, F.round("p.x", 9), F.round("p.y", 9), H, W).select("oy", "ox", "value", "valid")
+    t = _targets(spark, d, H, W).withColumn("p", G.ray_to_erp_pixel(G.rotate(m, G.erp_pixel_to_ray(F.col("ox"), F.col("oy"), H, W)), H, W))
+    return S.resample_nearest(cells(spark, d), t, F.round("p.x", 9), F.round("p.y", 9), H, W).select("pano", "oy", "ox", "value", "valid")
 
 
 def _rotate_sql() -> str:
@@ -104,7 +107,7 @@ def _rotate_sql() -> str:
     q = [" + ".join(f"({v!r}::DOUBLE)*{c}" for v, c in zip(row, ("sin(lon)*cos(lat)", "sin(lat)", "cos(lon)*cos(lat)"), strict=True)) for row in m]
     return f"""WITH {CELLS}, t AS (SELECT id // 128 AS oy, id % 128 AS ox, 2*pi()*((id % 128)+0.5)/128 - pi() AS lon, pi()/2 - pi()*((id // 128)+0.5)/64 AS lat FROM range(8192) g(id)), q AS (SELECT oy, ox, {q[0]} AS a, {q[1]} AS b, {q[2]} AS c FROM t),
  p AS (SELECT oy, ox, (atan2(a,c)+pi())/(2*pi())*128-0.5 AS u, round((pi()/2-asin(greatest(-1.0,least(1.0,b/sqrt(a*a+b*b+c*c)))))/pi()*64-0.5,9) AS v FROM q), n AS (SELECT oy, ox, CAST(floor(round(u-128*floor(u/128),9)+0.5) AS BIGINT) % 128 AS sx, CAST(least(63,greatest(0,floor(v+0.5))) AS BIGINT) AS sy FROM p)
- SELECT CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, value, valid FROM n JOIN cells c ON c.y = sy AND c.x = sx"""
+ SELECT c.y // 64 AS pano, CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, value, valid FROM n JOIN cells c ON c.y % 64 = sy AND c.x = sx"""
 
 
 _RESIZE = "t AS (SELECT id // 48 AS oy, id % 48 AS ox, ((id % 48)+0.5)/48*128-0.5 AS u, ((id // 48)+0.5)/24*64-0.5 AS v FROM range(1152) g(id))"
@@ -121,11 +124,11 @@ def absolute_difference_cost(spark, d: str) -> DataFrame:
 
 
 def census_codes(spark, d: str) -> DataFrame:
-    return T.census(cells(spark, d))
+    return T.census(cells(spark, d), H)
 
 
 def census_cost(spark, d: str) -> DataFrame:
-    c = T.census(cells(spark, d))
+    c = T.census(cells(spark, d), H)
     return T.census_cost(c, c.withColumn("x", F.col("x") - 2), _DISP)
 
 
@@ -144,7 +147,7 @@ def semi_global_cost(spark, d: str) -> DataFrame:
 
 _AD = f"{CELLS}, l AS (SELECT y, x, value, d FROM cells, range({_DISP}) g(d) WHERE valid), rr AS (SELECT y, x - y % 4 AS x, value FROM cells WHERE valid), ad AS (SELECT l.y, l.x, CAST(d AS INTEGER) AS d, least(abs(l.value - rr.value), 50.0) AS cost FROM l JOIN rr ON rr.y = l.y AND rr.x = l.x - d)"
 _OFFSETS = ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
-_CENSUS = f"{CELLS}, o(bit, dy, dx) AS (VALUES {_OFFSETS}), census AS (SELECT c.y, c.x, CAST(sum(CASE WHEN n.value >= c.value THEN 1::BIGINT << bit ELSE 0 END) AS BIGINT) AS code FROM cells c, o JOIN cells n ON n.y = c.y + o.dy AND n.x = c.x + o.dx GROUP BY 1, 2 HAVING count(*) = 8)"
+_CENSUS = f"{CELLS}, o(bit, dy, dx) AS (VALUES {_OFFSETS}), census AS (SELECT c.y, c.x, CAST(sum(CASE WHEN n.value >= c.value THEN 1::BIGINT << bit ELSE 0 END) AS BIGINT) AS code FROM cells c, o JOIN cells n ON n.y = c.y + o.dy AND n.x = c.x + o.dx AND n.y // 64 = c.y // 64 GROUP BY 1, 2 HAVING count(*) = 8)"
 
 
 def views_cube(spark, d: str) -> DataFrame:
@@ -156,7 +159,7 @@ def views_fibonacci(spark, d: str) -> DataFrame:
 
 
 def views_spiral(spark, d: str) -> DataFrame:
-    return V.spiral(spark, 200, 8.0).select("view", r("lat_deg").alias("lat_deg"), r("lon_deg").alias("lon_deg"))
+    return V.spiral(spark, 200).select("view", r("lat_deg").alias("lat_deg"), r("lon_deg").alias("lon_deg"))
 
 
 def views_icosahedron(spark, d: str) -> DataFrame:
@@ -174,9 +177,9 @@ QUERIES = {
     "filter_box": _stencil(_BOX, "sum"), "box_blur": _stencil(_BOX, "mean"), "gaussian_blur": _stencil(S.gaussian_kernel(5, 1.0), "mean"), "median_blur": _stencil([[1.0] * 3] * 3, "median", 6), "max_pool": _stencil([[1.0] * 3] * 3, "max"), "min_pool": _stencil([[1.0] * 3] * 3, "min"),
     "sobel_east": _stencil(S.SOBEL_EAST, "sum"), "sobel_north": _stencil(S.SOBEL_NORTH, "sum"), "laplacian": _stencil(S.LAPLACE, "sum"), "gradient": (gradient, _gradient_sql()),
     "dilate": _morph("dilate"), "erode": _morph("erode"), "opening": (opening, None), "closing": (closing, None),
-    "resize_nearest": (resize_nearest, f"WITH {CELLS}, {_RESIZE} SELECT CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, value, valid FROM t JOIN cells c ON c.x = CAST(floor(u+0.5) AS BIGINT) % 128 AND c.y = least(63,greatest(0,CAST(floor(v+0.5) AS BIGINT)))"),
+    "resize_nearest": (resize_nearest, f"WITH {CELLS}, {_RESIZE} SELECT c.y // 64 AS pano, CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, value, valid FROM t JOIN cells c ON c.x = CAST(floor(u+0.5) AS BIGINT) % 128 AND c.y % 64 = least(63,greatest(0,CAST(floor(v+0.5) AS BIGINT)))"),
     "resize_bilinear": (resize_bilinear, f"""WITH {CELLS}, {_RESIZE}, k AS (SELECT oy, ox, (CAST(floor(u) AS BIGINT)+i+128) % 128 AS sx, least(63,greatest(0,CAST(floor(v) AS BIGINT)+j)) AS sy, (CASE WHEN i=0 THEN 1-(u-floor(u)) ELSE u-floor(u) END)*(CASE WHEN j=0 THEN 1-(v-floor(v)) ELSE v-floor(v) END) AS w FROM t, range(2) a(i), range(2) b(j))
- SELECT CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, round(CASE WHEN sum(w) <> 0 THEN sum(w*value)/sum(w) END,6) AS value, round(sum(w),6) AS weight FROM k JOIN cells c ON c.x = sx AND c.y = sy WHERE valid GROUP BY 1, 2"""),
+ SELECT c.y // 64 AS pano, CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, round(CASE WHEN sum(w) <> 0 THEN sum(w*value)/sum(w) END,6) AS value, round(sum(w),6) AS weight FROM k JOIN cells c ON c.x = sx AND c.y % 64 = sy WHERE valid GROUP BY 1, 2, 3"""),
     "rotate_nearest": (rotate_nearest, _rotate_sql()),
     "absolute_difference_cost": (absolute_difference_cost, f"WITH {_AD} SELECT y, x, d, round(cost,6) AS cost FROM ad"), "census_codes": (census_codes, f"WITH {_CENSUS} SELECT y, x, code FROM census"),
     "census_cost": (census_cost, f"WITH {_CENSUS} SELECT a.y, a.x, CAST(d AS INTEGER) AS d, CAST(bit_count(xor(a.code, b.code)) AS DOUBLE) AS cost FROM census a, range({_DISP}) g(d) JOIN census b ON b.y = a.y AND b.x - 2 = a.x - d"),
@@ -186,8 +189,8 @@ QUERIES = {
  SELECT y, x, d AS disparity, round(cost,6) AS cost, round(second,6) AS second, round(d + coalesce(CASE WHEN lo-2*cost+hi > 0 THEN least(greatest((lo-hi)/(2*(lo-2*cost+hi)),-0.5),0.5) ELSE 0 END, 0),4) AS refined FROM s"""),
     "semi_global_cost": (semi_global_cost, None),
     "views_cube": (views_cube, "SELECT * FROM (VALUES (0,'front',0.0::DOUBLE,0.0::DOUBLE),(1,'right',0,90),(2,'back',0,-180),(3,'left',0,-90),(4,'up',90,0),(5,'down',-90,0)) t(view,name,lat_deg,lon_deg)"),
-    "views_fibonacci": (views_fibonacci, "SELECT id AS view, round(90 - degrees(acos(1 - 2*(id+0.5)/200)),6) AS lat_deg, round(degrees(id*(pi()*(3-sqrt(5.0::DOUBLE))) - floor(id*(pi()*(3-sqrt(5.0::DOUBLE)))/(2*pi()))*2*pi()),6) AS lon_deg FROM range(200) t(id)"),
-    "views_spiral": (views_spiral, "SELECT id AS view, round(90 - 180*(id+0.5)/200.0::DOUBLE,6) AS lat_deg, round(360*8.0::DOUBLE*(id+0.5)/200 - floor(8.0::DOUBLE*(id+0.5)/200)*360,6) AS lon_deg FROM range(200) t(id)"),
+    "views_fibonacci": (views_fibonacci, "WITH t AS (SELECT id, id+0.5::DOUBLE AS k, (id+0.5::DOUBLE)*(2*pi()/((1+sqrt(5.0::DOUBLE))/2)) AS a FROM range(200) t(id)) SELECT id AS view, round(degrees(asin(1 - 2*k/200)),6) AS lat_deg, round(degrees(atan2(sin(a),cos(a))),6) AS lon_deg FROM t"),
+    "views_spiral": (views_spiral, "WITH t AS (SELECT id, id/199.0::DOUBLE AS t FROM range(200) t(id)), a AS (SELECT id, t, 360*sqrt(200.0::DOUBLE)*t AS o FROM t) SELECT id AS view, round(degrees(acos(1 - 2*t)) - 90,6) AS lat_deg, round(o - floor(o/360)*360 - 180,6) AS lon_deg FROM a"),
     "views_icosahedron": (views_icosahedron, None),
     "fov_anchors": (fov_anchors, """WITH p AS (SELECT p_partkey AS id, p_retailprice/10000 AS score, 20.0 + p_size AS hfov, 15.0 + p_size/2.0 AS vfov FROM part), g AS (SELECT id, score, hfov, vfov, s, a FROM p, (VALUES (0.5::DOUBLE),(1),(2)) q(s), (VALUES (0.5::DOUBLE),(1),(2)) w(a)),
  m AS (SELECT id, round(least(greatest(hfov*s*sqrt(a),10.0),90.0),9) AS h, round(least(greatest(vfov*s/sqrt(a),10.0),90.0),9) AS v, score*exp(-0.15*(abs(ln(s))+0.5*abs(ln(a)))) AS sc FROM g)

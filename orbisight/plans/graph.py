@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as G
-from ..operators import match as M, regions as R, robust as B
+from ..operators import decisions as D, match as M, regions as R, robust as B
 from ..sources.tables import OBSERVATIONS, observations, read
 from ..streaming import keyframes as K
 from .area import r
@@ -33,33 +33,50 @@ def mutual_match(spark, d: str) -> DataFrame:
 def embedding_topk(spark, d: str) -> DataFrame:
     """Labels by the largest cosine of any member to vector 0; order by score, then label."""
     e = _embeddings(spark, d)
-    query = e.where("vec_id = 0").first().vector  # one row
+    first = e.where("vec_id = 0").first()  # one row
+    query = first.vector if first else []
     members = e.where("vec_id <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     top = M.embedding_query(e.where("vec_id <> 0"), query, 5, "label")
     return top.join(members, "label").select("label", r("similarity", 5).alias("similarity"), "members")
 
 
+def _joint_matches(spark, d: str) -> DataFrame:
+    """(class_id, id_a, id_b, inlier, residual_deg): parts that two suppliers of a nation both deliver, as feature matches."""
+    s = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("class_id"))
+    l = read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_quantity").alias("q")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    a = l.where("l_suppkey % 2 = 0").select("class_id", "l_partkey", F.col("l_suppkey").alias("id_a"), F.col("q").alias("q_a"))
+    b = l.where("l_suppkey % 2 = 1").select("class_id", "l_partkey", F.col("l_suppkey").alias("id_b"), F.col("q").alias("q_b"))
+    off = F.abs(F.col("q_a") - F.col("q_b")) / 10
+    return a.join(b, ["class_id", "l_partkey"]).select("class_id", "id_a", "id_b", (off <= 2).alias("inlier"), off.alias("residual_deg"))
+
+
 def _sides(spark, d: str) -> tuple[DataFrame, DataFrame]:
     s = read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("class_id"), F.col("s_suppkey").alias("id"), ((F.col("s_acctbal") + 1000) / 11000).alias("score"), (F.col("s_suppkey") % 10 / 10).alias("v"))
     return s.where("id % 2 = 0"), s.where("id % 2 = 1")
 
 
 def region_association(spark, d: str) -> DataFrame:
-    return M.propose_associations(*_sides(spark, d)).select("class_id", "id_a", "id_b", r("score").alias("score"))
+    p = M.propose_associations(*_sides(spark, d), _joint_matches(spark, d))
+    return p.select("class_id", "id_a", "id_b", "matches", "inliers", r("score").alias("score"), r("geometric").alias("geometric"), "state", F.array_join("reasons", ",").alias("reasons"))
 
 
 def region_assignment(spark, d: str) -> DataFrame:
-    return M.assign(M.propose_associations(*_sides(spark, d)))
+    return M.assign(M.propose_associations(*_sides(spark, d), _joint_matches(spark, d)).where("state = 'accepted'"))
 
 
 def spatial_box_query(spark, d: str) -> DataFrame:
     return observations(spark, d).where(F.col("lon").between(1.0, 2.5) & F.col("lat").between(-0.5, 0.7)).select("id", r("lon").alias("lon"), r("lat").alias("lat"), "label")
 
 
-def neighbors(spark, d: str) -> DataFrame:
+def _next_customers(spark, d: str) -> DataFrame:
+    """(c, n): customers of orders that follow one another on a day."""
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("c"), "o_orderdate", "o_orderkey")
     w = Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")
-    e = o.select("c", F.lead("c").over(w).alias("n")).where("n IS NOT NULL AND c <> n")
+    return o.select("c", F.lead("c").over(w).alias("n")).where("n IS NOT NULL AND c <> n")
+
+
+def neighbors(spark, d: str) -> DataFrame:
+    e = _next_customers(spark, d)
     return e.select("c", "n").unionByName(e.select(F.col("n").alias("c"), F.col("c").alias("n"))).distinct().groupBy(F.col("c").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("n").alias("first"), F.max("n").alias("last"))
 
 
@@ -67,21 +84,17 @@ _EDGES = "e AS (SELECT c, n FROM (SELECT o_custkey AS c, lead(o_custkey) OVER (P
 
 
 def graph_components(spark, d: str) -> DataFrame:
-    """Components of parts that were ordered together in small orders."""
-    l = read(spark, d, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_partkey")
-    e = l.groupBy("l_orderkey").agg(F.min("l_partkey").alias("b")).join(l, "l_orderkey").select(F.col("l_partkey").alias("a"), "b")
-    nodes = l.select(F.col("l_partkey").alias("node")).distinct()
-    return R.components(nodes, e).groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    """Components of customers, each tied to the next customer of the same day."""
+    nodes = read(spark, d, "customer").select(F.col("c_custkey").alias("node"))
+    return R.components(nodes, _next_customers(spark, d).select(F.col("c").alias("a"), F.col("n").alias("b"))).groupBy("root").agg(F.count(F.lit(1)).alias("members"))
 
 
-_COMP = "l AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 48), h AS (SELECT l_orderkey, min(l_partkey) AS b FROM l GROUP BY 1), e AS (SELECT l_partkey AS a, b FROM l JOIN h USING (l_orderkey) UNION SELECT b, l_partkey FROM l JOIN h USING (l_orderkey)), w AS (SELECT l_partkey AS node, l_partkey AS root FROM l UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b)"
 
 
 def hypotheses(spark, d: str) -> DataFrame:
     """One row for each customer with support from several priorities: confidence, state and view count."""
-    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("views"), F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
-    state = F.when((F.col("views") >= 3) & (F.col("mean") >= 0.5 * F.col("most")), "confirmed").when(F.col("views") >= 2, "proposed").otherwise("dormant")
-    return o.select("o_custkey", "views", r(F.col("mean") / F.col("most"), 5).alias("confidence"), state.alias("state"))
+    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("views"), F.round(F.avg("o_totalprice") / F.max("o_totalprice"), 5).alias("confidence"))
+    return o.select("o_custkey", "views", "confidence", D.promotion_state(F.col("views"), F.col("confidence")).alias("state"))
 
 
 def nms_angular(spark, d: str) -> DataFrame:
@@ -106,7 +119,8 @@ def resolution_plateau(spark, d: str) -> DataFrame:
 def text_query(spark, d: str) -> DataFrame:
     """Documents by cosine of a hashed bag of words to the words of the first one; a top-k report."""
     docs = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", M.text_encoding(F.col("text")).alias("vector"))
-    query = docs.where("doc_id = 0").first().vector  # one row
+    first = docs.where("doc_id = 0").first()  # one row
+    query = first.vector if first else []
     return M.embedding_query(docs, query, 20, "doc_id").select("doc_id", r("similarity", 6).alias("score"))
 
 
@@ -123,7 +137,7 @@ def referential_integrity(spark, d: str) -> DataFrame:
 
 def pair_affinity(spark, d: str) -> DataFrame:
     """Jaccard overlap of the parts of two suppliers that share any."""
-    l = read(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    l = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     n = l.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     both = l.join(l.select(F.col("s").alias("t"), "p"), "p").where("s < t").groupBy("s", "t").agg(F.count(F.lit(1)).alias("common"))
     j = both.join(n, "s").join(n.select(F.col("s").alias("t"), F.col("n").alias("m")), "t")
@@ -191,19 +205,23 @@ QUERIES = {
     "embedding_ratio_match": (embedding_ratio_match, f"WITH {_KNN.format(0, 1)} SELECT query_id, max(CASE WHEN rank=1 THEN train_id END) AS train_id, round(min(distance),5) AS distance FROM k0 WHERE rank <= 2 GROUP BY query_id HAVING min(distance) < 0.98*max(distance)"),
     "mutual_match": (mutual_match, f"WITH {_KNN.format(0, 1)}, f AS (SELECT * FROM k0 WHERE rank=1), g AS (SELECT * FROM (SELECT b.vec_id AS q, a.vec_id AS t, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), a.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) WHERE rank = 1) SELECT query_id, train_id, round(distance,5) AS distance FROM f JOIN g ON g.q = train_id AND g.t = query_id"),
     "embedding_topk": (embedding_topk, "SELECT e.label, round(max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])),5) AS similarity, count(*) AS members FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE vec_id <> 0 GROUP BY 1 ORDER BY similarity DESC, label LIMIT 5"),
-    "region_association": (region_association, "WITH s AS (SELECT CAST(s_nationkey AS BIGINT) AS class_id, s_suppkey AS id, (s_acctbal+1000)/11000 AS score, (s_suppkey % 10)/10.0::DOUBLE AS v FROM supplier) SELECT a.class_id, a.id AS id_a, b.id AS id_b, round(least(greatest(0.35*sqrt(a.score*b.score)+0.65*exp(-abs(a.v-b.v)),0),1),6) AS score FROM s a JOIN s b ON a.class_id = b.class_id AND a.id % 2 = 0 AND b.id % 2 = 1"),
+    "region_association": (region_association, """WITH s AS (SELECT CAST(s_nationkey AS BIGINT) AS class_id, s_suppkey AS id, (s_acctbal+1000)/11000 AS score FROM supplier), l AS (SELECT class_id, l_partkey AS p, l_suppkey AS id, min(l_quantity) AS q FROM lineitem JOIN s ON l_suppkey = id GROUP BY 1, 2, 3),
+ m AS (SELECT a.class_id, a.id AS id_a, b.id AS id_b, count(*) AS matches, count(*) FILTER (WHERE abs(a.q-b.q)/10 <= 2) AS inliers, median(abs(a.q-b.q)/10) FILTER (WHERE abs(a.q-b.q)/10 <= 2) AS res FROM l a JOIN l b ON a.class_id = b.class_id AND a.p = b.p AND a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1, 2, 3),
+ k AS (SELECT a.class_id, a.id AS id_a, b.id AS id_b, coalesce(matches,0) AS matches, coalesce(inliers,0) AS inliers, res, sqrt(a.score*b.score) AS sem, coalesce(inliers,0)/greatest(coalesce(matches,0),1)::DOUBLE AS ratio, CASE WHEN res IS NULL THEN 0 ELSE exp(-res/1.5) END AS fit FROM s a JOIN s b ON a.class_id = b.class_id AND a.id % 2 = 0 AND b.id % 2 = 1 LEFT JOIN m ON m.id_a = a.id AND m.id_b = b.id)
+ SELECT class_id, id_a, id_b, matches, inliers, round(least(greatest(0.35*sem+0.4*ratio+0.25*fit,0),1),6) AS score, round(least(greatest(0.6*ratio+0.4*fit,0),1),6) AS geometric, CASE WHEN matches >= 3 AND inliers >= 3 AND coalesce(res,0) <= 1.5 THEN 'accepted' ELSE 'rejected' END AS state,
+ concat_ws(',', CASE WHEN matches < 3 THEN 'too-few-region-matches' END, CASE WHEN inliers < 3 THEN 'too-few-region-pose-inliers' END, CASE WHEN res > 1.5 THEN 'high-region-pose-residual' END) AS reasons FROM k"""),
     "region_assignment": (region_assignment, None),
     "spatial_box_query": (spatial_box_query, f"WITH {OBSERVATIONS} SELECT id, round(lon,6) AS lon, round(lat,6) AS lat, label FROM observations WHERE lon BETWEEN 1.0 AND 2.5 AND lat BETWEEN -0.5 AND 0.7"),
     "neighbors": (neighbors, f"WITH {_EDGES} SELECT c AS node, count(*) AS degree, min(n) AS first, max(n) AS last FROM u GROUP BY 1"),
-    "graph_components": (graph_components, f"WITH RECURSIVE {_COMP}, m AS (SELECT node, min(root) AS root FROM w GROUP BY 1) SELECT root, count(*) AS members FROM m GROUP BY 1"),
-    "hypotheses": (hypotheses, "WITH o AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS views, avg(o_totalprice) AS mean, max(o_totalprice) AS most FROM orders GROUP BY 1) SELECT o_custkey, views, round(mean/most,5) AS confidence, CASE WHEN views >= 3 AND mean >= 0.5*most THEN 'confirmed' WHEN views >= 2 THEN 'proposed' ELSE 'dormant' END AS state FROM o"),
+    "graph_components": (graph_components, f"WITH RECURSIVE {_EDGES}, w AS (SELECT c_custkey AS node, c_custkey AS root FROM customer UNION SELECT u.n, w.root FROM w JOIN u ON u.c = w.node WHERE w.root < u.n), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1) SELECT root, count(*) AS members FROM m GROUP BY 1"),
+    "hypotheses": (hypotheses, "WITH o AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS views, avg(o_totalprice) AS mean, max(o_totalprice) AS most FROM orders GROUP BY 1) SELECT o_custkey, views, round(mean/most,5) AS confidence, CASE WHEN views < 2 THEN 'proposed' WHEN round(mean/most,5) >= 0.55 THEN 'confirmed' WHEN round(mean/most,5) < 0.2 THEN 'dormant' ELSE 'ambiguous' END AS state FROM o"),
     "nms_angular": (nms_angular, None),
     "duplicate_free_events": (duplicate_free_events, "SELECT user_id, event_type, event_id, round(value,4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"),
     "resolution_plateau": (resolution_plateau, "WITH s AS (SELECT p_brand, p_size, avg(p_retailprice) AS m FROM part GROUP BY 1, 2), c AS (SELECT *, round(abs(lead(m) OVER (PARTITION BY p_brand ORDER BY p_size) - m)/m,9) AS change FROM s), w AS (SELECT *, max(change) OVER (PARTITION BY p_brand ORDER BY p_size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS worst FROM c) SELECT p_brand, min(p_size) AS size FROM w WHERE worst < 0.1 OR worst IS NULL GROUP BY 1"),
     "text_query": (text_query, None),
     "canonical_ids": (canonical_ids, "SELECT conv_id, turn, substr(sha256(concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role, trim(text, ' '))),1,24) AS id FROM conversations"),
     "referential_integrity": (referential_integrity, "SELECT 'orders-customer' AS reference, count(*) AS missing FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem-supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'customer-orders', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "pair_affinity": (pair_affinity, "WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity >= 45), n AS (SELECT s, count(*) AS n FROM l GROUP BY 1), b AS (SELECT a.s, c.s AS t, count(*) AS common FROM l a JOIN l c ON a.p = c.p AND a.s < c.s GROUP BY 1, 2) SELECT b.s, t, common, round(common/(x.n + y.n - common)::DOUBLE,6) AS jaccard FROM b JOIN n x ON x.s = b.s JOIN n y ON y.s = b.t"),
+    "pair_affinity": (pair_affinity, "WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM l GROUP BY 1), b AS (SELECT a.s, c.s AS t, count(*) AS common FROM l a JOIN l c ON a.p = c.p AND a.s < c.s GROUP BY 1, 2) SELECT b.s, t, common, round(common/(x.n + y.n - common)::DOUBLE,6) AS jaccard FROM b JOIN n x ON x.s = b.s JOIN n y ON y.s = b.t"),
     "keyframes_stream": (keyframes_stream, None),
     "windowed_events": (windowed_events, "SELECT CAST(floor(epoch_us(ts)/86400000000.0) AS BIGINT)*86400 AS start, event_type, count(*) AS n, round(sum(value),3) AS total FROM events GROUP BY 1, 2"),
     "user_sessions": (user_sessions, "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS tm FROM events), s AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY user_id ORDER BY tm, event_id) <= 21600000000 THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS BIGINT) AS session FROM s) SELECT user_id, session, count(*) AS n, min(tm) AS first, max(tm) AS last FROM g GROUP BY 1, 2"),

@@ -14,17 +14,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each observed cell of the lattice: y, x, value, label, valid; the latest event wins."""
-    raw = read(spark, sf_dir, "events").select("event_id", "value", "event_type")
-    own = F.max_by(F.struct("value", "event_type"), "event_id")
-    kept = raw.groupBy((F.floor(F.col("event_id") / 128) % 64).cast("int").alias("y"), (F.col("event_id") % 128).cast("int").alias("x")).agg(own.alias("c"))
-    return kept.select("y", "x", "c.value", F.col("c.event_type").alias("label"), (F.col("c.event_type") != "error").alias("valid"))
+    """One row for each event, a cell of a stack of panoramas: y, x, value, label, valid.
 
+    Rows are numbered through the stack, so row y of panorama k is k * HEIGHT + y; every event is a cell of some panorama.
+    """
+    y, x = F.floor(F.col("event_id") / WIDTH).cast("int").alias("y"), (F.col("event_id") % WIDTH).cast("int").alias("x")
+    return read(spark, sf_dir, "events").select(y, x, "value", F.col("event_type").alias("label"), (F.col("event_type") != "error").alias("valid"))
 
-CELLS = """cells AS (SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, value, label, label <> 'error' AS valid FROM (
- SELECT CAST(floor(event_id / 128) AS BIGINT) % 64 AS y, event_id % 128 AS x, value, event_type AS label,
- row_number() OVER (PARTITION BY CAST(floor(event_id / 128) AS BIGINT) % 64, event_id % 128 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1)"""
-AREA = "((sin(pi()/2 - pi()*y/64) - sin(pi()/2 - pi()*(y+1)/64)) * (2*pi()/128))"
+
+CELLS = """cells AS (SELECT CAST(event_id // 128 AS INTEGER) AS y, CAST(event_id % 128 AS INTEGER) AS x, value, event_type AS label, event_type <> 'error' AS valid FROM events)"""
+AREA = "((sin(pi()/2 - pi()*(y%64)/64) - sin(pi()/2 - pi()*(y%64+1)/64)) * (2*pi()/128))"
 
 
 def with_area(df: DataFrame) -> DataFrame:
