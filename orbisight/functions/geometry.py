@@ -158,3 +158,56 @@ def epipolar_residual(a: Column, b: Column, essential: list[list[float]]) -> Col
 def luma(r: Column, g: Column, b: Column) -> Column:
     """ITU-R 601."""
     return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def fisheye_ray(u: Column, v: Column, focal: float, cx: float, cy: float, k: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0), steps: int = 8) -> Column:
+    """Inverse of ``fisheye_pixel`` by Newton steps on the angle; exact where the polynomial rises."""
+    dx, dy = u - cx, v - cy
+    bent = F.sqrt(dx * dx + dy * dy) / focal
+
+    def step(t: Column) -> Column:
+        value = t * (1 + sum((k[j] * F.pow(t, F.lit(2.0 * (j + 1))) for j in range(4)), F.lit(0.0)))
+        slope = 1 + sum((k[j] * (2 * j + 3) * F.pow(t, F.lit(2.0 * (j + 1))) for j in range(4)), F.lit(0.0))
+        return t - (value - bent) / slope
+
+    t = F.aggregate(F.array_repeat(F.lit(0), steps), bent, lambda seen, _: step(seen))
+    s = F.when(bent > 0, F.sin(t) / (bent * focal)).otherwise(0.0)
+    return ray(s * dx, s * dy, F.cos(t))
+
+
+def world_point_to_camera_ray(point: Column, centre: tuple[float, float, float], matrix: list[list[float]]) -> Column:
+    """Unit bearing of a world point; ``matrix`` turns camera into world directions."""
+    moved = ray(*[point[k] - c for k, c in zip("xyz", centre, strict=True)])
+    return unit(rotate([list(r) for r in zip(*matrix, strict=True)], moved))
+
+
+def rotation_exp(x: Column, y: Column, z: Column) -> list[list[Column]]:
+    """Rodrigues' formula for a rotation vector in columns."""
+    t = F.sqrt(x * x + y * y + z * z)
+    s, c = F.when(t > 0, F.sin(t) / t).otherwise(1.0), F.when(t > 0, (1 - F.cos(t)) / (t * t)).otherwise(0.5)
+    return [[1 - c * (y * y + z * z), c * x * y - s * z, c * x * z + s * y], [c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x], [c * x * z - s * y, c * y * z + s * x, 1 - c * (x * x + y * y)]]
+
+
+def rotation_log(m: list[list[Column]]) -> Column:
+    """Rotation vector of a matrix in columns, for angles below pi."""
+    skew = ray((m[2][1] - m[1][2]) / 2, (m[0][2] - m[2][0]) / 2, (m[1][0] - m[0][1]) / 2)
+    s = norm(skew)
+    t = F.atan2(s, (m[0][0] + m[1][1] + m[2][2] - 1) / 2)
+    f = F.when(s > 0, t / s).otherwise(1.0)
+    return ray(*[f * skew[k] for k in "xyz"])
+
+
+def relative_rotation(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    """b a': what turns the directions of pose a into those of pose b."""
+    return [[sum((b[i][k] * a[j][k] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+
+
+def tangent_log(a: Column, b: Column) -> Column:
+    """(east, north) of a unit ray b in the tangent plane at a: the inverse of ``tangent_offset_ray``."""
+    lon, lat = longitude(a), latitude(a)
+    e = ray(F.cos(lon), F.lit(0.0), -F.sin(lon))
+    n = ray(-F.sin(lon) * F.sin(lat), F.cos(lat), -F.cos(lon) * F.sin(lat))
+    east, north = dot(b, e), dot(b, n)
+    side = F.sqrt(east * east + north * north)
+    f = F.when(side > 0, F.atan2(side, dot(a, b)) / side).otherwise(1.0)
+    return F.struct((f * east).alias("east"), (f * north).alias("north"))

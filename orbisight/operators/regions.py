@@ -71,13 +71,59 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100, task_
     return nodes.select("node").join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def label_components(cells: DataFrame, height: int, width: int, label: str = "label") -> DataFrame:
-    """4-connected pieces of equal label: (y, x, component), named by their first cell in raster order."""
+def diagonals(cells: DataFrame, height: int, width: int, label: str = "label") -> DataFrame:
+    """(y, x, label, ny, nx, other): each cell with its south-eastern and south-western neighbour."""
+    a = cells.select("y", "x", F.col(label).alias("label"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("step"))
+    b = cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(label).alias("other"))
+    return a.join(b, (F.col("ny") == F.col("y") + 1) & (F.col("nx") == F.pmod(F.col("x") + F.col("step"), F.lit(width))) & (G.row_in(F.col("ny"), height) > 0)).drop("step")
+
+
+def perimeters(cells: DataFrame, height: int, width: int, label: str = "label") -> DataFrame:
+    """Length of the boundary of each label with other labels."""
+    pairs = neighbours(cells, height, width, label).where("label <> other")
+    sides = pairs.select(F.explode(F.array("label", "other")).alias("label"), "edge")
+    return sides.groupBy("label").agg(F.sum("edge").alias("perimeter"), F.count(F.lit(1)).alias("edges"))
+
+
+def filled(cells: DataFrame, height: int, width: int, most_area: float) -> DataFrame:
+    """Cells outside of a mask ``inside`` whose 4-connected piece has at most ``most_area`` and lies among known cells only.
+
+    A piece that touches a place without a cell, other than beyond the poles, may go on there and is not filled.
+    """
+    holes = label_components(cells.withColumn("label", F.col("inside")), height, width).join(cells.select("y", "x", "inside"), ["y", "x"]).where("NOT inside")
+    around = holes.select("y", "x", "component", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))])).alias("s"))
+    ny, nx = F.col("y") + F.col("s.dy"), F.pmod(F.col("x") + F.col("s.dx"), F.lit(width))
+    around = around.select("component", ny.alias("ny"), nx.alias("nx"), (F.floor(ny / height) == F.floor(F.col("y") / height)).alias("same")).where("same")
+    known = cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"))
+    open_ = around.join(known, ["ny", "nx"], "left_anti").select("component").distinct()
+    area = holes.groupBy("component").agg(F.sum(G.row_area(F.col("y"), height, width)).alias("area")).where(F.col("area") <= most_area)
+    closed = area.join(open_, "component", "left_anti")
+    return holes.join(closed, "component").select("y", "x", "component")
+
+
+def runs(cells: DataFrame, flag: str) -> DataFrame:
+    """(y, start, length): a mask as runs along its rows."""
+    from pyspark.sql import Window
+
+    on = cells.where(flag).withColumn("_g", F.col("x") - F.row_number().over(Window.partitionBy("y").orderBy("x")))
+    return on.groupBy("y", "_g").agg(F.min("x").alias("start"), F.count(F.lit(1)).alias("length")).drop("_g")
+
+
+def from_runs(made: DataFrame) -> DataFrame:
+    """(y, x): the cells of runs."""
+    return made.select("y", F.explode(F.sequence(F.col("start"), (F.col("start") + F.col("length") - 1).cast("int"))).alias("x"))
+
+
+def label_components(cells: DataFrame, height: int, width: int, label: str = "label", connectivity: int = 4) -> DataFrame:
+    """4- or 8-connected pieces of equal label: (y, x, component), named by their first cell in raster order."""
     number = lambda y, x: (y * width + x).cast("long")
     same = neighbours(cells, height, width, label).where("label = other")
     other_y = F.when(F.col("side") == "south", F.col("y") + 1).otherwise(F.col("y"))
     other_x = F.when(F.col("side") == "east", F.pmod(F.col("x") + 1, F.lit(width))).otherwise(F.col("x"))
     edges = same.select(number(F.col("y"), F.col("x")).alias("a"), number(other_y, other_x).alias("b"))
+    if connectivity == 8:
+        across = diagonals(cells, height, width, label).where("label = other")
+        edges = edges.unionByName(across.select(number(F.col("y"), F.col("x")).alias("a"), number(F.col("ny"), F.col("nx")).alias("b")))
     found = components(cells.select(number(F.col("y"), F.col("x")).alias("node")), edges)
     return found.select(F.floor(F.col("node") / width).cast("int").alias("y"), (F.col("node") % width).cast("int").alias("x"), F.col("root").alias("component"))
 

@@ -96,3 +96,39 @@ def resample_bilinear(cells: DataFrame, targets: DataFrame, keys: list[str], x:
     spread = targets.select(*keys, F.explode(four).alias("c")).select(*keys, F.pmod("c.cx", F.lit(width)).cast("int").alias("_x"), (F.col("pano") * height + F.least(F.greatest("c.cy", F.lit(0)), F.lit(height - 1))).cast("int").alias("_y"), F.col("c.w").alias("w"))
     source = cells.where("valid").select(F.col("y").alias("_y"), F.col("x").alias("_x"), "value")
     return spread.join(source, ["_y", "_x"]).groupBy(*keys).agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"), F.sum("w").alias("weight"))
+
+
+def bilateral(cells: DataFrame, lut: DataFrame, height: int, width: int, sigma_color: float) -> DataFrame:
+    """Mean over the valid taps, weighted by the table's spatial weight and by nearness in value to the centre."""
+    centre = cells.where("valid").select("y", "x", F.col("value").alias("c"))
+    taps = gather(cells, lut, height, width).where("valid").join(centre, ["y", "x"])
+    w = F.col("w") * F.exp(-((F.col("value") - F.col("c")) * (F.col("value") - F.col("c"))) / (2 * sigma_color * sigma_color))
+    return taps.groupBy("y", "x").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.count(F.lit(1)).alias("taps"))
+
+
+def halved(cells: DataFrame, lut: DataFrame, height: int, width: int) -> DataFrame:
+    """(pano, oy, ox, value): the cells blurred by the table and resampled to half the lattice; the next level of a pyramid."""
+    blurred = filtered(gather(cells, lut, height, width), "mean").select("y", "x", "value", F.lit(True).alias("valid"))
+    panos = blurred.select(F.floor(F.col("y") / height).alias("pano")).distinct()
+    each = panos.select("pano", F.explode(F.sequence(F.lit(0), F.lit(height * width // 4 - 1))).alias("id"))
+    at = each.select("pano", F.floor(F.col("id") / (width // 2)).cast("int").alias("oy"), (F.col("id") % (width // 2)).cast("int").alias("ox"))
+    return resample_bilinear(blurred, at, ["pano", "oy", "ox"], (F.col("ox") + 0.5) * 2 - 0.5, (F.col("oy") + 0.5) * 2 - 0.5, height, width).select("pano", "oy", "ox", "value")
+
+
+def residual(cells: DataFrame, coarse: DataFrame, height: int, width: int, sign: int = -1) -> DataFrame:
+    """Cells less (or plus) the coarse level brought back to their lattice: a band of the Laplacian pyramid and its inverse."""
+    stack = coarse.select((F.col("pano") * (height // 2) + F.col("oy")).cast("int").alias("y"), F.col("ox").alias("x"), "value", F.lit(True).alias("valid"))
+    at = cells.select(F.floor(F.col("y") / height).alias("pano"), F.col("y").alias("fy"), F.col("x").alias("fx"), F.col("value").alias("own"))
+    x, y = (F.col("fx") + 0.5) / 2 - 0.5, (G.row_in(F.col("fy"), height) + 0.5) / 2 - 0.5
+    up = resample_bilinear(stack, at, ["pano", "fy", "fx", "own"], x, y, height // 2, width // 2)
+    return up.select(F.col("fy").alias("y"), F.col("fx").alias("x"), (F.col("own") + sign * F.col("value")).alias("value"))
+
+
+def steep(cells: DataFrame, height: int, threshold: float) -> DataFrame:
+    """Cells whose value differs from the next cell to the east and south by at most ``threshold``; the others go."""
+    from pyspark.sql import Window
+
+    row = Window.partitionBy("y").orderBy("x")
+    column = Window.partitionBy(F.floor(F.col("y") / height), "x").orderBy("y")
+    step = lambda w: F.coalesce(F.abs(F.lead("value").over(w) - F.col("value")), F.lit(0.0))
+    return cells.withColumn("_e", step(row)).withColumn("_s", step(column)).where((F.col("_e") <= threshold) & (F.col("_s") <= threshold)).drop("_e", "_s")

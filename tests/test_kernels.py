@@ -59,7 +59,7 @@ def test_opening_is_idempotent(spark):
     values = [(y, x, float(random.Random(y * 31 + x).randrange(9)), True) for y in range(12) for x in range(24)]
     cells = spark.createDataFrame(values, "y int, x int, value double, valid boolean")
     lut = stencil.row_table(spark, 12, 24, stencil.disk_taps(0.3, 2 * math.pi / 24, math.pi / 12))
-    one = lambda c, kind: stencil.morphology(c, lut, 24, kind).selectExpr("y", "x", "value", "true AS valid")
+    one = lambda c, kind: stencil.morphology(c, lut, 12, 24, kind).selectExpr("y", "x", "value", "true AS valid")
     opened = one(one(cells, "erode"), "dilate")
     assert sorted(opened.collect()) == sorted(one(one(opened, "erode"), "dilate").collect())
     low = {(r.y, r.x): r.value for r in opened.collect()}
