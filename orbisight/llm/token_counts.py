@@ -20,6 +20,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable
 from itertools import accumulate
+from typing import Any
 
 import pyarrow as pa
 import regex
@@ -28,8 +29,10 @@ from pyspark.sql.functions import arrow_udf
 
 from ._common import by_place, by_slices, place, rows_by_arrow
 
-#: Entries a worker keeps before it forgets them all; results do not depend on it.
-CACHE = 600_000
+#: Entries that a worker keeps before it forgets older ones.
+CACHE = 300_000
+#: Characters of a word whose entries are shared by all words that begin so.
+HEAD = 6
 #: The pre-tokens of byte-level BPE (a fixed value of the format), and white space that Python and the library see differently.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -40,18 +43,26 @@ BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumer
 
 
 class Kept(dict):
-    """What a function gives, remembered where its argument is short."""
+    """What a function gives, remembered where its argument is short.  When there are many, those met before and not since
+    are forgotten; results do not depend on it."""
 
-    def __init__(self, make: Callable[[str], int]):
+    def __init__(self, make: Callable[[str], Any]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
-    def __missing__(self, key: str) -> int:
-        value = self.make(key)
+    def __missing__(self, key: str) -> Any:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 60:
             self[key] = value
         return value
 
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
 
 class PrefixCounter:
     """Prefix tables for one byte-level BPE file of the ``tokenizers`` library."""
@@ -67,9 +78,15 @@ class PrefixCounter:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         for s in special:
             self.vocabulary.pop(s, None)
-        self.longest = max(map(len, self.vocabulary))
+        self.tokens: dict = {}  # a tree by character; the token that ends at a node is under ""
+        for s, k in self.vocabulary.items():
+            node = self.tokens
+            for c in s:
+                node = node.setdefault(c, {})
+            node[""] = k
         self.text_of = {k: s for s, k in self.vocabulary.items()}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.heads = Kept(self._ends)
         self.totals = Kept(lambda raw: self.table(raw.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS))[-1])
         self.chunks = Kept(lambda chunk: self._words(f" {chunk}"))
 
@@ -82,15 +99,29 @@ class PrefixCounter:
 
     def table(self, word: str) -> list[int]:
         """count[i] for every prefix of a pre-token, written with one character for each byte."""
-        vocabulary, longest, n = self.vocabulary, self.longest, len(word)
-        count, last = [0] * (n + 1), [-1] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                token = vocabulary.get(word[j:i])
-                if token is not None and (j == 0 or self.may_follow(last[j], token)):
-                    last[i], count[i] = token, count[j] + 1
+        return self._ends(word)[0]
+
+    def _ends(self, word: str) -> tuple[list[int], list[int]]:
+        """count[i] and last[i].  Of the tokens that end at i the one that begins first wins, so beginnings are taken in
+        order and an end that has its token is left alone.  The entries of a word's head are those of the head itself, so
+        words that begin alike share them."""
+        n = len(word)
+        if n > HEAD:
+            head = self.heads[word[:HEAD]]
+            count, last = [*head[0], *[0] * (n - HEAD)], [*head[1], *[-1] * (n - HEAD)]
+        else:
+            count, last = [0] * (n + 1), [-1] * (n + 1)
+        fits = self.fits
+        for j in range(n):
+            node, before, nth = self.tokens, last[j], count[j] + 1
+            for i in range(j, n):
+                if (node := node.get(word[i])) is None:
                     break
-        return count
+                if last[i + 1] < 0 and (token := node.get("")) is not None:
+                    if j and (known := fits.get((before, token))) is not True and (known is False or not self.may_follow(before, token)):
+                        continue
+                    last[i + 1], count[i + 1] = token, nth
+        return count, last
 
     def pieces(self, text: str) -> list[str]:
         return [w for w, _ in self.before.pre_tokenize_str(text)]
@@ -121,9 +152,8 @@ class PrefixCounter:
             return total, len(text) if budget is None or total <= budget else self._longest(text, budget)
         first, *rest = _CHUNKS.split(text)
         sums = list(accumulate(map(self.chunks.__getitem__, rest), initial=self._words(first)))
-        for known in (self.totals, self.chunks, self.fits):
-            if len(known) > CACHE:
-                known.clear()
+        for known in (self.totals, self.chunks, self.heads):
+            known.trim()
         if budget is None or sums[-1] <= budget:
             return sums[-1], len(text)
         lo, hi = bisect_right(sums, budget) - 1, bisect_right(sums, budget + 2)
