@@ -31,10 +31,39 @@ def census_cost(left: DataFrame, right: DataFrame, disparities: int) -> DataFram
     return shifted.join(other, ["y", "rx"]).select("y", "x", "d", F.bit_count(F.col("l").bitwiseXOR(F.col("r"))).cast("double").alias("cost"))
 
 
-def box_aggregate(cost: DataFrame, radius: int = 1) -> DataFrame:
-    """Mean over the valid costs of the window along the row."""
-    w = Window.partitionBy("y", "d").orderBy("x").rangeBetween(-radius, radius)
-    return cost.withColumn("cost", F.avg("cost").over(w))
+def ad_census(difference: DataFrame, census_: DataFrame, truncate: float, bits: int, weight: float = 0.25) -> DataFrame:
+    """Weighted sum of both costs, each as a share of its largest; only where both are known."""
+    other = census_.select("y", "x", "d", (F.col("cost") / bits).alias("_c"))
+    return difference.join(other, ["y", "x", "d"]).select("y", "x", "d", (weight * F.col("cost") / truncate + (1 - weight) * F.col("_c")).alias("cost"))
+
+
+def birchfield_tomasi(left: DataFrame, right: DataFrame, disparities: int, truncate: float) -> DataFrame:
+    """The least difference of either pixel to the other's interval of half-way values, for every d."""
+    row = Window.partitionBy("y").orderBy("x")
+
+    def interval(side: DataFrame, name: str) -> DataFrame:
+        half = lambda f, step: F.when(f("x").over(row) == F.col("x") + step, (F.col("value") + f("value").over(row)) / 2).otherwise(F.col("value"))
+        ends = side.withColumn("_a", half(F.lag, -1)).withColumn("_b", half(F.lead, 1))
+        return ends.select("y", "x", F.col("value").alias(name), F.least("value", "_a", "_b").alias(f"{name}_lo"), F.greatest("value", "_a", "_b").alias(f"{name}_hi"))
+
+    shifted = interval(left, "l").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(disparities - 1)))).withColumn("rx", F.col("x") - F.col("d"))
+    both = shifted.join(interval(right, "r").withColumnRenamed("x", "rx"), ["y", "rx"])
+    out = lambda v, lo, hi: F.greatest(F.lit(0.0), F.col(v) - F.col(hi), F.col(lo) - F.col(v))
+    return both.select("y", "x", "d", F.least(out("l", "r_lo", "r_hi"), out("r", "l_lo", "l_hi"), F.lit(truncate)).alias("cost"))
+
+
+def box_aggregate(cost: DataFrame, height: int, width: int, radius: int = 1) -> DataFrame:
+    """Mean over the known costs of a square window whose border cells are repeated outwards; along x, then along y.
+
+    Each pass pushes sums and counts to the cells around and adds them up, so a cell without a cost gets one from its window.
+    """
+    offsets = F.sequence(F.lit(-radius), F.lit(radius))
+    clamp = lambda c, top: F.least(F.greatest(c, F.lit(0)), F.lit(top))
+    along = cost.select("y", "x", "d", "cost", F.explode(offsets).alias("k")).withColumn("x", clamp(F.col("x") + F.col("k"), width - 1))
+    along = along.groupBy("y", "x", "d").agg(F.sum("cost").alias("s"), F.count(F.lit(1)).alias("n"))
+    row = F.pmod("y", F.lit(height))
+    down = along.select("y", "x", "d", "s", "n", F.explode(offsets).alias("k")).withColumn("y", F.col("y") - row + clamp(row + F.col("k"), height - 1))
+    return down.groupBy("y", "x", "d").agg((F.sum("s") / F.sum("n")).alias("cost"))
 
 
 def select_disparity(cost: DataFrame) -> DataFrame:
@@ -49,26 +78,44 @@ def select_disparity(cost: DataFrame) -> DataFrame:
     return joined.select("y", "x", F.col("d").alias("disparity"), F.col("c").alias("cost"), "second", (F.col("d") + F.coalesce(shift, F.lit(0.0))).alias("refined"))
 
 
-def semi_global(cost: DataFrame, p1: float, p2: float) -> DataFrame:
-    """Costs summed over both directions of each row; the rows are independent, so a task holds rows, not images."""
+def swept(costs: np.ndarray, guide: np.ndarray, p1: float, p2: float, edge: float, shift: int) -> np.ndarray:
+    """Messages of one direction, first axis by first axis: each line from the one before, moved by ``shift`` along the second."""
+    out = costs.copy()
+    n = costs.shape[1]
+    at = np.arange(max(0, shift), n + min(0, shift))
+    for k in range(1, len(costs)):
+        before = out[k - 1, at - shift]
+        floor = before.min(1, keepdims=True)
+        calm = np.abs(guide[k, at] - guide[k - 1, at - shift]) < edge
+        best = np.minimum(before, floor + np.where(calm, p2, max(p1, 0.25 * p2))[:, None])
+        best[:, 1:] = np.minimum(best[:, 1:], before[:, :-1] + p1)
+        best[:, :-1] = np.minimum(best[:, :-1], before[:, 1:] + p1)
+        out[k, at] = costs[k, at] + best - floor
+    return out
+
+
+def semi_global(cost: DataFrame, guide: DataFrame, height: int, p1: float, p2: float, paths: int = 8, edge: float = np.inf) -> DataFrame:
+    """Costs regularised along 4 or 8 paths and averaged; a task holds one panorama, whose size the lattice fixes.
+
+    A step between neighbours whose guide values differ by ``edge`` or more costs a quarter of p2 (p1 at least).  Unknown costs
+    count as the panorama's largest and stay unknown.
+    """
+    if paths not in (4, 8):
+        raise ValueError("paths must be 4 or 8")
+    given = cost.join(guide.select("y", "x", F.col("value").alias("guide")), ["y", "x"]).withColumn("pano", F.floor(F.col("y") / height))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        xs, ds = np.sort(rows["x"].unique()), int(rows["d"].max()) + 1
-        volume = np.full((len(xs), ds), np.nan)
-        volume[np.searchsorted(xs, rows["x"]), rows["d"]] = rows["cost"]
-        filled = np.where(np.isnan(volume), np.nanmax(volume) if len(rows) else 0.0, volume)
-        total = np.zeros_like(filled)
-        for order in (range(len(xs)), range(len(xs) - 1, -1, -1)):
-            before = None
-            for k in order:
-                now = filled[k].copy()
-                if before is not None:
-                    floor = before.min()
-                    steps = np.minimum(np.concatenate([[np.inf], before[:-1]]), np.concatenate([before[1:], [np.inf]])) + p1
-                    now += np.minimum(np.minimum(before, steps), floor + p2) - floor
-                total[k] += now
-                before = now
-        at, d = np.nonzero(~np.isnan(volume))
-        return pd.DataFrame({"y": rows["y"].iloc[0], "x": xs[at], "d": d, "cost": total[at, d]})
-
-    return cost.groupBy("y").applyInPandas(run, "y int, x int, d int, cost double")
+        top, xs = int(rows["pano"].iloc[0]) * height, np.sort(rows["x"].unique())
+        y, x, d = rows["y"].to_numpy() - top, np.searchsorted(xs, rows["x"]), rows["d"].to_numpy()
+        volume = np.full((height, len(xs), int(d.max()) + 1), rows["cost"].max())
+        light = np.zeros(volume.shape[:2])
+        volume[y, x, d], light[y, x] = rows["cost"], rows["guide"]
+        total = np.zeros_like(volume)
+        turned, dark = volume.transpose(1, 0, 2), light.T
+        for back in (1, -1):
+            total += swept(turned[::back], dark[::back], p1, p2, edge, 0)[::back].transpose(1, 0, 2)
+            for shift in (0, 1, -1) if paths == 8 else (0,):
+                total += swept(volume[::back], light[::back], p1, p2, edge, shift)[::back]
+        return pd.DataFrame({"y": (y + top).astype(np.int32), "x": xs[x].astype(np.int32), "d": d.astype(np.int32), "cost": total[y, x, d] / paths})
+
+    return given.groupBy("pano").applyInPandas(run, "y int, x int, d int, cost double")

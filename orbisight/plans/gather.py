@@ -133,7 +133,7 @@ def census_cost(spark, d: str) -> DataFrame:
 
 
 def box_cost(spark, d: str) -> DataFrame:
-    return T.box_aggregate(T.absolute_difference(*_pair(spark, d), _DISP, 50.0)).select("y", "x", "d", r("cost").alias("cost"))
+    return T.box_aggregate(T.absolute_difference(*_pair(spark, d), _DISP, 50.0), H, W).select("y", "x", "d", r("cost").alias("cost"))
 
 
 def select_disparity(spark, d: str) -> DataFrame:
@@ -142,7 +142,32 @@ def select_disparity(spark, d: str) -> DataFrame:
 
 
 def semi_global_cost(spark, d: str) -> DataFrame:
-    return T.select_disparity(T.semi_global(T.absolute_difference(*_pair(spark, d), _DISP, 50.0), 2.0, 20.0)).select("y", "x", "disparity")
+    return _chosen(spark, d, 8)
+
+
+def semi_global_four_paths(spark, d: str) -> DataFrame:
+    return _chosen(spark, d, 4)
+
+
+def _chosen(spark, d: str, paths: int) -> DataFrame:
+    left, right = _pair(spark, d)
+    return T.select_disparity(T.semi_global(T.absolute_difference(left, right, _DISP, 50.0), left, H, 2.0, 20.0, paths, 30.0)).select("y", "x", "disparity")
+
+
+def _shifted(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """The cells, and the same two columns further."""
+    c = cells(spark, d).where("valid").select("y", "x", "value")
+    return c, c.withColumn("x", F.col("x") - 2)
+
+
+def ad_census_cost(spark, d: str) -> DataFrame:
+    left, right = _shifted(spark, d)
+    census = T.census_cost(T.census(left, H), T.census(left, H).withColumn("x", F.col("x") - 2), _DISP)
+    return T.ad_census(T.absolute_difference(left, right, _DISP, 50.0), census, 50.0, 8).select("y", "x", "d", r("cost").alias("cost"))
+
+
+def birchfield_tomasi_cost(spark, d: str) -> DataFrame:
+    return T.birchfield_tomasi(*_shifted(spark, d), _DISP, 50.0).select("y", "x", "d", r("cost").alias("cost"))
 
 
 _AD = f"{CELLS}, l AS (SELECT y, x, value, d FROM cells, range({_DISP}) g(d) WHERE valid), rr AS (SELECT y, x - y % 4 AS x, value FROM cells WHERE valid), ad AS (SELECT l.y, l.x, CAST(d AS INTEGER) AS d, least(abs(l.value - rr.value), 50.0) AS cost FROM l JOIN rr ON rr.y = l.y AND rr.x = l.x - d)"
@@ -183,11 +208,15 @@ QUERIES = {
     "rotate_nearest": (rotate_nearest, _rotate_sql()),
     "absolute_difference_cost": (absolute_difference_cost, f"WITH {_AD} SELECT y, x, d, round(cost,6) AS cost FROM ad"), "census_codes": (census_codes, f"WITH {_CENSUS} SELECT y, x, code FROM census"),
     "census_cost": (census_cost, f"WITH {_CENSUS} SELECT a.y, a.x, CAST(d AS INTEGER) AS d, CAST(bit_count(xor(a.code, b.code)) AS DOUBLE) AS cost FROM census a, range({_DISP}) g(d) JOIN census b ON b.y = a.y AND b.x - 2 = a.x - d"),
-    "box_cost": (box_cost, f"WITH {_AD} SELECT y, x, d, round(avg(cost) OVER (PARTITION BY y, d ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING),6) AS cost FROM ad"),
+    "box_cost": (box_cost, f"""WITH {_AD}, o(k) AS (VALUES (-1),(0),(1)), a1 AS (SELECT y, least(127,greatest(0,x+k)) AS x, d, sum(cost) AS s, count(*) AS n FROM ad, o GROUP BY 1, 2, 3) SELECT CAST(y - y%64 + least(63,greatest(0,y%64+k)) AS INTEGER) AS y, x, d, round(sum(s)/sum(n),6) AS cost FROM a1, o GROUP BY 1, 2, 3"""),
     "select_disparity": (select_disparity, f"""WITH {_AD}, c AS (SELECT y, x, d, round(cost,6) AS cost FROM ad), k AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY cost, d) AS n FROM c), b AS (SELECT y, x, max(CASE WHEN n=1 THEN d END) AS d, max(CASE WHEN n=1 THEN cost END) AS cost, max(CASE WHEN n=2 THEN cost END) AS second FROM k GROUP BY 1, 2),
  s AS (SELECT b.y, b.x, b.d, b.cost, b.second, max(CASE WHEN c.d=b.d-1 THEN c.cost END) AS lo, max(CASE WHEN c.d=b.d+1 THEN c.cost END) AS hi FROM b JOIN c ON c.y=b.y AND c.x=b.x GROUP BY 1, 2, 3, 4, 5)
  SELECT y, x, d AS disparity, round(cost,6) AS cost, round(second,6) AS second, round(d + coalesce(CASE WHEN lo-2*cost+hi > 0 THEN least(greatest((lo-hi)/(2*(lo-2*cost+hi)),-0.5),0.5) ELSE 0 END, 0),4) AS refined FROM s"""),
-    "semi_global_cost": (semi_global_cost, None),
+    "semi_global_cost": (semi_global_cost, None), "semi_global_four_paths": (semi_global_four_paths, None),
+    "ad_census_cost": (ad_census_cost, f"""WITH {_CENSUS.replace("census AS", "vc AS (SELECT * FROM cells WHERE valid), census AS").replace("FROM cells c, o JOIN cells n", "FROM vc c, o JOIN vc n")}, ad AS (SELECT l.y, l.x, d, least(abs(l.value - q.value), 50.0) AS cost FROM vc l, range({_DISP}) g(d) JOIN vc q ON q.y = l.y AND q.x - 2 = l.x - d)
+ SELECT ad.y, ad.x, CAST(ad.d AS INTEGER) AS d, round(0.25*ad.cost/50.0 + 0.75*bit_count(xor(a.code, b.code))/8.0,6) AS cost FROM ad JOIN census a ON a.y = ad.y AND a.x = ad.x JOIN census b ON b.y = ad.y AND b.x - 2 = ad.x - ad.d"""),
+    "birchfield_tomasi_cost": (birchfield_tomasi_cost, f"""WITH {CELLS}, n AS (SELECT y, x, value AS v, CASE WHEN lag(x) OVER w = x-1 THEN (value + lag(value) OVER w)/2 ELSE value END AS a, CASE WHEN lead(x) OVER w = x+1 THEN (value + lead(value) OVER w)/2 ELSE value END AS b FROM cells WHERE valid WINDOW w AS (PARTITION BY y ORDER BY x)), i AS (SELECT y, x, v, least(v,a,b) AS lo, greatest(v,a,b) AS hi FROM n)
+ SELECT l.y, l.x, CAST(d AS INTEGER) AS d, round(least(greatest(0.0, l.v - q.hi, q.lo - l.v), greatest(0.0, q.v - l.hi, l.lo - q.v), 50.0),6) AS cost FROM i l, range({_DISP}) g(d) JOIN i q ON q.y = l.y AND q.x - 2 = l.x - d"""),
     "views_cube": (views_cube, "SELECT * FROM (VALUES (0,'front',0.0::DOUBLE,0.0::DOUBLE),(1,'right',0,90),(2,'back',0,-180),(3,'left',0,-90),(4,'up',90,0),(5,'down',-90,0)) t(view,name,lat_deg,lon_deg)"),
     "views_fibonacci": (views_fibonacci, "WITH t AS (SELECT id, id+0.5::DOUBLE AS k, (id+0.5::DOUBLE)*(2*pi()/((1+sqrt(5.0::DOUBLE))/2)) AS a FROM range(200) t(id)) SELECT id AS view, round(degrees(asin(1 - 2*k/200)),6) AS lat_deg, round(degrees(atan2(sin(a),cos(a))),6) AS lon_deg FROM t"),
     "views_spiral": (views_spiral, "WITH t AS (SELECT id, id/199.0::DOUBLE AS t FROM range(200) t(id)), a AS (SELECT id, t, 360*sqrt(200.0::DOUBLE)*t AS o FROM t) SELECT id AS view, round(degrees(acos(1 - 2*t)) - 90,6) AS lat_deg, round(o - floor(o/360)*360 - 180,6) AS lon_deg FROM a"),

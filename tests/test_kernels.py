@@ -50,7 +50,8 @@ def test_rotation_survives_outliers():
 
 def test_semi_global_smooths_an_outlier(spark):
     rows = [(0, x, d, float(abs(d - 2)) + (5.0 if x == 4 and d == 2 else 0.0)) for x in range(9) for d in range(5)]
-    summed = stereo.semi_global(spark.createDataFrame(rows, "y int, x int, d int, cost double"), 1.0, 8.0)
+    flat = spark.createDataFrame([(0, x, 0.0) for x in range(9)], "y int, x int, value double")
+    summed = stereo.semi_global(spark.createDataFrame(rows, "y int, x int, d int, cost double"), flat, 1, 1.0, 8.0)
     chosen = stereo.select_disparity(summed).toPandas().set_index("x")["disparity"]
     assert (chosen.drop(4) == 2).all()
 
@@ -95,3 +96,32 @@ def test_rows_only_queries_run(spark):
     for name in sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())):
         df = catalogue.queries()[name](spark, SF)
         assert df.count() >= 0 and df.columns
+
+
+def test_semi_global_paths_match_plain_recursion(spark):
+    rng = random.Random(4)
+    h, w, n = 5, 6, 4
+    cost = {(y, x, d): rng.random() for y in range(h) for x in range(w) for d in range(n)}
+    guide = {(y, x): rng.random() for y in range(h) for x in range(w)}
+    for paths, edge in ((4, 0.3), (8, 0.3)):
+        steps = [(0, 1), (0, -1), (1, 0), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if paths == 8 else [])
+        want = dict.fromkeys(cost, 0.0)
+        for dy, dx in steps:
+            known: dict = {}
+
+            def message(y, x, dy=dy, dx=dx, known=known):
+                if (y, x) not in known:
+                    own = [cost[y, x, d] for d in range(n)]
+                    if 0 <= y - dy < h and 0 <= x - dx < w:
+                        prior = message(y - dy, x - dx)
+                        far = 0.5 if abs(guide[y, x] - guide[y - dy, x - dx]) < edge else max(0.1, 0.125)
+                        own = [own[d] + min(min(prior) + far, *[prior[e] + (0.1 if e != d else 0) for e in range(n) if abs(e - d) <= 1]) - min(prior) for d in range(n)]
+                    known[y, x] = own
+                return known[y, x]
+
+            for y, x, d in cost:
+                want[y, x, d] += message(y, x)[d] / paths
+        two = [(y + h * k, x, d, c) for (y, x, d), c in cost.items() for k in range(2)]
+        light = [(y + h * k, x, v) for (y, x), v in guide.items() for k in range(2)]
+        got = stereo.semi_global(spark.createDataFrame(two, "y int, x int, d int, cost double"), spark.createDataFrame(light, "y int, x int, value double"), h, 0.1, 0.5, paths, edge).collect()
+        assert len(got) == 2 * len(cost) and all(abs(r.cost - want[r.y % h, r.x, r.d]) < 1e-9 for r in got)
