@@ -132,3 +132,61 @@ def rank_in(df: DataFrame, by: list[Column], keys: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+
+
+def overlaps(masks: DataFrame, region: str = "region", cell: str = "cell") -> DataFrame:
+    """(a, b, common, iou) of all regions that share a cell; an equi-join on cells, counted before it meets the sizes."""
+    own = masks.select(F.col(region).alias("a"), F.col(cell).alias("cell")).distinct()
+    size = own.groupBy("a").agg(F.count(F.lit(1)).alias("n_a"))
+    both = own.join(own.withColumnRenamed("a", "b"), "cell").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    sized = both.join(size, "a").join(size.select(F.col("a").alias("b"), F.col("n_a").alias("n_b")), "b")
+    return sized.select("a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("iou"), (F.col("common") / F.least("n_a", "n_b")).alias("containment"))
+
+
+def merged(masks: DataFrame, scores: DataFrame, least_iou: float) -> DataFrame:
+    """(keeper, members, cells): groups of regions tied by their overlap; the best score keeps, then the smallest id; masks unite."""
+    ties = overlaps(masks).where(F.col("iou") >= least_iou).select("a", "b")
+    grouped = components(scores.select(F.col("region").alias("node")), ties)
+    keeper = grouped.join(scores, F.col("node") == F.col("region")).groupBy("root").agg(F.min_by("region", F.struct(-F.col("score"), F.col("region"))).alias("keeper"), F.count(F.lit(1)).alias("members"))
+    united = masks.join(grouped, F.col("region") == F.col("node")).select("root", "cell").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
+    return keeper.join(united, "root").select("keeper", "members", "cells")
+
+
+def joint_clusters(points: DataFrame, radius: float) -> DataFrame:
+    """(node, root): matches (id, a, b) linked if their bearings lie within ``radius`` of one another in both views.
+
+    Bearings are hashed to a grid as wide as the chord, and a point meets those of the 27 boxes around its own only.
+    """
+    side = 2 * math.sin(min(radius, math.pi) / 2)
+    box = lambda k: F.floor(F.col("a")[k] / side)
+    homes = points.select("id", "a", "b", *[box(k).alias(f"g{k}") for k in "xyz"])
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    around = homes
+    for k in "xyz":
+        around = around.withColumn("_s", F.explode(steps)).withColumn(f"g{k}", F.col(f"g{k}") + F.col("_s")).drop("_s")
+    near = around.join(homes.select(F.col("id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), "gx", "gy", "gz"), ["gx", "gy", "gz"]).where("id < other")
+    close = lambda p, q: F.round(G.angle(F.col(p), F.col(q)), 9) <= radius
+    edges = near.where(close("a", "oa") & close("b", "ob")).select(F.col("other").alias("a"), F.col("id").alias("b"))
+    return components(points.select(F.col("id").alias("node")), edges)
+
+
+def suppressed(scores: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(region, score) that greedy suppression keeps: by falling score, then id, whatever conflicts with a kept one goes.
+
+    Rounds keep every undecided row without an undecided better rival and drop the rivals of what is kept, until none is
+    undecided.
+    """
+    order = F.struct(-F.col("score"), F.col("region"))
+    named = scores.select("region", "score", order.alias("rank"))
+    rank = lambda c: named.select(F.col("region").alias(c), F.col("rank").alias(f"rank_{c}"))
+    beats = conflicts.join(rank("a"), "a").join(rank("b"), "b")
+    better = F.col("rank_a") < F.col("rank_b")
+    pairs = checkpointed(beats.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("loser")))
+    open_, kept = checkpointed(named.select("region", "score")), None
+    while not open_.isEmpty():
+        live = pairs.join(open_.select(F.col("region").alias("winner")), "winner", "left_semi").join(open_.select(F.col("region").alias("loser")), "loser", "left_semi")
+        top = checkpointed(open_.join(live.select(F.col("loser").alias("region")), "region", "left_anti"))
+        kept = top if kept is None else kept.unionByName(top)
+        gone = live.join(top.select(F.col("region").alias("winner")), "winner", "left_semi").select(F.col("loser").alias("region"))
+        open_ = checkpointed(open_.join(top.select("region"), "region", "left_anti").join(gone, "region", "left_anti"))
+    return scores.select("region", "score").limit(0) if kept is None else kept

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry as G
 from ..operators import regions as R, reproject as P, stencil as S
 from ..operators.views import CUBE
-from ..sources import archive
+from ..sources import archive, fields
 from ..sources.lineage import shared_folder
-from ..sources.tables import AREA, CELLS, EVIDENCE, HEIGHT as H, WIDTH as W, cells, evidence, read
+from ..sources.tables import AREA, CELLS, EVIDENCE, HEIGHT as H, OBSERVATIONS, WIDTH as W, cells, evidence, observations, read
 from .area import _NEIGHBOURS, _R7, _ROT7, RAYS, _rays, r
 from .gather import STEP, _lut_sql
 from .graph import _EDGES, _next_customers
@@ -252,6 +252,69 @@ def attached_fields(spark, d: str) -> DataFrame:
     return Pipeline.from_config(config)(cells(spark, d)).select("y", "x", "value", r("blurred", 5).alias("blurred"), "peak")
 
 
+def field_of_rays(spark, d: str) -> DataFrame:
+    """A panorama made from a function of the ray."""
+    made = fields.from_field(spark, 2, H, W, lambda a: a["x"] * 2 + a["y"] * a["z"])
+    return made.select("y", "x", r("value").alias("value"))
+
+
+def sampled_rays(spark, d: str) -> DataFrame:
+    """Value and label of the cell of the first panorama that each observation's bearing falls on."""
+    rays = observations(spark, d).select("id", F.lit(0).cast("long").alias("pano"), G.ray_of(F.col("lon"), F.col("lat")).alias("ray"))
+    found = fields.sampled(cells(spark, d).select("y", "x", "value", F.col("label").alias("kind")), rays, ["value", "kind"], H, W)
+    return found.select("id", "value", "kind")
+
+
+def cropped_window(spark, d: str) -> DataFrame:
+    return fields.cropped(cells(spark, d), H, 10, 20, 30, 50).select("y", "x", "value")
+
+
+def pasted_patch(spark, d: str) -> DataFrame:
+    c = cells(spark, d).select("y", "x", "value", "valid")
+    return fields.pasted(c, fields.cropped(c, H, 5, 5, 20, 20).withColumn("value", F.col("value") * 2))
+
+
+def flipped_longitude(spark, d: str) -> DataFrame:
+    return fields.transposed(cells(spark, d).select("y", "x", "value"), H, W, "flip_longitude")
+
+
+def flipped_latitude(spark, d: str) -> DataFrame:
+    return fields.transposed(cells(spark, d).select("y", "x", "value"), H, W, "flip_latitude")
+
+
+def typed_rows(spark, d: str) -> DataFrame:
+    """Rows of a table to typed JSON and back."""
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return fields.decoded(fields.encoded(c, "customer"), "customer", ", ".join(f"{n} {t}" for n, t in c.dtypes))
+
+
+def _masks(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as regions, the parts that they deliver as cells; the account as score."""
+    l = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("region"), F.col("l_partkey").alias("cell")).distinct()
+    return l, read(spark, d, "supplier").select(F.col("s_suppkey").alias("region"), F.col("s_acctbal").alias("score"))
+
+
+def region_overlaps(spark, d: str) -> DataFrame:
+    return R.overlaps(_masks(spark, d)[0]).select("a", "b", "common", r("iou").alias("iou"), r("containment").alias("containment"))
+
+
+def merged_regions(spark, d: str) -> DataFrame:
+    return R.merged(*_masks(spark, d), 0.2)
+
+
+def region_suppression(spark, d: str) -> DataFrame:
+    masks, scores = _masks(spark, d)
+    return R.suppressed(scores, R.overlaps(masks).where("iou > 0.19").select("a", "b")).select("region", "score")
+
+
+def joint_match_clusters(spark, d: str) -> DataFrame:
+    """Observations linked in a view and in a turned and bent second one."""
+    o = observations(spark, d).select("id", G.ray_of(F.col("lon"), F.col("lat")).alias("a"), G.ray_of(F.col("lon") * 1.2, F.col("lat")).alias("b"))
+    return R.joint_clusters(o, 0.07).groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+
+
+_MASK = "mask AS (SELECT DISTINCT l_suppkey AS region, l_partkey AS cell FROM lineitem)"
+_OVER = "sz AS (SELECT region, count(*) AS n FROM mask GROUP BY 1), ov AS (SELECT x.region AS a, y.region AS b, count(*) AS common, any_value(p.n) AS n_a, any_value(q.n) AS n_b FROM mask x JOIN mask y ON x.cell = y.cell AND x.region < y.region JOIN sz p ON p.region = x.region JOIN sz q ON q.region = y.region GROUP BY 1, 2)"
 _BOX3 = S.kernel_taps([[1.0] * 3] * 3, STEP)
 
 _PAIRS8 = f"{_NEIGHBOURS}, both8 AS (SELECT y, x, label, other, ny, nx FROM pairs UNION ALL SELECT a.y, a.x, a.label, b.label, b.y, b.x FROM cells a, (VALUES (1),(-1)) s(st) JOIN cells b ON b.y = a.y + 1 AND b.x = (a.x + st + 128) % 128 AND b.y % 64 > 0)"
@@ -286,6 +349,17 @@ QUERIES = {
     "largest_component": (largest_component, f"WITH RECURSIVE {_EDGES}, w AS (SELECT c_custkey AS node, c_custkey AS root FROM customer UNION SELECT u.n, w.root FROM w JOIN u ON u.c = w.node WHERE w.root < u.n), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1) SELECT node FROM m WHERE root = (SELECT root FROM m GROUP BY 1 ORDER BY count(*) DESC, root LIMIT 1)"),
     "graph_snapshot": (graph_snapshot, "WITH a AS (SELECT concat_ws('|', CAST(c_custkey AS VARCHAR), c_mktsegment) AS t FROM customer), b AS (SELECT concat_ws('|', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS t FROM orders) SELECT 'nodes' AS name, count(*) AS rows, CAST(sum(('0x' || substr(sha256(t),1,12))::BIGINT::HUGEINT) AS VARCHAR) AS digest FROM a UNION ALL SELECT 'edges', count(*), CAST(sum(('0x' || substr(sha256(t),1,12))::BIGINT::HUGEINT) AS VARCHAR) FROM b"),
     "replayed_log": (replayed_log, "SELECT user_id, event_id, event_type, round(value,4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'"),
+    "field_of_rays": (field_of_rays, "WITH t AS (SELECT id // 128 AS y, id % 128 AS x, 2*pi()*((id % 128)+0.5)/128 - pi() AS lon, pi()/2 - pi()*((id // 128) % 64 + 0.5)/64 AS lat FROM range(16384) g(id)) SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(sin(lon)*cos(lat)*2 + sin(lat)*(cos(lon)*cos(lat)),6) AS value FROM t"),
+    "sampled_rays": (sampled_rays, f"""WITH {CELLS}, {OBSERVATIONS}, b AS (SELECT id, atan2(sin(lon)*cos(lat), cos(lon)*cos(lat)) AS o, asin(sin(lat)) AS a FROM observations), p AS (SELECT id, (o+pi())/(2*pi())*128-0.5 AS u, round((pi()/2-a)/pi()*64-0.5,9) AS v FROM b), n AS (SELECT id, CAST(floor(round(u-128*floor(u/128),9)+0.5) AS BIGINT) % 128 AS sx, CAST(least(63,greatest(0,floor(v+0.5))) AS BIGINT) AS sy FROM p)
+ SELECT id, value, label AS kind FROM n JOIN cells ON y = sy AND x = sx"""),
+    "cropped_window": (cropped_window, f"WITH {CELLS} SELECT y, x, value FROM cells WHERE y % 64 BETWEEN 10 AND 39 AND x BETWEEN 20 AND 69"),
+    "pasted_patch": (pasted_patch, f"WITH {CELLS} SELECT y, x, CASE WHEN valid AND y % 64 BETWEEN 5 AND 24 AND x BETWEEN 5 AND 24 THEN value*2 ELSE value END AS value, valid FROM cells"),
+    "flipped_longitude": (flipped_longitude, f"WITH {CELLS} SELECT y, 127 - x AS x, value FROM cells"), "flipped_latitude": (flipped_latitude, f"WITH {CELLS} SELECT y + 63 - 2*(y%64) AS y, x, value FROM cells"),
+    "typed_rows": (typed_rows, "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"),
+    "region_overlaps": (region_overlaps, f"WITH {_MASK}, {_OVER} SELECT a, b, common, round(common/(n_a+n_b-common)::DOUBLE,6) AS iou, round(common/least(n_a,n_b)::DOUBLE,6) AS containment FROM ov"),
+    "merged_regions": (merged_regions, f"WITH RECURSIVE {_MASK}, {_OVER}, tie AS (SELECT a, b FROM ov WHERE common/(n_a+n_b-common)::DOUBLE >= 0.2), e AS (SELECT a, b FROM tie UNION SELECT b, a FROM tie), w AS (SELECT s_suppkey AS node, s_suppkey AS root FROM supplier UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1), k AS (SELECT root, arg_min(s_suppkey, {{'s': -s_acctbal, 'r': s_suppkey}}) AS keeper, count(*) AS members FROM m JOIN supplier ON s_suppkey = node GROUP BY 1), u AS (SELECT root, count(DISTINCT cell) AS cells FROM mask JOIN m ON node = region GROUP BY 1) SELECT keeper, members, cells FROM k JOIN u USING (root)"),
+    "region_suppression": (region_suppression, None),
+    "joint_match_clusters": (joint_match_clusters, f"WITH RECURSIVE {OBSERVATIONS}, v AS (SELECT id, sin(lon)*cos(lat) AS x, sin(lat) AS y, cos(lon)*cos(lat) AS z, sin(lon*1.2)*cos(lat) AS p, cos(lon*1.2)*cos(lat) AS q FROM observations), pr AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id AND abs(a.y-b.y) < 0.071 AND abs(a.x-b.x) < 0.071 AND abs(a.z-b.z) < 0.071 AND round(2*asin(least(1.0,sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))/2)),9) <= 0.07 AND round(2*asin(least(1.0,sqrt((a.p-b.p)*(a.p-b.p)+(a.y-b.y)*(a.y-b.y)+(a.q-b.q)*(a.q-b.q))/2)),9) <= 0.07), e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), w AS (SELECT id AS node, id AS root FROM v UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1) SELECT root, count(*) AS members FROM m GROUP BY 1"),
     "configured_pipeline": (configured_pipeline, f"WITH {CELLS}, {_lut_sql(_GAUSS)}, b AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(w*value)/sum(w) AS value FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2) SELECT round(sum(value*{AREA})/sum({AREA}),5) AS value, count(*) AS cells FROM b WHERE value >= 40"),
     "attached_fields": (attached_fields, f"WITH {CELLS}, {_lut_sql(_BOX3)}, b AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(w*value)/sum(w) AS blurred, max(value) AS peak, count(*) AS n FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2) SELECT c.y, c.x, value, round(blurred,5) AS blurred, CASE WHEN n = 9 THEN peak END AS peak FROM cells c LEFT JOIN b ON b.y = c.y AND b.x = c.x"),
 }

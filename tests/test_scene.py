@@ -80,3 +80,52 @@ def test_components_raise_where_they_do_not_settle(spark):
     edges = nodes.where("node > 0").select(F.col("node").alias("a"), (F.col("node") - 1).alias("b"))
     with pytest.raises(RuntimeError):
         R.components(nodes, edges, most_rounds=1)
+
+
+def test_suppression_and_merging_match_plain_loops(spark):
+    import random
+
+    rng = random.Random(6)
+    masks = {k: {rng.randrange(30) for _ in range(rng.randint(3, 14))} for k in range(40)}
+    score = {k: rng.randrange(8) / 8 for k in masks}
+    rows = spark.createDataFrame([(k, c) for k, m in masks.items() for c in m], "region long, cell long")
+    scores = spark.createDataFrame(list(score.items()), "region long, score double")
+    iou = lambda a, b: len(masks[a] & masks[b]) / len(masks[a] | masks[b])
+    kept = []
+    for k in sorted(masks, key=lambda k: (-score[k], k)):
+        if all(iou(k, o) <= 0.3 for o in kept):
+            kept.append(k)
+    got = R.suppressed(scores, R.overlaps(rows).where("iou > 0.3").select("a", "b")).collect()
+    assert sorted(r.region for r in got) == sorted(kept) and len(kept) > 3
+    label = {k: k for k in masks}
+    for _ in masks:
+        for a in masks:
+            for b in masks:
+                if iou(a, b) >= 0.35:
+                    label[a] = label[b] = min(label[a], label[b])
+    want = {}
+    for k, root in label.items():
+        want.setdefault(root, []).append(k)
+    want = sorted((min(g, key=lambda k: (-score[k], k)), len(g), len(set().union(*[masks[k] for k in g]))) for g in want.values())
+    assert sorted(tuple(r) for r in R.merged(rows, scores, 0.35).collect()) == want
+    assert R.suppressed(scores.limit(0), R.overlaps(rows).select("a", "b")).count() == 0
+
+
+def test_typed_rows_refuse_another_kind(spark):
+    from orbisight.sources import fields
+
+    rows = spark.createDataFrame([(1, None, [1.5])], "a int, b string, c array<double>")
+    told = fields.encoded(rows, "x")
+    assert fields.decoded(told, "x", "a int, b string, c array<double>").collect() == rows.collect()
+    with pytest.raises(Exception, match="kind"):
+        fields.decoded(told, "y", "a int, b string, c array<double>").collect()
+
+
+def test_arrays_become_cells(spark):
+    import numpy as np
+
+    from orbisight.sources import fields
+
+    got = fields.from_array(spark, np.array([[1.0, np.nan], [3.0, 4.0]])).orderBy("y", "x").collect()
+    assert [r.valid for r in got] == [True, False, True, True] and got[2].value == 3.0
+    assert fields.constant(spark, 1, 2, 3, 7.0).where("value = 7").count() == 6
