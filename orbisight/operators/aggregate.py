@@ -103,3 +103,24 @@ def voxel_blend(df: DataFrame, size: float, weight: str = "w", axes: tuple[str,
     key = [F.floor(F.col(a) / size).cast("long").alias(f"k{a}") for a in axes]
     sums = df.groupBy(*key).agg(F.sum(weight).alias("weight"), *[weighted_mean(F.col(a), F.col(weight)).alias(a) for a in (*axes, *carried)])
     return sums.where(F.col("weight") >= 1e-6)
+
+
+def surface_metrics(found: DataFrame, truth: DataFrame, distance: float) -> DataFrame:
+    """Precision, recall and their harmonic mean of points (id, x, y, z) that have a point of the other side within ``distance``.
+
+    Points are hashed to boxes of that width and meet those of the 27 boxes around; only whether there is one is kept.
+    """
+    box = lambda df, p: df.select(F.col("id").alias(f"{p}id"), *[F.col(k).cast("double").alias(f"{p}{k}") for k in "xyz"], *[F.floor(F.col(k) / distance).alias(f"g{k}") for k in "xyz"])
+
+    def share(a: DataFrame, b: DataFrame) -> DataFrame:
+        asked = box(a, "a")
+        for k in "xyz":
+            asked = asked.withColumn("_s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"g{k}", F.col(f"g{k}") + F.col("_s")).drop("_s")
+        apart = sum((F.pow(F.col(f"a{k}") - F.col(f"b{k}"), F.lit(2.0)) for k in "xyz"), F.lit(0.0))
+        other = box(b, "b")
+        keys = [asked[f"g{k}"] == other[f"g{k}"] for k in "xyz"]
+        hit = asked.join(other, [*keys, apart <= distance * distance], "left_semi").select("aid").distinct()
+        return a.join(hit, F.col("id") == F.col("aid"), "left").agg(F.count("aid").alias("hits"), F.count(F.lit(1)).alias("n"))
+
+    p, q = share(found, truth).select(F.lit(0).alias("k"), F.try_divide("hits", "n").alias("precision")), share(truth, found).select(F.lit(0).alias("k"), F.try_divide("hits", "n").alias("recall"))
+    return p.join(q, "k").select("precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f_score"))

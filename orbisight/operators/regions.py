@@ -190,3 +190,12 @@ def suppressed(scores: DataFrame, conflicts: DataFrame) -> DataFrame:
         gone = live.join(top.select(F.col("region").alias("winner")), "winner", "left_semi").select(F.col("loser").alias("region"))
         open_ = checkpointed(open_.join(top.select("region"), "region", "left_anti").join(gone, "region", "left_anti"))
     return scores.select("region", "score").limit(0) if kept is None else kept
+
+
+def support_boundaries(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """Cells next to a place of their panorama that has none."""
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))])).alias("s")
+    around = cells.select("y", "x", steps).select("y", "x", (F.col("y") + F.col("s.dy")).alias("ny"), F.pmod(F.col("x") + F.col("s.dx"), F.lit(width)).alias("nx"))
+    around = around.where(F.floor(F.col("ny") / height) == F.floor(F.col("y") / height))
+    known = cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"))
+    return around.join(known, ["ny", "nx"], "left_anti").select("y", "x").distinct()

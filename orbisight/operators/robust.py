@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def kabsch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,3 +63,30 @@ def triangulate(rows: DataFrame) -> DataFrame:
     det = sum((sign("x", c) * a("x", c) * minor("x", c) for c in axes), F.lit(0.0))
     solved = lambda r: sum((sign(r, c) * minor(r, c) * F.col(f"v{c}") for c in axes), F.lit(0.0)) / F.col("det")
     return s.withColumn("det", det).where("n >= 2 AND abs(det) > 1e-9").select("track", "n", *[solved(k).alias(k) for k in axes])
+
+
+def homographies(points: DataFrame, group: str) -> DataFrame:
+    """(group, n, h00 .. h22): the plane map of each group's pairs (x, y) to (u, v) by least squares, h22 = 1 (null below four pairs).
+
+    The normal equations are 45 sums a group, added up before the shuffle; only their small matrix is solved in Python.
+    """
+    one, zero = F.lit(1.0), F.lit(0.0)
+    x, y, u, v = (F.col(c).cast("double") for c in ("x", "y", "u", "v"))
+    lines = ([x, y, one, zero, zero, zero, -u * x, -u * y, -u], [zero, zero, zero, x, y, one, -v * x, -v * y, -v])
+    sums = [F.sum(sum((line[i] * line[j] for line in lines), F.lit(0.0))).alias(f"s{i}{j}") for i in range(9) for j in range(i, 9)]
+    added = points.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums)
+    names = [f"h{i}{j}" for i in range(3) for j in range(3)]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                m = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(9)] for i in range(9)])
+                scale = 1 / np.sqrt(np.maximum(np.diag(m), 1e-300))  # columns of equal length
+                h = scale * np.linalg.eigh(m * scale[:, None] * scale[None, :])[1][:, 0]
+                fine = r["n"] >= 4 and abs(h[8]) > 1e-12
+                rows.append((r[group], r["n"], *(h / h[8] if fine else [None] * 9)))
+            yield pd.DataFrame(rows, columns=[group, "n", *names])
+
+    kind = dict(points.dtypes)[group]
+    return added.mapInPandas(solve, f"`{group}` {kind}, n long, {', '.join(f'{c} double' for c in names)}")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The six canonical directions (name, lat, lon) in order.
-CUBE = (("front", 0.0, 0.0), ("right", 0.0, 90.0), ("back", 0.0, -180.0), ("left", 0.0, -90.0), ("up", 90.0, 0.0), ("down", -90.0, 0.0))
+CUBE = (("front", 0.0, 0.0), ("right", 0.0, 90.0), ("back", 0.0, 180.0), ("left", 0.0, -90.0), ("up", 90.0, 0.0), ("down", -90.0, 0.0))
 
 
 def cube(spark: SparkSession) -> DataFrame:
@@ -52,3 +52,13 @@ def anchors(regions: DataFrame, scales: tuple[float, ...], aspects: tuple[float,
         (F.col("score") * F.exp(-0.15 * (F.abs(F.log("g.s")) + 0.5 * F.abs(F.log("g.a"))))).alias("score"),
     )
     return made.groupBy("id", "hfov", "vfov").agg(F.max("score").alias("score"))
+
+
+def blue_noise(spark: SparkSession, n: int, least_deg: float, seed: int = 0) -> DataFrame:
+    """Seeded uniform directions of which none lies nearer than ``least_deg`` to one before it."""
+    from .match import angular_suppression
+
+    lon, lat = (F.rand(seed) * 2 - 1) * math.pi, F.asin(F.rand(seed + 1) * 2 - 1)
+    drawn = spark.range(0, n, 1, 1).select("id", F.lit(0).alias("g"), F.lit(0.0).alias("score"), lon.alias("lon"), lat.alias("lat"))
+    kept = angular_suppression(drawn, "g", math.radians(least_deg))
+    return kept.select(F.col("id").alias("view"), F.degrees("lat").alias("lat_deg"), F.degrees("lon").alias("lon_deg"))

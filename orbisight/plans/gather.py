@@ -217,7 +217,7 @@ QUERIES = {
  SELECT ad.y, ad.x, CAST(ad.d AS INTEGER) AS d, round(0.25*ad.cost/50.0 + 0.75*bit_count(xor(a.code, b.code))/8.0,6) AS cost FROM ad JOIN census a ON a.y = ad.y AND a.x = ad.x JOIN census b ON b.y = ad.y AND b.x - 2 = ad.x - ad.d"""),
     "birchfield_tomasi_cost": (birchfield_tomasi_cost, f"""WITH {CELLS}, n AS (SELECT y, x, value AS v, CASE WHEN lag(x) OVER w = x-1 THEN (value + lag(value) OVER w)/2 ELSE value END AS a, CASE WHEN lead(x) OVER w = x+1 THEN (value + lead(value) OVER w)/2 ELSE value END AS b FROM cells WHERE valid WINDOW w AS (PARTITION BY y ORDER BY x)), i AS (SELECT y, x, v, least(v,a,b) AS lo, greatest(v,a,b) AS hi FROM n)
  SELECT l.y, l.x, CAST(d AS INTEGER) AS d, round(least(greatest(0.0, l.v - q.hi, q.lo - l.v), greatest(0.0, q.v - l.hi, l.lo - q.v), 50.0),6) AS cost FROM i l, range({_DISP}) g(d) JOIN i q ON q.y = l.y AND q.x - 2 = l.x - d"""),
-    "views_cube": (views_cube, "SELECT * FROM (VALUES (0,'front',0.0::DOUBLE,0.0::DOUBLE),(1,'right',0,90),(2,'back',0,-180),(3,'left',0,-90),(4,'up',90,0),(5,'down',-90,0)) t(view,name,lat_deg,lon_deg)"),
+    "views_cube": (views_cube, "SELECT * FROM (VALUES (0,'front',0.0::DOUBLE,0.0::DOUBLE),(1,'right',0,90),(2,'back',0,180),(3,'left',0,-90),(4,'up',90,0),(5,'down',-90,0)) t(view,name,lat_deg,lon_deg)"),
     "views_fibonacci": (views_fibonacci, "WITH t AS (SELECT id, id+0.5::DOUBLE AS k, (id+0.5::DOUBLE)*(2*pi()/((1+sqrt(5.0::DOUBLE))/2)) AS a FROM range(200) t(id)) SELECT id AS view, round(degrees(asin(1 - 2*k/200)),6) AS lat_deg, round(degrees(atan2(sin(a),cos(a))),6) AS lon_deg FROM t"),
     "views_spiral": (views_spiral, "WITH t AS (SELECT id, id/199.0::DOUBLE AS t FROM range(200) t(id)), a AS (SELECT id, t, 360*sqrt(200.0::DOUBLE)*t AS o FROM t) SELECT id AS view, round(degrees(acos(1 - 2*t)) - 90,6) AS lat_deg, round(o - floor(o/360)*360 - 180,6) AS lon_deg FROM a"),
     "views_icosahedron": (views_icosahedron, None),

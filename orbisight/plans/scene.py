@@ -9,14 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..operators import regions as R, reproject as P, stencil as S
+from ..operators import aggregate as A, regions as R, reproject as P, robust as B, stencil as S, views as V
 from ..operators.views import CUBE
 from ..sources import archive, fields
 from ..sources.lineage import shared_folder
 from ..sources.tables import AREA, CELLS, EVIDENCE, HEIGHT as H, OBSERVATIONS, WIDTH as W, cells, evidence, observations, read
 from .area import _NEIGHBOURS, _R7, _ROT7, RAYS, _rays, r
 from .gather import STEP, _lut_sql
-from .graph import _EDGES, _next_customers
+from .graph import _EDGES, _next_customers, hypotheses
 from .pipeline import Pipeline, spatial_kernel
 
 WIDE = (("a", 20.0, 35.0), ("b", -10.0, -120.0))
@@ -313,6 +313,67 @@ def joint_match_clusters(spark, d: str) -> DataFrame:
     return R.joint_clusters(o, 0.07).groupBy("root").agg(F.count(F.lit(1)).alias("members"))
 
 
+def support_boundary(spark, d: str) -> DataFrame:
+    return R.support_boundaries(cells(spark, d), H, W)
+
+
+def pose_errors(spark, d: str) -> DataFrame:
+    """Angle between a rotation and nine tenths of it, of every part."""
+    v = _turns(spark, d)
+    named = lambda m, n: [m[i][j].alias(f"{n}{i}{j}") for i in range(3) for j in range(3)]
+    read_ = lambda n: [[F.col(f"{n}{i}{j}") for j in range(3)] for i in range(3)]
+    poses = v.select("p_partkey", *named(G.rotation_exp(*[F.col(f"v{k}") * 0.9 for k in "xyz"]), "a"), *named(G.rotation_exp(*[F.col(f"v{k}") for k in "xyz"]), "b"))
+    turn = poses.select("p_partkey", *named(G.relative_rotation(read_("a"), read_("b")), "t"))
+    return turn.select("p_partkey", r(G.norm(G.rotation_log(read_("t")))).alias("error"))
+
+
+def surface_scores(spark, d: str) -> DataFrame:
+    """Points of parts against the same points, some of them moved."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 20).alias("x"), F.col("p_size").cast("double").alias("y"), (F.col("p_partkey") % 7).cast("double").alias("z"))
+    moved = p.withColumn("x", F.col("x") + F.when(F.col("id") % 3 == 0, 200.0).otherwise(0.3))
+    m = A.surface_metrics(moved, p, 1.0)
+    return m.select(*[r(c).alias(c) for c in m.columns])
+
+
+def plane_maps(spark, d: str) -> DataFrame:
+    """The map that takes sizes and prices of a brand's parts to where a known map put them."""
+    p = read(spark, d, "part").select("p_brand", (F.col("p_size") / 50).alias("x"), (F.col("p_retailprice") / 2000).alias("y"))
+    w = 0.1 * F.col("x") - 0.2 * F.col("y") + 1
+    pairs = p.select("p_brand", "x", "y", ((1.2 * F.col("x") + 0.1 * F.col("y") + 0.3) / w).alias("u"), ((-0.2 * F.col("x") + 0.9 * F.col("y") + 0.5) / w).alias("v"))
+    return B.homographies(pairs, "p_brand").select("p_brand", "n", *[(F.round(F.col(f"h{i}{j}"), 4) + 0.0).alias(f"h{i}{j}") for i in range(3) for j in range(3)])
+
+
+def hypothesis_query(spark, d: str) -> DataFrame:
+    """The twenty surest hypotheses of some states, by confidence and then key; a top-k report."""
+    found = hypotheses(spark, d).where(F.col("state").isin("confirmed", "ambiguous") & (F.col("views") >= 3) & (F.col("confidence") >= 0.4))
+    return found.orderBy(F.desc("confidence"), "o_custkey").limit(20)
+
+
+def taken_observations(spark, d: str) -> DataFrame:
+    """Observations by their place in the order of ids: every hundredth, with the place."""
+    o = observations(spark, d).select("id", "score", "label")
+    placed = o.join(ranked(o.select("id")), "id")
+    return placed.where("place % 100 = 0").select("place", "id", "score", "label")
+
+
+def ranked(ids: DataFrame) -> DataFrame:
+    """(id, place) from 0 in the order of ids: a sort by ranges and the rows of the ranges before, never all in one task."""
+    from pyspark.sql import Window
+
+    from ..sources.lineage import checkpointed
+
+    at = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    placed = checkpointed(ids.orderBy("id").select("id", at.alias("at")))
+    part = F.shiftright("at", 33).alias("part")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("ahead"))
+    return placed.select("id", part, "at").join(ahead, "part").select("id", (F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
+def views_blue_noise(spark, d: str) -> DataFrame:
+    return V.blue_noise(spark, 400, 8.0, 3)
+
+
 _MASK = "mask AS (SELECT DISTINCT l_suppkey AS region, l_partkey AS cell FROM lineitem)"
 _OVER = "sz AS (SELECT region, count(*) AS n FROM mask GROUP BY 1), ov AS (SELECT x.region AS a, y.region AS b, count(*) AS common, any_value(p.n) AS n_a, any_value(q.n) AS n_b FROM mask x JOIN mask y ON x.cell = y.cell AND x.region < y.region JOIN sz p ON p.region = x.region JOIN sz q ON q.region = y.region GROUP BY 1, 2)"
 _BOX3 = S.kernel_taps([[1.0] * 3] * 3, STEP)
@@ -360,6 +421,14 @@ QUERIES = {
     "merged_regions": (merged_regions, f"WITH RECURSIVE {_MASK}, {_OVER}, tie AS (SELECT a, b FROM ov WHERE common/(n_a+n_b-common)::DOUBLE >= 0.2), e AS (SELECT a, b FROM tie UNION SELECT b, a FROM tie), w AS (SELECT s_suppkey AS node, s_suppkey AS root FROM supplier UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1), k AS (SELECT root, arg_min(s_suppkey, {{'s': -s_acctbal, 'r': s_suppkey}}) AS keeper, count(*) AS members FROM m JOIN supplier ON s_suppkey = node GROUP BY 1), u AS (SELECT root, count(DISTINCT cell) AS cells FROM mask JOIN m ON node = region GROUP BY 1) SELECT keeper, members, cells FROM k JOIN u USING (root)"),
     "region_suppression": (region_suppression, None),
     "joint_match_clusters": (joint_match_clusters, f"WITH RECURSIVE {OBSERVATIONS}, v AS (SELECT id, sin(lon)*cos(lat) AS x, sin(lat) AS y, cos(lon)*cos(lat) AS z, sin(lon*1.2)*cos(lat) AS p, cos(lon*1.2)*cos(lat) AS q FROM observations), pr AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id AND abs(a.y-b.y) < 0.071 AND abs(a.x-b.x) < 0.071 AND abs(a.z-b.z) < 0.071 AND round(2*asin(least(1.0,sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))/2)),9) <= 0.07 AND round(2*asin(least(1.0,sqrt((a.p-b.p)*(a.p-b.p)+(a.y-b.y)*(a.y-b.y)+(a.q-b.q)*(a.q-b.q))/2)),9) <= 0.07), e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), w AS (SELECT id AS node, id AS root FROM v UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1) SELECT root, count(*) AS members FROM m GROUP BY 1"),
+    "support_boundary": (support_boundary, f"WITH {CELLS} SELECT DISTINCT y, x FROM cells a, (VALUES (0,1),(0,-1),(1,0),(-1,0)) s(dy,dx) WHERE CAST(floor((y+dy)/64.0) AS BIGINT) = y // 64 AND NOT EXISTS (SELECT 1 FROM cells c WHERE c.y = a.y+dy AND c.x = (a.x+dx+128) % 128)"),
+    "pose_errors": (pose_errors, "SELECT p_partkey, round(p_size/40.0::DOUBLE*0.1,6) AS error FROM part"),
+    "surface_scores": (surface_scores, """WITH p AS (SELECT p_partkey AS id, p_retailprice/20 AS x, p_size::DOUBLE AS y, (p_partkey % 7)::DOUBLE AS z FROM part), m AS (SELECT id, x + CASE WHEN id % 3 = 0 THEN 200.0 ELSE 0.3 END AS x, y, z FROM p), a AS (SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM p WHERE abs(p.y-m.y) <= 1 AND abs(p.z-m.z) <= 1 AND (p.x-m.x)*(p.x-m.x)+(p.y-m.y)*(p.y-m.y)+(p.z-m.z)*(p.z-m.z) <= 1))/count(*)::DOUBLE AS precision FROM m),
+ b AS (SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM m WHERE abs(p.y-m.y) <= 1 AND abs(p.z-m.z) <= 1 AND (p.x-m.x)*(p.x-m.x)+(p.y-m.y)*(p.y-m.y)+(p.z-m.z)*(p.z-m.z) <= 1))/count(*)::DOUBLE AS recall FROM p) SELECT round(precision,6) AS precision, round(recall,6) AS recall, round(2*precision*recall/(precision+recall),6) AS f_score FROM a, b"""),
+    "plane_maps": (plane_maps, "SELECT p_brand, count(*) AS n, 1.2::DOUBLE AS h00, 0.1::DOUBLE AS h01, 0.3::DOUBLE AS h02, -0.2::DOUBLE AS h10, 0.9::DOUBLE AS h11, 0.5::DOUBLE AS h12, 0.1::DOUBLE AS h20, -0.2::DOUBLE AS h21, 1.0::DOUBLE AS h22 FROM part GROUP BY 1"),
+    "hypothesis_query": (hypothesis_query, "WITH o AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS views, round(avg(o_totalprice)/max(o_totalprice),5) AS confidence FROM orders GROUP BY 1), s AS (SELECT *, CASE WHEN views < 2 THEN 'proposed' WHEN confidence >= 0.55 THEN 'confirmed' WHEN confidence < 0.2 THEN 'dormant' ELSE 'ambiguous' END AS state FROM o) SELECT * FROM s WHERE state IN ('confirmed','ambiguous') AND views >= 3 AND confidence >= 0.4 ORDER BY confidence DESC, o_custkey LIMIT 20"),
+    "taken_observations": (taken_observations, "WITH o AS (SELECT c_custkey AS id, c_acctbal AS score, c_mktsegment AS label, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) SELECT place, id, score, label FROM o WHERE place % 100 = 0"),
+    "views_blue_noise": (views_blue_noise, None),
     "configured_pipeline": (configured_pipeline, f"WITH {CELLS}, {_lut_sql(_GAUSS)}, b AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(w*value)/sum(w) AS value FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2) SELECT round(sum(value*{AREA})/sum({AREA}),5) AS value, count(*) AS cells FROM b WHERE value >= 40"),
     "attached_fields": (attached_fields, f"WITH {CELLS}, {_lut_sql(_BOX3)}, b AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(w*value)/sum(w) AS blurred, max(value) AS peak, count(*) AS n FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2) SELECT c.y, c.x, value, round(blurred,5) AS blurred, CASE WHEN n = 9 THEN peak END AS peak FROM cells c LEFT JOIN b ON b.y = c.y AND b.x = c.x"),
 }
