@@ -79,12 +79,21 @@ def range_metrics(df: DataFrame, predicted: Column, true: Column, weight: Column
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, share: float, name: str = "weighted_quantile") -> DataFrame:
-    """The lower weighted quantile: first value whose running weight reaches the share of the group's."""
-    run = Window.partitionBy(*keys).orderBy(value)
-    return (
-        df.groupBy(*keys, value).agg(F.sum(weight).alias("w")).withColumn("upto", F.sum("w").over(run)).withColumn("total", F.sum("w").over(Window.partitionBy(*keys)))
-        .where(F.col("upto") >= F.col("total") * share).groupBy(*keys).agg(F.min(value).alias(name))
-    )
+    """The lower weighted quantile: first value whose running weight reaches the share of the group's.
+
+    Values are sorted by ranges over all groups; running weights start from the sums of the ranges before, of which there are
+    as many as shuffle partitions, so a group is never sorted in one task.
+    """
+    from ..sources.lineage import checkpointed
+
+    each = df.groupBy(*keys, value).agg(F.sum(weight).alias("w")).orderBy(*keys, value)
+    placed = checkpointed(each.withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))  # the number of the range
+    ranges = placed.groupBy(*keys, "_part").agg(F.sum("w").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0))).withColumn("_total", F.sum("_sum").over(Window.partitionBy(*keys))).drop("_sum")
+    run = Window.partitionBy(*keys, "_part").orderBy(value)
+    upto = placed.join(ranges, [*keys, "_part"]).withColumn("_upto", F.col("_before") + F.sum("w").over(run))
+    return upto.where(F.col("_upto") >= F.col("_total") * share).groupBy(*keys).agg(F.min(value).alias(name))
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:

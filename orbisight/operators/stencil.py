@@ -132,3 +132,28 @@ def steep(cells: DataFrame, height: int, threshold: float) -> DataFrame:
     column = Window.partitionBy(F.floor(F.col("y") / height), "x").orderBy("y")
     step = lambda w: F.coalesce(F.abs(F.lead("value").over(w) - F.col("value")), F.lit(0.0))
     return cells.withColumn("_e", step(row)).withColumn("_s", step(column)).where((F.col("_e") <= threshold) & (F.col("_s") <= threshold)).drop("_e", "_s")
+
+
+def edges(cells: DataFrame, blur: DataFrame, east: DataFrame, north: DataFrame, height: int, width: int, low: float, high: float) -> DataFrame:
+    """(y, x, magnitude): blur, gradient, ridge cells along the gradient, then the 8-connected ridges that somewhere reach ``high``.
+
+    A ridge cell is at least as steep as both neighbours in the nearest of four directions of its gradient.
+    """
+    from ..sources.lineage import checkpointed
+    from . import regions
+
+    smooth = filtered(gather(cells, blur, height, width), "mean").select("y", "x", "value", F.lit(True).alias("valid"))
+    slope = lambda lut, name: filtered(gather(smooth, lut, height, width), "sum").select("y", "x", F.col("value").alias(name))
+    both = slope(east, "e").join(slope(north, "n"), ["y", "x"])
+    sector = F.pmod(F.floor(F.round(F.atan2("n", "e") / (math.pi / 4), 6) + 0.5), F.lit(4))  # east, north-east, north, north-west
+    steep = checkpointed(both.select("y", "x", F.round(F.hypot("e", "n"), 6).alias("m"), sector.alias("s")))  # read twice
+    dx, dy = F.when(F.col("s") == 2, 0).when(F.col("s") == 3, -1).otherwise(1), F.when(F.col("s") == 0, 0).otherwise(-1)
+    sides = steep.where(F.col("m") >= low).select("y", "x", "m", F.explode(F.array(F.lit(1), F.lit(-1))).alias("k"), dx.alias("dx"), dy.alias("dy"))
+    sides = sides.select("y", "x", "m", (F.col("y") + F.col("k") * F.col("dy")).alias("ny"), F.pmod(F.col("x") + F.col("k") * F.col("dx"), F.lit(width)).alias("nx"))
+    near = steep.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("m").alias("other"))
+    same = F.floor(F.col("ny") / height) == F.floor(F.col("y") / height)
+    met = sides.join(near, ["ny", "nx"], "left").groupBy("y", "x", "m").agg(F.max(F.when(same, F.col("other"))).alias("other"))
+    ridge = checkpointed(met.where(F.coalesce("other", F.lit(0.0)) <= F.col("m")).select("y", "x", "m", F.lit(1).alias("label")))
+    pieces = regions.label_components(ridge, height, width, connectivity=8).join(ridge.select("y", "x", "m"), ["y", "x"])
+    strong = pieces.where(F.col("m") >= high).select("component").distinct()
+    return pieces.join(strong, "component", "left_semi").select("y", "x", F.col("m").alias("magnitude"))

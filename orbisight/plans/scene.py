@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -374,12 +375,36 @@ def views_blue_noise(spark, d: str) -> DataFrame:
     return V.blue_noise(spark, 400, 8.0, 3)
 
 
+_REACH = "w AS (SELECT y*128+x AS node, y*128+x AS root FROM {0} UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b), m AS (SELECT node, min(root) AS component FROM w GROUP BY node)"
+_EAST, _NORTH = S.kernel_taps(S.SOBEL_EAST, STEP), S.kernel_taps(S.SOBEL_NORTH, STEP)
+
+
+def canny_edges(spark, d: str) -> DataFrame:
+    table = lambda taps: S.row_table(spark, H, W, taps)
+    return S.edges(cells(spark, d), table(_GAUSS), table(_EAST), table(_NORTH), H, W, 4.0, 9.0)
+
+
+def _named_lut(taps: list, name: str) -> str:
+    """The table of rows under names of its own."""
+    sql = _lut_sql(taps)
+    for word in ("taps", "base", "pt", "pos", "lut"):
+        sql = re.sub(rf"\b{word}\b", f"{word}_{name}", sql)
+    return sql
+
+
+def _pushed(name: str, source: str, made: str) -> str:
+    return f"SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, {made} FROM {source} c JOIN lut_{name} l ON c.y % 64 = l.sy"
+
+
+_CANNY = f"""{CELLS}, vc AS (SELECT * FROM cells WHERE valid), {_named_lut(_GAUSS, 'g')}, {_named_lut(_EAST, 'e')}, {_named_lut(_NORTH, 'n')}, sm AS ({_pushed('g', 'vc', 'sum(w*value)/sum(w) AS value')} GROUP BY 1, 2), ge AS ({_pushed('e', 'sm', 'sum(w*value) AS e')} GROUP BY 1, 2), gn AS ({_pushed('n', 'sm', 'sum(w*value) AS n')} GROUP BY 1, 2),
+ st AS (SELECT ge.y, ge.x, round(sqrt(e*e+n*n),6) AS m, (CAST(floor(round(atan2(n,e)/(pi()/4),6)+0.5) AS BIGINT) % 4 + 4) % 4 AS s FROM ge JOIN gn ON ge.y = gn.y AND ge.x = gn.x),
+ nb AS (SELECT a.y, a.x, a.m, max(b.m) AS other FROM (SELECT *, k FROM st, (VALUES (1),(-1)) q(k) WHERE m >= 4) a LEFT JOIN st b ON b.y = a.y + a.k*(CASE WHEN a.s = 0 THEN 0 ELSE -1 END) AND b.x = (a.x + a.k*(CASE WHEN a.s = 2 THEN 0 WHEN a.s = 3 THEN -1 ELSE 1 END) + 128) % 128 AND b.y // 64 = a.y // 64 GROUP BY 1, 2, 3),
+ h AS (SELECT y, x, m AS mag FROM nb WHERE coalesce(other,0) <= m), p AS (SELECT a.y*128+a.x AS a, b.y*128+b.x AS b FROM h a, (VALUES (0,1),(1,0),(1,1),(1,-1)) o(dy,dx) JOIN h b ON b.y = a.y+dy AND b.x = (a.x+dx+128) % 128 AND b.y // 64 = a.y // 64), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), {_REACH.format('h')}"""
 _MASK = "mask AS (SELECT DISTINCT l_suppkey AS region, l_partkey AS cell FROM lineitem)"
 _OVER = "sz AS (SELECT region, count(*) AS n FROM mask GROUP BY 1), ov AS (SELECT x.region AS a, y.region AS b, count(*) AS common, any_value(p.n) AS n_a, any_value(q.n) AS n_b FROM mask x JOIN mask y ON x.cell = y.cell AND x.region < y.region JOIN sz p ON p.region = x.region JOIN sz q ON q.region = y.region GROUP BY 1, 2)"
 _BOX3 = S.kernel_taps([[1.0] * 3] * 3, STEP)
 
 _PAIRS8 = f"{_NEIGHBOURS}, both8 AS (SELECT y, x, label, other, ny, nx FROM pairs UNION ALL SELECT a.y, a.x, a.label, b.label, b.y, b.x FROM cells a, (VALUES (1),(-1)) s(st) JOIN cells b ON b.y = a.y + 1 AND b.x = (a.x + st + 128) % 128 AND b.y % 64 > 0)"
-_REACH = "w AS (SELECT y*128+x AS node, y*128+x AS root FROM {0} UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b), m AS (SELECT node, min(root) AS component FROM w GROUP BY node)"
 _EDIT = f"{_EDGES}, ee AS (SELECT c, n FROM e WHERE NOT (c % 7 = 0 AND n % 5 = 0) UNION SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 200 = 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)), eu AS (SELECT c, n FROM ee UNION SELECT n, c FROM ee)"
 _RY3 = "round(rx,6) AS rx, round(ry,6) AS ry, round(rz,6) AS rz FROM rays"
 
@@ -429,6 +454,7 @@ QUERIES = {
     "hypothesis_query": (hypothesis_query, "WITH o AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS views, round(avg(o_totalprice)/max(o_totalprice),5) AS confidence FROM orders GROUP BY 1), s AS (SELECT *, CASE WHEN views < 2 THEN 'proposed' WHEN confidence >= 0.55 THEN 'confirmed' WHEN confidence < 0.2 THEN 'dormant' ELSE 'ambiguous' END AS state FROM o) SELECT * FROM s WHERE state IN ('confirmed','ambiguous') AND views >= 3 AND confidence >= 0.4 ORDER BY confidence DESC, o_custkey LIMIT 20"),
     "taken_observations": (taken_observations, "WITH o AS (SELECT c_custkey AS id, c_acctbal AS score, c_mktsegment AS label, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) SELECT place, id, score, label FROM o WHERE place % 100 = 0"),
     "views_blue_noise": (views_blue_noise, None),
+    "canny_edges": (canny_edges, f"WITH RECURSIVE {_CANNY}, g AS (SELECT y, x, mag, component FROM h JOIN m ON node = y*128+x) SELECT y, x, mag AS magnitude FROM g WHERE component IN (SELECT component FROM g WHERE mag >= 9)"),
     "configured_pipeline": (configured_pipeline, f"WITH {CELLS}, {_lut_sql(_GAUSS)}, b AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(w*value)/sum(w) AS value FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2) SELECT round(sum(value*{AREA})/sum({AREA}),5) AS value, count(*) AS cells FROM b WHERE value >= 40"),
     "attached_fields": (attached_fields, f"WITH {CELLS}, {_lut_sql(_BOX3)}, b AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, sum(w*value)/sum(w) AS blurred, max(value) AS peak, count(*) AS n FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid GROUP BY 1, 2) SELECT c.y, c.x, value, round(blurred,5) AS blurred, CASE WHEN n = 9 THEN peak END AS peak FROM cells c LEFT JOIN b ON b.y = c.y AND b.x = c.x"),
 }
