@@ -68,22 +68,29 @@ def triangulate(rows: DataFrame) -> DataFrame:
 def homographies(points: DataFrame, group: str) -> DataFrame:
     """(group, n, h00 .. h22): the plane map of each group's pairs (x, y) to (u, v) by least squares, h22 = 1 (null below four pairs).
 
-    The normal equations are 45 sums a group, added up before the shuffle; only their small matrix is solved in Python.
+    Coordinates are centred and scaled by group, so that the normal equations keep their digits; these are 45 sums a group,
+    added up before the shuffle, and only their small matrix is solved in Python.
     """
+    names, axes = [f"h{i}{j}" for i in range(3) for j in range(3)], "xyuv"
+    spread = [f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in axes for n, f in (("m", F.avg), ("d", F.stddev_pop))]
+    stats = points.groupBy(group).agg(*spread)
     one, zero = F.lit(1.0), F.lit(0.0)
-    x, y, u, v = (F.col(c).cast("double") for c in ("x", "y", "u", "v"))
+    scaled = [((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"d_{c}") > 0, F.col(f"d_{c}")).otherwise(1.0)).alias(f"_{c}") for c in axes]
+    x, y, u, v = (F.col(f"_{c}") for c in axes)
     lines = ([x, y, one, zero, zero, zero, -u * x, -u * y, -u], [zero, zero, zero, x, y, one, -v * x, -v * y, -v])
     sums = [F.sum(sum((line[i] * line[j] for line in lines), F.lit(0.0))).alias(f"s{i}{j}") for i in range(9) for j in range(i, 9)]
-    added = points.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums)
-    names = [f"h{i}{j}" for i in range(3) for j in range(3)]
+    kept = [F.min(f"{n}_{c}").alias(f"{n}_{c}") for c in axes for n in "md"]
+    added = points.join(stats, group).select(group, *[f"{n}_{c}" for c in axes for n in "md"], *scaled).groupBy(group).agg(F.count(F.lit(1)).alias("n"), *kept, *sums)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
                 m = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(9)] for i in range(9)])
-                scale = 1 / np.sqrt(np.maximum(np.diag(m), 1e-300))  # columns of equal length
-                h = scale * np.linalg.eigh(m * scale[:, None] * scale[None, :])[1][:, 0]
+                size = {c: r[f"d_{c}"] or 1.0 for c in axes}
+                before = np.array([[1 / size["x"], 0, -r["m_x"] / size["x"]], [0, 1 / size["y"], -r["m_y"] / size["y"]], [0, 0, 1]])
+                after = np.array([[size["u"], 0, r["m_u"]], [0, size["v"], r["m_v"]], [0, 0, 1]])
+                h = (after @ np.linalg.eigh(m)[1][:, 0].reshape(3, 3) @ before).ravel()
                 fine = r["n"] >= 4 and abs(h[8]) > 1e-12
                 rows.append((r[group], r["n"], *(h / h[8] if fine else [None] * 9)))
             yield pd.DataFrame(rows, columns=[group, "n", *names])
