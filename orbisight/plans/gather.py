@@ -67,6 +67,12 @@ def _morph(kind: str):
     return run, sql
 
 
+def _twice_sql(first: str, second: str) -> str:
+    """A morphology of a morphology: the second reads what the first made of every cell."""
+    step = lambda source, best: f"SELECT CAST(p.y AS INTEGER) AS y, CAST(p.x AS INTEGER) AS x, {best}(p.value) AS value FROM (SELECT c.y - c.y%64 + l.y AS y, ((c.x - dx) % 128 + 128) % 128 AS x, value FROM {source} c JOIN lut l ON c.y % 64 = l.sy UNION ALL SELECT c.y - c.y%64 + l.sy, (c.x + dx + 128) % 128, value FROM {source} c JOIN lut l ON c.y % 64 = l.y) p JOIN {{0}} t ON t.y = p.y AND t.x = p.x GROUP BY 1, 2"
+    return f"WITH {CELLS}, {_lut_sql(_DISK)}, vc AS (SELECT * FROM cells WHERE valid), one AS ({step('vc', first).format('cells')}) {step('one', second).format('one')}"
+
+
 def opening(spark, d: str) -> DataFrame:
     lut = S.row_table(spark, H, W, _DISK)
     low = S.morphology(cells(spark, d), lut, H, W, "erode").withColumn("valid", F.lit(True))
@@ -201,7 +207,7 @@ def fov_anchors(spark, d: str) -> DataFrame:
 QUERIES = {
     "filter_box": _stencil(_BOX, "sum"), "box_blur": _stencil(_BOX, "mean"), "gaussian_blur": _stencil(S.gaussian_kernel(5, 1.0), "mean"), "median_blur": _stencil([[1.0] * 3] * 3, "median", 6), "max_pool": _stencil([[1.0] * 3] * 3, "max"), "min_pool": _stencil([[1.0] * 3] * 3, "min"),
     "sobel_east": _stencil(S.SOBEL_EAST, "sum"), "sobel_north": _stencil(S.SOBEL_NORTH, "sum"), "laplacian": _stencil(S.LAPLACE, "sum"), "gradient": (gradient, _gradient_sql()),
-    "dilate": _morph("dilate"), "erode": _morph("erode"), "opening": (opening, None), "closing": (closing, None),
+    "dilate": _morph("dilate"), "erode": _morph("erode"), "opening": (opening, _twice_sql("min", "max")), "closing": (closing, _twice_sql("max", "min")),
     "resize_nearest": (resize_nearest, f"WITH {CELLS}, {_RESIZE} SELECT c.y // 64 AS pano, CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, value, valid FROM t JOIN cells c ON c.x = CAST(floor(u+0.5) AS BIGINT) % 128 AND c.y % 64 = least(63,greatest(0,CAST(floor(v+0.5) AS BIGINT)))"),
     "resize_bilinear": (resize_bilinear, f"""WITH {CELLS}, {_RESIZE}, k AS (SELECT oy, ox, (CAST(floor(u) AS BIGINT)+i+128) % 128 AS sx, least(63,greatest(0,CAST(floor(v) AS BIGINT)+j)) AS sy, (CASE WHEN i=0 THEN 1-(u-floor(u)) ELSE u-floor(u) END)*(CASE WHEN j=0 THEN 1-(v-floor(v)) ELSE v-floor(v) END) AS w FROM t, range(2) a(i), range(2) b(j))
  SELECT c.y // 64 AS pano, CAST(oy AS INTEGER) AS oy, CAST(ox AS INTEGER) AS ox, round(CASE WHEN sum(w) <> 0 THEN sum(w*value)/sum(w) END,6) AS value, round(sum(w),6) AS weight FROM k JOIN cells c ON c.x = sx AND c.y % 64 = sy WHERE valid GROUP BY 1, 2, 3"""),
