@@ -32,6 +32,7 @@ from ._common import alnum_words, by_place, place, settle, small_batches
 
 #: Text of a batch, and text whose codes make up a part, in bytes.
 BATCH_BYTES, PART_BYTES = 8 << 20, 24 << 20
+_CODEC = pa.Codec("zstd", compression_level=3)
 _START = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD, _TURN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _PAIR, _WORD, _CONTEXT = (np.uint64(k) for k in range(3))
@@ -49,7 +50,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = []
     for x in arrays:
         planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
-        body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        body = _CODEC.compress(planes, asbytes=True) if planes else b""
         out += [np.array([ord(x.dtype.char), len(x), len(body)], np.int64).tobytes(), body]
     return b"".join(out)
 
@@ -59,7 +60,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     while at < len(blob):
         kind, n, size = np.frombuffer(blob, np.int64, 3, at).tolist()
         dtype = np.dtype(chr(kind))
-        planes = pa.decompress(blob[at + 24 : at + 24 + size], n * dtype.itemsize, codec="zstd", asbytes=True) if n else b""
+        planes = _CODEC.decompress(blob[at + 24 : at + 24 + size], n * dtype.itemsize, asbytes=True) if n else b""
         out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).reshape(n))
         at += 24 + size
     return out
@@ -84,7 +85,7 @@ class Batch:
 
     @staticmethod
     def read(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths of the texts, their words as numbers, and the code of each number."""
+        """Lengths of the texts, their words as numbers, and the code of each number; frequent words have small numbers."""
         local: dict[bytes, int] = {}
         numbers, lengths = [], []
         for text in texts:
@@ -92,7 +93,11 @@ class Batch:
             numbers.append(np.fromiter((local.setdefault(w, len(local) + 1) for w in words), np.uint32, len(words)))
             lengths.append(len(words))
         vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - bits) for w in local), np.uint64, len(local))
-        return np.array(lengths, np.uint32), np.concatenate([*numbers, np.zeros(0, np.uint32)]), vocabulary
+        words = np.concatenate([*numbers, np.zeros(0, np.uint32)])
+        order = np.argsort(-np.bincount(words, minlength=len(local) + 1)[1:], kind="stable")
+        rank = np.empty(len(local), np.uint32)
+        rank[order] = np.arange(1, len(local) + 1, dtype=np.uint32)
+        return np.array(lengths, np.uint32), rank[words.astype(np.int64) - 1], vocabulary[order]
 
     def flags(self, wanted: list[int]) -> np.ndarray:
         """Whether each document is wanted, from the places of those that are."""
