@@ -170,26 +170,31 @@ def joint_clusters(points: DataFrame, radius: float) -> DataFrame:
     return components(points.select(F.col("id").alias("node")), edges)
 
 
-def suppressed(scores: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(region, score) that greedy suppression keeps: by falling score, then id, whatever conflicts with a kept one goes.
+def suppressed(scores: DataFrame, conflicts: DataFrame, kind: str | None = None) -> DataFrame:
+    """(region, score) that greedy suppression keeps: by falling score, null last, then id, whatever conflicts with a kept one goes.
 
-    Rounds keep every undecided row without an undecided better rival and drop the rivals of what is kept, until none is
-    undecided.
+    Regions conflict only inside one class where ``kind`` names that column of ``scores``, null being a class.  A conflict of
+    a region with itself is none, and a region without an id has none.  Rounds keep every undecided row without an undecided
+    better rival and drop the rivals of what is kept, until none is undecided; ids that occur twice with other scores raise.
     """
-    order = F.struct(-F.col("score"), F.col("region"))
-    named = scores.select("region", "score", order.alias("rank"))
-    rank = lambda c: named.select(F.col("region").alias(c), F.col("rank").alias(f"rank_{c}"))
-    beats = conflicts.join(rank("a"), "a").join(rank("b"), "b")
+    order = F.struct(F.col("score").isNull(), F.coalesce(-F.col("score"), F.lit(0.0)), F.col("region"))
+    own = (F.col(kind) if kind else F.lit(0)).alias("kind")
+    nameless = scores.where("region IS NULL").select("region", "score")
+    named = checkpointed(scores.where("region IS NOT NULL").select("region", "score", order.alias("rank"), own).distinct())
+    rank = lambda c: named.select(F.col("region").alias(c), F.col("rank").alias(f"rank_{c}"), F.col("kind").alias(f"kind_{c}"))
+    beats = conflicts.where("a <> b").join(rank("a"), "a").join(rank("b"), "b").where(F.col("kind_a").eqNullSafe(F.col("kind_b")))
     better = F.col("rank_a") < F.col("rank_b")
-    pairs = checkpointed(beats.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("loser")))
-    open_, kept = checkpointed(named.select("region", "score")), None
+    pairs = checkpointed(beats.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("loser")).distinct())
+    open_, kept = checkpointed(named.select("region", "score")), nameless
     while not open_.isEmpty():
         live = pairs.join(open_.select(F.col("region").alias("winner")), "winner", "left_semi").join(open_.select(F.col("region").alias("loser")), "loser", "left_semi")
         top = checkpointed(open_.join(live.select(F.col("loser").alias("region")), "region", "left_anti"))
-        kept = top if kept is None else kept.unionByName(top)
+        if top.isEmpty():
+            raise ValueError("regions suppress one another: an id has several scores")
+        kept = kept.unionByName(top)
         gone = live.join(top.select(F.col("region").alias("winner")), "winner", "left_semi").select(F.col("loser").alias("region"))
         open_ = checkpointed(open_.join(top.select("region"), "region", "left_anti").join(gone, "region", "left_anti"))
-    return scores.select("region", "score").limit(0) if kept is None else kept
+    return kept
 
 
 def support_boundaries(cells: DataFrame, height: int, width: int) -> DataFrame:

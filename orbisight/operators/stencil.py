@@ -125,13 +125,13 @@ def residual(cells: DataFrame, coarse: DataFrame, height: int, width: int, sign:
 
 
 def steep(cells: DataFrame, height: int, threshold: float) -> DataFrame:
-    """Cells whose value differs from the next cell to the east and south by at most ``threshold``; the others go."""
+    """Cells whose gradient is under ``threshold``: differences to the cell before in row and column, 0 where there is none."""
     from pyspark.sql import Window
 
     row = Window.partitionBy("y").orderBy("x")
     column = Window.partitionBy(F.floor(F.col("y") / height), "x").orderBy("y")
-    step = lambda w: F.coalesce(F.abs(F.lead("value").over(w) - F.col("value")), F.lit(0.0))
-    return cells.withColumn("_e", step(row)).withColumn("_s", step(column)).where((F.col("_e") <= threshold) & (F.col("_s") <= threshold)).drop("_e", "_s")
+    step = lambda w, k: F.coalesce(F.when(F.lag(k).over(w) == F.col(k) - 1, F.col("value") - F.lag("value").over(w)), F.lit(0.0))
+    return cells.withColumn("_e", step(row, "x")).withColumn("_s", step(column, "y")).where(F.sqrt(F.col("_e") * F.col("_e") + F.col("_s") * F.col("_s")) < threshold).drop("_e", "_s")
 
 
 def edges(cells: DataFrame, blur: DataFrame, east: DataFrame, north: DataFrame, height: int, width: int, low: float, high: float) -> DataFrame:
