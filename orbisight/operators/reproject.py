@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
-from . import stencil as S
+from . import distance as D, stencil as S
 
 #: Name, latitude and longitude in degrees.
 Layout = Sequence[tuple[str, float, float]]
@@ -68,10 +68,17 @@ def footprints(panos: DataFrame, layout: Layout, fov_deg: float, size: int, heig
 
 
 def reconstruct(faces: DataFrame, layout: Layout, fov_deg: float, size: int, height: int, width: int, method: str = "average") -> DataFrame:
-    """(y, x, value, support): cells of the stack from all views that see them: average, gaussian (by angle) or closest."""
+    """(y, x, value, support): cells of the stack from all views that see them.
+
+    By average, gaussian (of the angle to the axis), nearest_axis (the least such angle), or by how deep a cell lies in what
+    a view sees: feathering and closest.
+    """
     found = footprints(faces.select("pano").distinct(), layout, fov_deg, size, height, width).join(faces.where("valid"), ["pano", "view", "v", "u"])
-    weight = {"average": F.lit(1.0), "gaussian": F.exp(6 * (F.col("dot") - 1)), "closest": F.lit(1.0)}[method]
-    mean = F.sum(weight * F.col("value")) / F.sum(weight)
-    best = F.min_by("value", F.struct(-F.col("dot"), F.col("view")))
-    made = found.groupBy("pano", "y", "x").agg((best if method == "closest" else mean).alias("value"), F.count(F.lit(1)).alias("support"))
+    if method in ("feathering", "closest"):
+        made = D.blend_by_depth(found.select("pano", "view", "y", "x", "value"), ["pano"], height, width, method)
+    else:
+        weight = {"average": F.lit(1.0), "gaussian": F.exp(6 * (F.col("dot") - 1)), "nearest_axis": F.lit(1.0)}[method]
+        mean = F.sum(weight * F.col("value")) / F.sum(weight)
+        best = F.min_by("value", F.struct(-F.col("dot"), F.col("view")))
+        made = found.groupBy("pano", "y", "x").agg((best if method == "nearest_axis" else mean).alias("value"), F.count(F.lit(1)).alias("support"))
     return made.select((F.col("pano") * height + F.col("y")).cast("int").alias("y"), "x", "value", "support")

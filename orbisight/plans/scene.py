@@ -60,7 +60,13 @@ def _rebuild(layout, fov: float, method: str):  # noqa: ANN001, ANN202
         faces = P.extract(cells(spark, d), layout, fov, N, H, W)
         return P.reconstruct(faces, layout, fov, N, H, W, method).select("y", "x", r("value").alias("value"), "support")
 
-    made = {"average": "avg(value)", "gaussian": "sum(exp(6*(dot-1))*value)/sum(exp(6*(dot-1)))", "closest": "arg_min(value, {'d': -dot, 'v': view})"}[method]
+    if method in ("feathering", "closest"):
+        sql = f"""WITH {CELLS}, {_faces_sql(layout, fov, N)}, {_seen_sql(N, fov)}, m AS (SELECT pano, view, CAST(seen.y AS INTEGER) AS y, CAST(seen.x AS INTEGER) AS x, value FROM seen), vw AS (SELECT DISTINCT pano, view FROM m),
+ al AS (SELECT pano, view, CAST(id // 128 AS INTEGER) AS y, CAST(id % 128 AS INTEGER) AS x FROM vw, range(8192) t(id)), bg AS (SELECT al.* FROM al ANTI JOIN m USING (pano, view, y, x)),
+ dp AS (SELECT m.pano, m.view, m.y, m.x, m.value, sqrt(min((m.y-bg.y)*(m.y-bg.y)+(m.x-bg.x)*(m.x-bg.x))) AS depth FROM m JOIN bg USING (pano, view) GROUP BY ALL), wt AS (SELECT *, depth / max(depth) OVER (PARTITION BY pano, view) AS w FROM dp)
+ SELECT CAST(pano*64+y AS INTEGER) AS y, x, round({"sum(w*value)/sum(w)" if method == "feathering" else "arg_min(value, {'d': -depth, 'v': view})"},6) AS value, count(*) AS support FROM wt GROUP BY pano, wt.y, wt.x"""
+        return run, sql
+    made = {"average": "avg(value)", "gaussian": "sum(exp(6*(dot-1))*value)/sum(exp(6*(dot-1)))", "nearest_axis": "arg_min(value, {'d': -dot, 'v': view})"}[method]
     return run, f"WITH {CELLS}, {_faces_sql(layout, fov, N)}, {_seen_sql(N, fov)} SELECT CAST(pano*64+y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round({made},6) AS value, count(*) AS support FROM seen GROUP BY pano, seen.y, seen.x"
 
 
@@ -219,6 +225,10 @@ def largest_component(spark, d: str) -> DataFrame:
     return found.join(F.broadcast(top), "root").select("node")  # one row
 
 
+def _told_sql(*columns: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '~' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in columns)
+
+
 def graph_snapshot(spark, d: str) -> DataFrame:
     """A digest of each table of the graph that does not depend on the order of its rows."""
     tables = {"nodes": read(spark, d, "customer").select("c_custkey", "c_mktsegment"), "edges": read(spark, d, "orders").select("o_orderkey", "o_custkey")}
@@ -410,12 +420,12 @@ _RY3 = "round(rx,6) AS rx, round(ry,6) AS ry, round(rz,6) AS rz FROM rays"
 
 QUERIES = {
     "perspective_views": _extract(WIDE, 80.0), "perspective_views_bilinear": _extract(WIDE, 80.0, "bilinear"), "cubemap_faces": _extract(CUBE, 90.0), "cubemap_faces_bilinear": _extract(CUBE, 90.0, "bilinear"),
-    "views_to_panorama": _rebuild(WIDE, 80.0, "average"), "cubemap_to_panorama": _rebuild(CUBE, 90.0, "closest"), "reconstruct_average": _rebuild(CUBE, 110.0, "average"), "reconstruct_gaussian": _rebuild(CUBE, 110.0, "gaussian"), "reconstruct_closest": _rebuild(CUBE, 110.0, "closest"),
+    "views_to_panorama": _rebuild(WIDE, 80.0, "average"), "cubemap_to_panorama": _rebuild(CUBE, 90.0, "nearest_axis"), "reconstruct_average": _rebuild(CUBE, 110.0, "average"), "reconstruct_gaussian": _rebuild(CUBE, 110.0, "gaussian"), "reconstruct_nearest_axis": _rebuild(CUBE, 110.0, "nearest_axis"), "reconstruct_closest": _rebuild(CUBE, 110.0, "closest"), "reconstruct_feathering": _rebuild(CUBE, 110.0, "feathering"),
     "bilateral_filter": (bilateral_filter, f"WITH {CELLS}, {_lut_sql(_SPACE)}, g AS (SELECT CAST(c.y - c.y%64 + l.y AS INTEGER) AS y, ((c.x - dx) % 128 + 128) % 128 AS x, w, value AS v FROM cells c JOIN lut l ON c.y % 64 = l.sy WHERE c.valid) SELECT g.y, g.x, round(sum(w*exp(-(v-value)*(v-value)/1250.0)*v)/sum(w*exp(-(v-value)*(v-value)/1250.0)),5) AS value, count(*) AS taps FROM g JOIN cells c ON c.y = g.y AND c.x = g.x WHERE c.valid GROUP BY 1, 2"),
     "gaussian_pyramid": (gaussian_pyramid, f"WITH {_COARSE} SELECT 0 AS level, y // 64 AS pano, CAST(y % 64 AS INTEGER) AS oy, x AS ox, value FROM cells WHERE valid UNION ALL SELECT 1, pano, CAST(oy AS INTEGER), CAST(ox AS INTEGER), round(value,5) FROM lev"),
     "laplacian_pyramid": (laplacian_pyramid, f"WITH {_UP} SELECT y, x, round(own - value,5) AS value FROM up"),
     "laplacian_reconstruction": (laplacian_reconstruction, f"WITH {_UP} SELECT y, x, round(own,5) AS value FROM up"),
-    "mask_high_gradient": (mask_high_gradient, f"WITH {CELLS}, s AS (SELECT y, x, value, coalesce(abs(lead(value) OVER (PARTITION BY y ORDER BY x) - value),0) AS e, coalesce(abs(lead(value) OVER (PARTITION BY y // 64, x ORDER BY y) - value),0) AS s FROM cells) SELECT y, x, value FROM s WHERE e <= 40 AND s <= 40"),
+    "mask_high_gradient": (mask_high_gradient, f"WITH {CELLS}, g AS (SELECT a.y, a.x, a.value, coalesce(a.value - w.value, 0) AS e, coalesce(a.value - n.value, 0) AS s FROM cells a LEFT JOIN cells w ON w.y = a.y AND w.x = a.x - 1 LEFT JOIN cells n ON n.x = a.x AND n.y = a.y - 1 AND n.y // 64 = a.y // 64) SELECT y, x, value FROM g WHERE sqrt(e*e + s*s) < 40"),
     "region_components_8": (region_components_8, f"WITH RECURSIVE {_PAIRS8}, e AS (SELECT y*128+x AS a, ny*128+nx AS b FROM both8 WHERE label = other UNION ALL SELECT ny*128+nx, y*128+x FROM both8 WHERE label = other), {_REACH.format('cells')} SELECT CAST(component AS BIGINT) AS component, count(*) AS cells FROM m GROUP BY 1"),
     "region_perimeters": (region_perimeters, f"WITH {_NEIGHBOURS}, s AS (SELECT label, edge FROM pairs WHERE label <> other UNION ALL SELECT other, edge FROM pairs WHERE label <> other) SELECT label, round(sum(edge),5) AS perimeter, count(*) AS edges FROM s GROUP BY 1"),
     "fill_holes": (fill_holes, f"""WITH RECURSIVE {CELLS}, h AS (SELECT y, x FROM cells WHERE NOT (valid AND value < 60)), p AS (SELECT a.y*128+a.x AS a, b.y*128+b.x AS b FROM h a JOIN h b ON b.y = a.y AND b.x = (a.x+1) % 128 UNION ALL SELECT a.y*128+a.x, b.y*128+b.x FROM h a JOIN h b ON b.x = a.x AND b.y = a.y+1 AND b.y % 64 > 0), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), {_REACH.format('h')},
@@ -433,7 +443,7 @@ QUERIES = {
     "exposure_gains": (exposure_gains, f"WITH {EVIDENCE} SELECT a.view, round(least(greatest(exp(median(ln(b.value/a.value))),0.5),2.0),6) AS gain, count(*) AS shared FROM evidence a JOIN evidence b ON a.cell = b.cell AND b.view = 0 WHERE a.valid AND b.valid GROUP BY 1"),
     "edited_components": (edited_components, f"WITH RECURSIVE {_EDIT}, w AS (SELECT c_custkey AS node, c_custkey AS root FROM customer UNION SELECT eu.n, w.root FROM w JOIN eu ON eu.c = w.node WHERE w.root < eu.n), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1) SELECT root, count(*) AS members, count(*) FILTER (WHERE node % 200 = 0 AND node + 1 IN (SELECT c_custkey FROM customer)) AS merges FROM m GROUP BY 1"),
     "largest_component": (largest_component, f"WITH RECURSIVE {_EDGES}, w AS (SELECT c_custkey AS node, c_custkey AS root FROM customer UNION SELECT u.n, w.root FROM w JOIN u ON u.c = w.node WHERE w.root < u.n), m AS (SELECT node, min(root) AS root FROM w GROUP BY 1) SELECT node FROM m WHERE root = (SELECT root FROM m GROUP BY 1 ORDER BY count(*) DESC, root LIMIT 1)"),
-    "graph_snapshot": (graph_snapshot, "WITH a AS (SELECT concat_ws('|', CAST(c_custkey AS VARCHAR), c_mktsegment) AS t FROM customer), b AS (SELECT concat_ws('|', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS t FROM orders) SELECT 'nodes' AS name, count(*) AS rows, CAST(sum(('0x' || substr(sha256(t),1,12))::BIGINT::HUGEINT) AS VARCHAR) AS digest FROM a UNION ALL SELECT 'edges', count(*), CAST(sum(('0x' || substr(sha256(t),1,12))::BIGINT::HUGEINT) AS VARCHAR) FROM b"),
+    "graph_snapshot": (graph_snapshot, f"WITH t AS (SELECT 'nodes' AS name, sha256({_told_sql('c_custkey', 'c_mktsegment')}) AS d FROM customer UNION ALL SELECT 'edges', sha256({_told_sql('o_custkey', 'o_orderkey')}) FROM orders) SELECT name, count(*) AS rows, CAST(sum(('0x' || substr(d,1,15))::BIGINT::HUGEINT) AS VARCHAR) || '-' || CAST(sum(('0x' || substr(d,16,15))::BIGINT::HUGEINT) AS VARCHAR) AS digest FROM t GROUP BY name"),
     "replayed_log": (replayed_log, "SELECT user_id, event_id, event_type, round(value,4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'"),
     "field_of_rays": (field_of_rays, "WITH t AS (SELECT id // 128 AS y, id % 128 AS x, 2*pi()*((id % 128)+0.5)/128 - pi() AS lon, pi()/2 - pi()*((id // 128) % 64 + 0.5)/64 AS lat FROM range(16384) g(id)) SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(sin(lon)*cos(lat)*2 + sin(lat)*(cos(lon)*cos(lat)),6) AS value FROM t"),
     "sampled_rays": (sampled_rays, f"""WITH {CELLS}, {OBSERVATIONS}, b AS (SELECT id, atan2(sin(lon)*cos(lat), cos(lon)*cos(lat)) AS o, asin(sin(lat)) AS a FROM observations), p AS (SELECT id, (o+pi())/(2*pi())*128-0.5 AS u, round((pi()/2-a)/pi()*64-0.5,9) AS v FROM b), n AS (SELECT id, CAST(floor(round(u-128*floor(u/128),9)+0.5) AS BIGINT) % 128 AS sx, CAST(least(63,greatest(0,floor(v+0.5))) AS BIGINT) AS sy FROM p)
