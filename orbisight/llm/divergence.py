@@ -28,6 +28,8 @@ _LETTERS = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 els
 SCALE, TERMS, GROUPS = 1_000_000_000, 1024, 32
 #: Bytes of text counted at once in a task.
 CHUNK = 8 << 20
+#: A language's few numbers are there this many times, so that its terms and sources find them in as many tasks.
+SALTS = 256
 
 
 def shares(count: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
@@ -124,13 +126,14 @@ def audit(docs: DataFrame, least_docs: int = 10, best: int = 10, text: str = "te
     terms = cells.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"))
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("of_lang").alias("whole"))
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("groups")).join(langs, "lang", "left").fillna(0, ["kept", "whole"])
-    langs = settle(langs.select("lang", "kept", "whole", F.ceil(F.col("groups") / GROUPS).cast("int").alias("sides"), F.greatest(F.ceil(F.col("kept") / TERMS), F.lit(1)).cast("int").alias("parts")))
+    langs = settle(langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("lang", "salt", "kept", "whole", F.ceil(F.col("groups") / GROUPS).cast("int").alias("sides"), F.greatest(F.ceil(F.col("kept") / TERMS), F.lit(1)).cast("int").alias("parts")))
     block = F.pmod(F.xxhash64("source"), F.col("sides")).cast("int").alias("block")
     part = F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part")
-    heads = groups.join(langs, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "source", block, "sides", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("of_lang"), "total", "kept", "whole")
+    salted = lambda df, name: df.withColumn("salt", F.pmod(F.xxhash64(name, F.lit(1)), F.lit(SALTS)).cast("int"))
+    heads = salted(groups, "source").join(langs, ["lang", "salt"]).select("lang", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "source", block, "sides", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("of_lang"), "total", "kept", "whole")
     zero = F.lit(0).cast("long")
     total_of = Window.partitionBy("lang", "term")
-    body = cells.withColumn("of_lang", F.sum("n").over(total_of)).join(langs.select("lang", "sides", "parts"), "lang")
+    body = salted(cells.withColumn("of_lang", F.sum("n").over(total_of)), "term").join(langs.select("lang", "salt", "sides", "parts"), ["lang", "salt"])
     body = body.select("lang", part, "source", block, "sides", "term", "n", "of_lang", zero.alias("total"), zero.alias("kept"), zero.alias("whole"))
     # each block of sources meets every block, the lower one first
     pairs = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
