@@ -31,6 +31,8 @@ _PIECES = bytes(46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 CHUNK = 8 << 20
 #: Bits of a level's filter, whatever the input's size; four of them for each frequent phrase.
 FILTER_BITS = 1 << 26
+#: Parts of a language that are ranked before it is, so that its last task reads ``top`` rows of each at most.
+PARTS = 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -175,8 +177,10 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, explained: in
     longer = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     told = (scored["lang"] == longer["lang"]) & (scored["phrase"] == longer["phrase"]) & (longer["longer"] * 100 >= scored["a"] * explained)
     kept = scored.join(longer, told, "left_anti").select("lang", "phrase", "a", "cut.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    if top is not None:  # the best of a language are among the best of its parts
+        kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", best("lang", "part")).where(F.col("rank") <= top).drop("part", "rank")
+    ranked = kept.withColumn("rank", best("lang"))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
