@@ -3,9 +3,11 @@
 Everything runs as DataFrame and SQL functions.  Pattern matches are the protected entities.  From all words of the
 documents that hold an entity e, corpus co-occurrence estimates how much a term tells about it: the pointwise mutual
 information PMI(e; t) = ln(n(e, t) N / (n(e) (n(t) + ``smoothing``))), set against all there is to tell, the information
-content ln(N / n(e)).  n counts distinct texts over the whole corpus, so copies of one text prove nothing.  A term whose
-ratio reaches ``threshold`` discloses the entity as well as its own name would; it is a span throughout every document
-that holds the entity, and ``sanitised`` removes it.  Every entity is judged, also one that occurs once; the smoothing is
+content ln(N / n(e)).  n counts distinct texts over the whole corpus, so copies of one text prove nothing.  A term discloses
+the entity if their ratio reaches ``threshold`` and if what it leaves open, ln((n(t) + ``smoothing``) / n(e, t)), is at most
+ln(1 / ``certainty``), a bound that doesn't depend on the size of the corpus: at 0.6 two texts out of two suffice, and one never
+does, as every word of a text occurs with all of its entities.  The term is a span throughout every document
+that holds the entity, and ``sanitised`` removes it.  Every entity is judged; the smoothing is
 what low counts cost.  Entities that occur in just the same texts have the same counts with every term, so they are judged
 as one: a text with very many addresses is no reason to pair each of them with each of its words.
 
@@ -111,7 +113,17 @@ def _words(held: DataFrame) -> DataFrame:
     return each.select("key", F.lower("match").alias("term"), (end - size).cast("int").alias("start"), end.cast("int").alias("end")).where("term is not null")
 
 
-def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, threshold: float = 0.9) -> DataFrame:
+def free_terms(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The terms (key, term, start, end) that touch no span of (key, spans), by one pass over both in order of their places."""
+    base = held.join(found.select("key").distinct(), "key", "left_semi").select("key", F.lit(None).cast("string").alias("term"), F.explode("spans").alias("s")).select("key", "term", "s.start", "s.end")
+    along = Window.partitionBy("key").orderBy("start", "end", "term")
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    both = found.select("key", "term", "start", "end").unionByName(base)
+    both = both.withColumn("past", F.max(F.when(F.col("term").isNull(), F.col("end"))).over(before)).withColumn("next", F.min(F.when(F.col("term").isNull(), F.col("start"))).over(after))
+    return both.where(F.col("term").isNotNull() & (F.coalesce("past", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))).select("key", "term", "start", "end")
+
+
+def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", smoothing: float = 1.0, threshold: float = 0.5, certainty: float = 0.6) -> DataFrame:
     """doc_id, spans (kind, start, end, value: base spans by kind and start, then disclosing terms) and sanitised of every row.
 
     ``sanitised`` is the text with entities generalised to their kind and disclosing terms removed; null if nothing was found.
@@ -133,16 +145,15 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     split = F.explode(F.filter(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower)), lambda t: t != "")).alias("term")
     texts = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"))
     counts = texts.select(split).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # ratio >= threshold if n_et / (n_t + smoothing) >= (n_e / N) ** (1 - threshold); as n_et <= n_t, n_e, frequent terms can't reach it
-    bar = (F.col("n_t") + smoothing) * F.pow(F.col("n_e") / total, F.lit(1 - threshold)) - 1e-9
+    # the ratio reaches its threshold if n_et / (n_t + smoothing) >= (n_e / N) ** (1 - threshold); as n_et <= n_t, n_e, frequent terms can't
+    bar = (F.col("n_t") + smoothing) * F.greatest(F.lit(certainty), F.pow(F.col("n_e") / total, F.lit(1 - threshold))) - 1e-9
     most = held.select("key", split).join(counts, "term")
     told = settle(judged.join(most, "key").where(F.least("n_e", "n_t") >= bar))
     disclosing = told.groupBy(*alike, "term", "n_t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= bar).select(*alike, "term")
     wanted = told.select("key", *alike, "term").join(disclosing, [*alike, "term"]).select("key", "term").distinct()
-    found = _words(held.select("key", "text")).join(wanted, ["key", "term"])
+    found = free_terms(_words(held.select("key", "text")).join(wanted, ["key", "term"]), held)
     added = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("more"))
-    free = F.filter("more", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", free))
+    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more"))
     out = marks.join(added, "key", "left").select("doc_id", "text", spans.alias("spans"))
     return out.select("doc_id", "spans", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
 
