@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +27,6 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: A total ratio of 16 can't be reached by fewer characters, as a character adds less than 2.
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+")
 #: Words that identifiers are made of.
 ORDINARY = (
     "abort accept account action active add address alias align allow append apply archive array assert async attach attribute author average backup base batch begin binary block body boolean border bound branch bucket buffer build bundle button byte cache call cancel capture category cell change channel char check child "
@@ -39,6 +36,8 @@ ORDINARY = (
 ).split()
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = {c: k for k, c in enumerate(_ALPHABET)}
+#: The code of each character under 128 and of all others, -1 where it is no key character.
+_CODES = np.array([_CODE.get(chr(c), -1) for c in range(128)] + [-1], np.int8)
 
 
 def random_samples(rng: random.Random, n: int) -> dict[str, list[str]]:
@@ -72,25 +71,59 @@ def markov(samples: list[str], smoothing: float = 0.1, unknown: float = 0.0) ->
 
 
 @lru_cache(maxsize=4)
-def trained(seed: int = 11, n: int = 4000) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray], dict[str, float]]:
-    """(random families, ordinary, ratios met so far) fitted to ``n`` seeded samples each."""
+def trained(seed: int = 11, n: int = 4000) -> tuple:
+    """(random families, ordinary, what they add to a ratio, lengths that totals need) fitted to ``n`` seeded samples each."""
     rng = random.Random(seed)
-    return {k: markov(v) for k, v in random_samples(rng, n).items()}, markov(ordinary_samples(rng, 3 * n), unknown=0.1), {}
+    families, ordinary = {k: markov(v) for k, v in random_samples(rng, n).items()}, markov(ordinary_samples(rng, 3 * n), unknown=0.1)
+    return families, ordinary, gains(families, ordinary), {}
 
 
 def likelihood_ratio(run: str, model: tuple) -> float:
-    """Best random family's log-likelihood less the ordinary one's; remembered for short runs, which recur."""
-    known = model[2].get(run)
-    if known is not None:
-        return known
+    """Best random family's log-likelihood less the ordinary one's."""
     codes = np.fromiter((_CODE[c] for c in run), np.int64, len(run))
     score = lambda m: m[0][codes[0]] + m[1][codes[:-1], codes[1:]].sum()
-    ratio = float(max(map(score, model[0].values())) - score(model[1]))
-    if len(run) <= 40:
-        if len(model[2]) > 300_000:
-            model[2].clear()
-        model[2][run] = ratio
-    return ratio
+    return float(max(map(score, model[0].values())) - score(model[1]))
+
+
+def shortest(total: float, model: tuple) -> int:
+    """How many characters a run needs at least to reach a ratio of ``total``: the best of any string of each length."""
+    if total in model[3]:
+        return model[3][total]
+    start, step = model[2]
+    found = []
+    for k in range(start.shape[1]):
+        best, n = start[:, k], 1
+        while best.max() < total and n < 256:
+            best, n = (best[:, None] + step[:, k].reshape(len(_ALPHABET), -1)).max(0), n + 1
+        found.append(n)
+    model[3][total] = min(found)
+    return model[3][total]
+
+
+def gains(families: dict, ordinary: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """What a first character and each pair of characters (a row of it) adds to the ratio, by family."""
+    start = np.stack([m[0] - ordinary[0] for m in families.values()], axis=1)
+    return start, np.stack([(m[1] - ordinary[1]).ravel() for m in families.values()], axis=1)
+
+
+def ratios(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: tuple, block: int = 1 << 17) -> np.ndarray:
+    """The ratio of each run of a text, runs in order; about ``block`` characters are looked up at once, of a longer run too."""
+    start, step = model[2]
+    sums = start[codes[starts]]
+    k = 0
+    while k < len(starts):
+        last = max(k + 1, int(np.searchsorted(ends, starts[k] + block, side="right")))
+        for at in range(starts[k], ends[last - 1] - 1, block):  # more than once for a single long run only
+            end = min(at + block, ends[last - 1] - 1)
+            known = codes[at : end + 1].astype(np.int64)
+            pairs = step[np.maximum(known[:-1], 0) * len(_ALPHABET) + np.maximum(known[1:], 0)]
+            if last == k + 1:
+                sums[k] += pairs.sum(0)
+            else:
+                edges = np.stack([starts[k:last], ends[k:last] - 1], axis=1).ravel() - at
+                sums[k:last] += np.add.reduceat(np.vstack([pairs, np.zeros((1, pairs.shape[1]))]), edges, axis=0)[::2]
+        k = last
+    return sums.max(1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -104,32 +137,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _left(start: int, end: int, spans: list[tuple[int, int, int]], starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """What spans leave of [start, end); ``ends`` holds the largest end so far, so that no earlier span is looked at."""
-    k, out, at = bisect_left(ends, start + 1), [], start
-    while k < len(spans) and starts[k] < end:
-        if starts[k] > at:
-            out.append((at, starts[k]))
-        at, k = max(at, ends[k]), k + 1
-    return [*out, (at, end)] if at < end else out
-
-
 def find(text: str | None, model: tuple, per_character: float = 0.4, total: float = 16.0) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end), by start and then kind."""
     if not text:
         return []
     spans = base_spans(text)
-    own, ends, top = [], [], -1
-    for _, _, e in spans:
-        top = max(top, e)
-        ends.append(top)
-    starts = [s for s, _, _ in spans]
-    for m in _RUN.finditer(text):
-        for start, end in _left(m.start(), m.end(), spans, starts, ends) if spans else [m.span()]:
-            ratio = likelihood_ratio(text[start:end], model)
-            if ratio >= total and ratio >= per_character * (end - start):
-                own.append((start, 3, end))
-    return sorted(spans + own)
+    wide = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODES[np.minimum(wide, 128)]
+    for start, _, end in spans:
+        codes[start:end] = -1  # what spans leave of a run is scored
+    steps = np.diff(np.concatenate([[False], codes >= 0, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    enough = ends - starts >= shortest(total, model)
+    starts, ends = starts[enough], ends[enough]
+    found = ratios(codes, starts, ends, model)
+    random_ = (found >= total) & (found >= per_character * (ends - starts))
+    return sorted(spans + [(int(a), 3, int(b)) for a, b in zip(starts[random_], ends[random_], strict=True)])
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_character: float = 0.4, total: float = 16.0) -> DataFrame:
