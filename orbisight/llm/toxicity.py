@@ -43,7 +43,15 @@ class Lexicon(NamedTuple):
 
 def stems(words: list[bytes]) -> list[bytes]:
     """Beginnings of words that have more to them."""
-    return [w[:STEM] for w in words if len(w) > STEM]
+    return [b for w in words if len(w) > STEM and len(b := beginning(w)) < len(w)]
+
+
+def beginning(word: bytes) -> bytes:
+    """The first ``STEM`` bytes of a word, and what the letter that they end in still needs."""
+    end = STEM
+    while end < len(word) and word[end] & 0xC0 == 0x80:
+        end += 1
+    return word[:end]
 
 
 def measure(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -52,7 +60,7 @@ def measure(text: str | None, lexicon: Lexicon) -> list[float]:
     words = raw.translate(_WORDS).split()
     n = len(words)
     hits = [k for k, w in enumerate(words) if w in lexicon.words]
-    begun = [w[:STEM] for w in words if w[:STEM] in lexicon.stems and len(w) > STEM]
+    begun = [b for b in stems(words) if b in lexicon.stems]
     you = [k for k, w in enumerate(words) if w in SECOND_PERSON]
     near = sum(1 for k in hits if any(abs(k - y) <= 4 for y in you)) if len(you) <= 64 else sum(1 for k in hits if not SECOND_PERSON.isdisjoint(words[max(0, k - 4) : k + 5]))
     size = max(1, len(raw))
@@ -60,7 +68,7 @@ def measure(text: str | None, lexicon: Lexicon) -> list[float]:
     upper = len(raw.translate(None, _NOT_UPPER))
     hidden = _OBFUSCATED.findall(text) if text and n else []
     plain = [re.sub(r"[^a-z]", "", h.translate(LEET).lower()).encode() for h in hidden]
-    found = sum(1 for p in plain if p in lexicon.words or p[:STEM] in lexicon.stems)
+    found = sum(1 for p in plain if p in lexicon.words or beginning(p) in lexicon.stems)
     marks, asks = raw.count(b"!"), raw.count(b"?")
     punctuation = len(raw.translate(None, _NOT_PUNCTUATION))
     shouted = len(re.findall(rb"\b[A-Z]{3,}\b", raw)) if upper > 2 else 0
@@ -175,7 +183,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for k, t, i in zip(y, text, id, strict=True):
             w = utf8(t).translate(_WORDS).split()
             for stem, found in ((False, set(w)), (True, set(stems(w)))):
-                found = {x for x in found if 3 <= len(x) <= 40}
                 out["stem"] += [stem] * len(found)
                 out["term"] += found
                 out["y"] += [k] * len(found)
