@@ -29,9 +29,10 @@ _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*+=\s*+(?:\"([^\"]*)\"|'([^'
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-RAW = {"script", "style", "textarea", "title", "template", "iframe", "noscript", "noembed", "svg", "math", "object", "canvas", "select"}
+#: Their text is no text of the page; that of formulas, drawings and fall-backs is.
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "noembed", "select"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "embed", "source", "track", "param"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mrow msub msup mfrac msqrt mtext semantics noscript object canvas svg g text tspan".split())
 CLOSES_P = set("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"ul", "ol", "dl", "table", "menu", "body", "article", "section", "div", "main", "select"}

@@ -504,3 +504,44 @@ def test_kept_chars_answer_truncation(spark):
         for budget in (0, 3, 20, 41):
             want = max(k for k in range(len(text) + 1) if size(text[:k]) <= budget)
             assert counter.measure(text, budget) == (size(text), want), (text, budget)
+
+
+def test_secret_spans_match_plain_ratios(monkeypatch):
+    """Spans that the models add, against the ratio of each run taken by itself; also where long runs come in blocks."""
+    model = secret_scans.trained()
+    rng = random.Random(12)
+    piece = lambda: rng.choice([rng.choice(["hello", "Heute", "é😀", "user_name", "0c6a0c4", "x=", "token: abcdef9", "\n", "-", "2024-11-28", "AKIA" + "Q7" * 9]), "".join(rng.choices("0123456789abcdef", k=rng.randint(1, 30))), "".join(rng.choices(secret_scans._ALPHABET, k=rng.randint(1, 40)))])
+    texts = ["".join(piece() + rng.choice(["", " ", ". ", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += ["".join(rng.choices("0123456789ABCDEF", k=5000)), "a" * 3000 + " 0c6a0c4 " + "Zz9+" * 2000]
+    plain = secret_scans.ratios
+    for block in (7, 100, 1 << 17):
+        monkeypatch.setattr(secret_scans, "ratios", lambda c, s, e, m, block=block: plain(c, s, e, m, block))
+        for text in texts:
+            base = secret_scans.base_spans(text)
+            free = [c in secret_scans._CODE for c in text]
+            for start, _, end in base:
+                free[start:end] = [False] * (end - start)
+            want, at = list(base), 0
+            for on, run in __import__("itertools").groupby(free):
+                n = len(list(run))
+                if on and (ratio := secret_scans.likelihood_ratio(text[at : at + n], model)) >= 16 and ratio >= 0.4 * n:
+                    want.append((at, 3, at + n))
+                at += n
+            assert secret_scans.find(text, model) == sorted(want)
+    assert [secret_scans.find(t, model) for t in ("0c6a0c4", "hello", "", None)] == [[(0, 3, 7)], [], [], []]
+
+
+def test_html_keeps_formulas_and_fallbacks():
+    page = "<article><p>Let <math>x</math> be <noscript>shown</noscript> a <svg>label</svg> number.</p><object><p>No plug-in here.</p></object></article>"
+    assert html_extraction.extract(page, html_extraction.trained()) == "Let x be shown a label number. No plug-in here."
+
+
+def test_beginnings_keep_letters_whole():
+    assert toxicity.stems(["abcdefg".encode(), "abcdé".encode(), "ббббб".encode(), "abc".encode()]) == [b"abcde", "ббб".encode()]
+
+
+def test_short_and_long_terms_enter_the_lexicon(spark):
+    texts = [("zq" if k % 2 else "fine") + " " + ("y" * 60 if k % 2 else "words here") + f" and {k}" for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, texts + [None, texts[0], texts[0]]), labels)
+    assert {b"zq", b"y" * 60} <= model.lexicon.words
