@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import area, decisions, fusion, gather, graph, scene, surfaces
+from .plans import area, decisions, fusion, gather, graph, poses, scene, surfaces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     found: dict = {}
-    for module in (area, decisions, fusion, gather, graph, scene, surfaces):
+    for module in (area, decisions, fusion, gather, graph, poses, scene, surfaces):
         found |= module.QUERIES
     return found

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..sources.lineage import checkpointed
+from ..sources.lineage import written
 
 AROUND = {4: [(-1, 0), (0, -1), (0, 1), (1, 0)], 8: [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]}
 _TILE = "pano long, ty int, tx int, h int, w int, value binary, marker binary, cost binary, steps binary, label binary, changed boolean"
@@ -121,13 +121,13 @@ def _spread(tiles: DataFrame, tile: int, height: int, width: int, around: list,
     """Rounds until no tile changes."""
     key = ["pano", "ty", "tx"]
     settle = _round(around, labels)
-    now = checkpointed(tiles.withColumn("changed", F.lit(True)).withColumn("news", F.lit(None).cast("array<struct<ly:int,lx:int,cost:double,steps:bigint,label:bigint>>")).mapInArrow(settle, _TILE))
+    now = written(tiles.withColumn("changed", F.lit(True)).withColumn("news", F.lit(None).cast("array<struct<ly:int,lx:int,cost:double,steps:bigint,label:bigint>>")).mapInArrow(settle, _TILE))
     while not now.where("changed").isEmpty():
         news = now.where("changed").mapInArrow(_news(around, tile, height, width), _NEWS)
         heard = news.groupBy(*key).agg(F.collect_list(F.struct("ly", "lx", "cost", "steps", "label")).alias("news"))
         met = now.withColumn("changed", F.lit(False)).join(heard, key, "left")
         still, asked = met.where("news IS NULL").drop("news"), met.where("news IS NOT NULL")
-        now = checkpointed(still.unionByName(asked.mapInArrow(settle, _TILE)))
+        now = written(still.unionByName(asked.mapInArrow(settle, _TILE)))
     return now
 
 
@@ -145,7 +145,7 @@ def watershed(cells: DataFrame, value: str, marker: str, height: int, width: int
     checked = F.when((m > 0) & ~F.coalesce(inside, F.lit(False)), outside.cast("long")).otherwise(F.greatest(m, F.lit(0)))
     each = cells.select(F.floor(F.col("y") / height).alias("pano"), F.floor(row / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"), (row % tile).cast("int").alias("ly"), (F.col("x") % tile).cast("int").alias("lx"), v.alias("value"), checked.alias("marker"))
     placed = each.where((F.col("marker") > 0) | F.coalesce(inside, F.lit(False)))
-    tiles = checkpointed(placed.groupBy("pano", "ty", "tx").applyInArrow(lambda key, table: _packed(key, table, tile, height, width), _TILE))
+    tiles = written(placed.groupBy("pano", "ty", "tx").applyInArrow(lambda key, table: _packed(key, table, tile, height, width), _TILE))
     around = AROUND[connectivity]
     done = _spread(_spread(tiles, tile, height, width, around, False), tile, height, width, around, True)
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..sources.lineage import checkpointed
+from ..sources.lineage import checkpointed, written
 
 
 def measure(cells: DataFrame, height: int, width: int, label: str = "label") -> DataFrame:
@@ -185,15 +185,15 @@ def suppressed(scores: DataFrame, conflicts: DataFrame, kind: str | None = None)
     beats = conflicts.where("a <> b").join(rank("a"), "a").join(rank("b"), "b").where(F.col("kind_a").eqNullSafe(F.col("kind_b")))
     better = F.col("rank_a") < F.col("rank_b")
     pairs = checkpointed(beats.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("loser")).distinct())
-    open_, kept = checkpointed(named.select("region", "score")), nameless
+    open_, kept = written(named.select("region", "score")), nameless
     while not open_.isEmpty():
         live = pairs.join(open_.select(F.col("region").alias("winner")), "winner", "left_semi").join(open_.select(F.col("region").alias("loser")), "loser", "left_semi")
-        top = checkpointed(open_.join(live.select(F.col("loser").alias("region")), "region", "left_anti"))
+        top = written(open_.join(live.select(F.col("loser").alias("region")), "region", "left_anti"))
         if top.isEmpty():
             raise ValueError("regions suppress one another: an id has several scores")
         kept = kept.unionByName(top)
         gone = live.join(top.select(F.col("region").alias("winner")), "winner", "left_semi").select(F.col("loser").alias("region"))
-        open_ = checkpointed(open_.join(top.select("region"), "region", "left_anti").join(gone, "region", "left_anti"))
+        open_ = written(open_.join(top.select("region"), "region", "left_anti").join(gone, "region", "left_anti"))
     return kept
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as they are now, as a table in the shared folder; for loops that join what they made in the round before.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join multiplies such sizes: the estimate's digits double
+    in every round.  A table has the size that it has.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
