@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
+from ..sources.lineage import checkpointed
 
 
 def _latitude(row: Column, height: int) -> Column:
@@ -103,3 +104,22 @@ def blend_by_depth(seen: DataFrame, keys: list[str], height: int, width: int, me
     most = deep.groupBy(*whole).agg(F.max("depth").alias("most"))
     w = F.coalesce(F.col("depth") / F.col("most"), F.lit(1.0))
     return met.join(most, whole).groupBy(*own).agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.count(F.lit(1)).alias("support"))
+
+
+def skeleton(cells: DataFrame, inside: Column, height: int, width: int, connectivity: int = 8, least_degrees: float = 0.0) -> DataFrame:
+    """(y, x, distance): cells of a mask where the distance to what lies outside of it has a ridge, in degrees.
+
+    A ridge cell is at least as far from the outside as both neighbours of some opposite pair and farther than one of them; a
+    neighbour that isn't in the mask counts as lower, the seam wraps and the poles don't.  A mask that fills what is known of a
+    panorama has no skeleton.
+    """
+    far = geodesic_distance(cells, ~inside, height, width).where("distance IS NOT NULL").withColumn("distance", F.round("distance", 9))
+    own = checkpointed(far.join(cells.where(inside).select("y", "x"), ["y", "x"], "left_semi"))
+    pairs = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if connectivity == 8 else [])]
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s * dy).alias("dy"), F.lit(s * dx).alias("dx")) for k, (dy, dx) in enumerate(pairs) for s in (1, -1)])).alias("s")
+    asked = own.select("y", "x", "distance", steps).select("y", "x", "distance", "s.k", (F.col("y") + F.col("s.dy")).alias("ny"), F.pmod(F.col("x") + F.col("s.dx"), F.lit(width)).alias("nx"))
+    near = own.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("distance").alias("other"))
+    met = asked.join(near, ["ny", "nx"], "left").withColumn("other", F.when(F.floor(F.col("ny") / height) == F.floor(F.col("y") / height), F.col("other")))
+    sides = met.groupBy("y", "x", "distance", "k").agg(F.max(F.coalesce("other", F.lit(-1.0))).alias("most"), F.min(F.coalesce("other", F.lit(-1.0))).alias("least"))
+    ridge = sides.where((F.col("distance") >= F.col("most")) & (F.col("distance") > F.col("least")) & (F.col("distance") >= least_degrees))
+    return ridge.select("y", "x", "distance").distinct()
