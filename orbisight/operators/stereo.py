@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.lineage import checkpointed
+
 
 def absolute_difference(left: DataFrame, right: DataFrame, disparities: int, truncate: float) -> DataFrame:
     """|L(x) - R(x - d)| for every d; an equi-join on the shifted column."""
@@ -66,6 +68,40 @@ def box_aggregate(cost: DataFrame, height: int, width: int, radius: int = 1) ->
     return down.groupBy("y", "x", "d").agg((F.sum("s") / F.sum("n")).alias("cost"))
 
 
+def cross_arms(guide: DataFrame, height: int, width: int, most: int, threshold: float) -> DataFrame:
+    """(y, x, left, right, up, down): how far a cell's row and column go on without a gap or a value off by over ``threshold``."""
+    ways = {"left": (0, -1), "right": (0, 1), "up": (-1, 0), "down": (1, 0)}
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("way"), F.lit(k).alias("k"), F.lit(k * dy).alias("dy"), F.lit(k * dx).alias("dx")) for n, (dy, dx) in ways.items() for k in range(1, most + 1)])).alias("s")
+    asked = guide.select("y", "x", "value", steps).select("y", "x", "value", "s.way", "s.k", (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.dx")).alias("nx"))
+    met = asked.join(guide.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("value").alias("other")), ["ny", "nx"], "left")
+    same = (F.floor(F.col("ny") / height) == F.floor(F.col("y") / height)) & F.col("nx").between(0, width - 1) & (F.abs(F.col("other") - F.col("value")) <= threshold)
+    stop = lambda n: (F.coalesce(F.min(F.when((F.col("way") == n) & ~F.coalesce(same, F.lit(False)), F.col("k"))), F.lit(most + 1)) - 1).alias(n)
+    return met.groupBy("y", "x").agg(*map(stop, ways))
+
+
+def cross_aggregate(cost: DataFrame, guide: DataFrame, height: int, width: int, disparities: int, most: int = 5, threshold: float = 0.08, passes: int = 2) -> DataFrame:
+    """Mean of the known costs in each cell's cross: the rows of its own column arm, each as far as both its and the cell's arms go.
+
+    Running sums along every row answer an interval by two look-ups, so a cell costs as many look-ups as its column arm is
+    long; the costs of all disparities travel together.  A cell whose cross holds no cost for a disparity has none there.
+    """
+    arms = checkpointed(cross_arms(guide, height, width, most, threshold))
+    other = arms.select(F.col("y").alias("ry"), "x", F.col("left").alias("l"), F.col("right").alias("r"))
+    rows = arms.select("y", "x", "left", "right", F.explode(F.sequence(F.col("y") - F.col("up"), F.col("y") + F.col("down"))).alias("ry")).join(other, ["ry", "x"])
+    spans = checkpointed(rows.select("y", "x", "ry", (F.col("x") + F.least("right", "r")).alias("to"), (F.col("x") - F.least("left", "l") - 1).alias("since")))
+    for _ in range(passes):
+        run = Window.partitionBy("y", "d").orderBy("x")
+        every = cost.select("y").distinct().select("y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), F.lit(None).cast("double").alias("none")).select("y", "x", F.explode(F.sequence(F.lit(0), F.lit(disparities - 1))).alias("d"))
+        sums = every.join(cost.select("y", "x", "d", "cost"), ["y", "x", "d"], "left").select("y", "x", "d", F.sum(F.coalesce("cost", F.lit(0.0))).over(run).alias("s"), F.count("cost").over(run).alias("n"))
+        packed = checkpointed(sums.groupBy(F.col("y").alias("ry"), F.col("x").alias("px")).agg(F.sort_array(F.collect_list(F.struct("d", "s", "n"))).alias("p")))
+        met = spans.join(packed.select("ry", F.col("px").alias("to"), F.col("p").alias("b")), ["ry", "to"]).join(packed.select("ry", F.col("px").alias("since"), F.col("p").alias("a")), ["ry", "since"], "left")
+        part = lambda k, n: F.sum(F.col("b")[k][n] - F.coalesce(F.col("a")[k][n], F.lit(0)))
+        made = met.groupBy("y", "x").agg(*[F.struct(part(k, "s").alias("s"), part(k, "n").alias("n")).alias(f"d{k}") for k in range(disparities)])
+        each = made.select("y", "x", F.posexplode(F.array(*[f"d{k}" for k in range(disparities)])).alias("d", "t"))
+        cost = checkpointed(each.where("t.n > 0").select("y", "x", "d", (F.col("t.s") / F.col("t.n")).alias("cost")))
+    return cost
+
+
 def select_disparity(cost: DataFrame) -> DataFrame:
     """Least cost, second best and parabolic refinement, clipped to half a step."""
     best = cost.groupBy("y", "x").agg(F.min(F.struct("cost", "d")).alias("b"), F.sort_array(F.collect_list("cost")).alias("all"))

@@ -142,6 +142,13 @@ def box_cost(spark, d: str) -> DataFrame:
     return T.box_aggregate(T.absolute_difference(*_pair(spark, d), _DISP, 50.0), H, W).select("y", "x", "d", r("cost").alias("cost"))
 
 
+def cross_cost(spark, d: str) -> DataFrame:
+    """Absolute differences averaged over adaptive crosses, once."""
+    left, right = _pair(spark, d)
+    cost = T.absolute_difference(left, right, _DISP, 50.0)
+    return T.cross_aggregate(cost, left, H, W, _DISP, 4, 30.0, 1).select("y", "x", "d", r("cost").alias("cost"))
+
+
 def select_disparity(spark, d: str) -> DataFrame:
     found = T.select_disparity(T.absolute_difference(*_pair(spark, d), _DISP, 50.0).withColumn("cost", F.round("cost", 6)))
     return found.select("y", "x", "disparity", r("cost").alias("cost"), r("second").alias("second"), r("refined", 4).alias("refined"))
@@ -215,6 +222,10 @@ QUERIES = {
     "absolute_difference_cost": (absolute_difference_cost, f"WITH {_AD} SELECT y, x, d, round(cost,6) AS cost FROM ad"), "census_codes": (census_codes, f"WITH {_CENSUS} SELECT y, x, code FROM census"),
     "census_cost": (census_cost, f"WITH {_CENSUS} SELECT a.y, a.x, CAST(d AS INTEGER) AS d, CAST(bit_count(xor(a.code, b.code)) AS DOUBLE) AS cost FROM census a, range({_DISP}) g(d) JOIN census b ON b.y = a.y AND b.x - 2 = a.x - d"),
     "box_cost": (box_cost, f"""WITH {_AD}, o(k) AS (VALUES (-1),(0),(1)), a1 AS (SELECT y, least(127,greatest(0,x+k)) AS x, d, sum(cost) AS s, count(*) AS n FROM ad, o GROUP BY 1, 2, 3) SELECT CAST(y - y%64 + least(63,greatest(0,y%64+k)) AS INTEGER) AS y, x, d, round(sum(s)/sum(n),6) AS cost FROM a1, o GROUP BY 1, 2, 3"""),
+    "cross_cost": (cross_cost, f"""WITH {_AD}, g AS (SELECT y, x, value FROM cells WHERE valid), w(way, dy, dx) AS (VALUES ('l',0,-1),('r',0,1),('u',-1,0),('d',1,0)),
+ st AS (SELECT g.y, g.x, way, k, n.value IS NOT NULL AND abs(n.value - g.value) <= 30 AS ok FROM (g CROSS JOIN w CROSS JOIN range(1,5) t(k)) LEFT JOIN g n ON n.y = g.y + k*dy AND n.x = g.x + k*dx AND n.y // 64 = g.y // 64),
+ ar AS (SELECT y, x, way, coalesce(min(k) FILTER (NOT ok), 5) - 1 AS arm FROM st GROUP BY ALL), am AS (SELECT y, x, max(arm) FILTER (way='l') AS l, max(arm) FILTER (way='r') AS r, max(arm) FILTER (way='u') AS u, max(arm) FILTER (way='d') AS dn FROM ar GROUP BY ALL)
+ SELECT a.y, a.x, ad.d, round(avg(cost),6) AS cost FROM am a JOIN am b ON b.x = a.x AND b.y BETWEEN a.y - a.u AND a.y + a.dn JOIN ad ON ad.y = b.y AND ad.x BETWEEN a.x - least(a.l, b.l) AND a.x + least(a.r, b.r) GROUP BY ALL"""),
     "select_disparity": (select_disparity, f"""WITH {_AD}, c AS (SELECT y, x, d, round(cost,6) AS cost FROM ad), k AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY cost, d) AS n FROM c), b AS (SELECT y, x, max(CASE WHEN n=1 THEN d END) AS d, max(CASE WHEN n=1 THEN cost END) AS cost, max(CASE WHEN n=2 THEN cost END) AS second FROM k GROUP BY 1, 2),
  s AS (SELECT b.y, b.x, b.d, b.cost, b.second, max(CASE WHEN c.d=b.d-1 THEN c.cost END) AS lo, max(CASE WHEN c.d=b.d+1 THEN c.cost END) AS hi FROM b JOIN c ON c.y=b.y AND c.x=b.x GROUP BY 1, 2, 3, 4, 5)
  SELECT y, x, d AS disparity, round(cost,6) AS cost, round(second,6) AS second, round(d + coalesce(CASE WHEN lo-2*cost+hi > 0 THEN least(greatest((lo-hi)/(2*(lo-2*cost+hi)),-0.5),0.5) ELSE 0 END, 0),4) AS refined FROM s"""),

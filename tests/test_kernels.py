@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from orbisight import catalogue
 from orbisight.operators import match, robust, stencil, stereo, views
@@ -125,3 +126,38 @@ def test_semi_global_paths_match_plain_recursion(spark):
         light = [(y + h * k, x, v) for (y, x), v in guide.items() for k in range(2)]
         got = stereo.semi_global(spark.createDataFrame(two, "y int, x int, d int, cost double"), spark.createDataFrame(light, "y int, x int, value double"), h, 0.1, 0.5, paths, edge).collect()
         assert len(got) == 2 * len(cost) and all(abs(r.cost - want[r.y % h, r.x, r.d]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("passes,most", [(1, 3), (2, 2)])
+def test_cross_aggregation(spark, passes, most):
+    """Against loops over every cell's cross, with gaps in the guide and in the costs, and two panoramas."""
+    from orbisight.operators import stereo
+
+    rng = np.random.default_rng(passes)
+    h, w, n = 5, 7, 3
+    guide = np.where(rng.random((2 * h, w)) < 0.1, np.nan, rng.random((2 * h, w)))
+    cost = np.where(rng.random((2 * h, w, n)) < 0.2, np.nan, rng.random((2 * h, w, n)))
+    cost[np.isnan(guide)] = np.nan
+    told = lambda a, names: spark.createDataFrame([(*map(int, k), float(a[tuple(k)])) for k in np.argwhere(~np.isnan(a))], names)
+    got = {(r.y, r.x, r.d): r.cost for r in stereo.cross_aggregate(told(cost, "y int, x int, d int, cost double"), told(guide, "y int, x int, value double"), h, w, n, most, 0.4, passes).collect()}
+
+    def arm(y, x, dy, dx):
+        for k in range(1, most + 1):
+            a, b = y + k * dy, x + k * dx
+            if not (y // h == a // h and 0 <= a and 0 <= b < w) or not abs(guide[a, b] - guide[y, x]) <= 0.4:
+                return k - 1
+        return most
+
+    for _ in range(passes):
+        new = np.full_like(cost, np.nan)
+        for y, x in np.argwhere(~np.isnan(guide)):
+            window = []
+            for a in range(y - arm(y, x, -1, 0), y + arm(y, x, 1, 0) + 1):
+                window.append(cost[a, x - min(arm(y, x, 0, -1), arm(a, x, 0, -1)) : x + min(arm(y, x, 0, 1), arm(a, x, 0, 1)) + 1])
+            window = np.concatenate(window)
+            for d in range(n):
+                if (~np.isnan(window[:, d])).any():
+                    new[y, x, d] = np.nanmean(window[:, d])
+        cost = new
+    want = {tuple(map(int, k)): cost[tuple(k)] for k in np.argwhere(~np.isnan(cost))}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
