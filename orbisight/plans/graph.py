@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
 from ..operators import decisions as D, match as M, regions as R, robust as B
 from ..sources.tables import OBSERVATIONS, observations, read
-from ..streaming import keyframes as K
+from ..streaming import keyframes as K, slam
 from .area import r
 
 
@@ -164,6 +166,29 @@ def keyframes_stream(spark, d: str) -> DataFrame:
     return spark.read.schema("session long, event_id long, at double, state string").parquet(out).groupBy("state").agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("session").alias("sessions"))
 
 
+def _bearing_frames(events: DataFrame) -> DataFrame:
+    """A frame for each event: forty landmarks of a ring that its value looks along, seen under a yaw of a hundredth of it."""
+    first = F.floor(F.col("value") / 8)
+    ids = F.sequence(first, first + 39)
+    yaw = F.col("value") * 0.01
+
+    def seen(i: Column) -> Column:
+        lon, lat = F.pmod(i * 2.399963, F.lit(2 * math.pi)) - yaw, F.sin(i * 1.7)
+        return F.struct(i.cast("long").alias("id"), (F.sin(lon) * F.cos(lat)).alias("x"), F.sin(lat).alias("y"), (F.cos(lon) * F.cos(lat)).alias("z"))
+
+    return events.select(F.col("user_id").alias("session"), F.col("event_id").alias("frame"), F.col("ts").cast("timestamp").alias("ts"), F.transform(ids, seen).alias("features"))
+
+
+#: Sessions of the events last for days; values jump, so frames often need a map that holds more than the last keyframes.
+TRACKED = slam.Options(window=2, most_keyframes=12, idle_seconds=20 * 86400.0)
+
+
+def tracked_frames(spark, d: str) -> DataFrame:
+    """The batch form of incremental tracking over all events."""
+    found = slam.replay(_bearing_frames(read(spark, d, "events")), TRACKED)
+    return found.select("session", "frame", "state", "keyframe", "reference", "matches", "inliers", "keyframes")
+
+
 def windowed_events(spark, d: str) -> DataFrame:
     e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return K.counted(e, "1 day").select(F.unix_seconds("window.start").alias("start"), "event_type", "n", r("total", 3).alias("total"))
@@ -222,7 +247,7 @@ QUERIES = {
     "canonical_ids": (canonical_ids, "SELECT conv_id, turn, substr(sha256(concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role, trim(text, ' '))),1,24) AS id FROM conversations"),
     "referential_integrity": (referential_integrity, "SELECT 'orders-customer' AS reference, count(*) AS missing FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem-supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'customer-orders', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "pair_affinity": (pair_affinity, "WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM l GROUP BY 1), b AS (SELECT a.s, c.s AS t, count(*) AS common FROM l a JOIN l c ON a.p = c.p AND a.s < c.s GROUP BY 1, 2) SELECT b.s, t, common, round(common/(x.n + y.n - common)::DOUBLE,6) AS jaccard FROM b JOIN n x ON x.s = b.s JOIN n y ON y.s = b.t"),
-    "keyframes_stream": (keyframes_stream, None),
+    "keyframes_stream": (keyframes_stream, None), "tracked_frames": (tracked_frames, None),
     "windowed_events": (windowed_events, "SELECT CAST(floor(epoch_us(ts)/86400000000.0) AS BIGINT)*86400 AS start, event_type, count(*) AS n, round(sum(value),3) AS total FROM events GROUP BY 1, 2"),
     "user_sessions": (user_sessions, "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS tm FROM events), s AS (SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY user_id ORDER BY tm, event_id) <= 21600000000 THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS BIGINT) AS session FROM s) SELECT user_id, session, count(*) AS n, min(tm) AS first, max(tm) AS last FROM g GROUP BY 1, 2"),
     "loop_candidates": (loop_candidates, "WITH l AS (SELECT DISTINCT s_nationkey AS a, l_partkey AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), b AS (SELECT x.a, y.a AS b, count(*) AS shared FROM l x JOIN l y ON x.p = y.p AND x.a <> y.a GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM b) WHERE rank <= 3"),
