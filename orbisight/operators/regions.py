@@ -85,13 +85,14 @@ def perimeters(cells: DataFrame, height: int, width: int, label: str = "label")
     return sides.groupBy("label").agg(F.sum("edge").alias("perimeter"), F.count(F.lit(1)).alias("edges"))
 
 
-def filled(cells: DataFrame, height: int, width: int, most_area: float) -> DataFrame:
-    """Cells outside of a mask ``inside`` whose 4-connected piece has at most ``most_area`` and lies among known cells only.
+def filled(cells: DataFrame, height: int, width: int, most_area: float, connectivity: int = 4) -> DataFrame:
+    """Cells outside of a mask ``inside`` whose 4- or 8-connected piece has at most ``most_area`` and lies among known cells only.
 
     A piece that touches a place without a cell, other than beyond the poles, may go on there and is not filled.
     """
-    holes = label_components(cells.withColumn("label", F.col("inside")), height, width).join(cells.select("y", "x", "inside"), ["y", "x"]).where("NOT inside")
-    around = holes.select("y", "x", "component", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))])).alias("s"))
+    holes = label_components(cells.withColumn("label", F.col("inside")), height, width, connectivity=connectivity).join(cells.select("y", "x", "inside"), ["y", "x"]).where("NOT inside")
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (connectivity == 8 or not dy * dx)]
+    around = holes.select("y", "x", "component", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])).alias("s"))
     ny, nx = F.col("y") + F.col("s.dy"), F.pmod(F.col("x") + F.col("s.dx"), F.lit(width))
     around = around.select("component", ny.alias("ny"), nx.alias("nx"), (F.floor(ny / height) == F.floor(F.col("y") / height)).alias("same")).where("same")
     known = cells.select(F.col("y").alias("ny"), F.col("x").alias("nx"))
@@ -143,11 +144,22 @@ def overlaps(masks: DataFrame, region: str = "region", cell: str = "cell") -> Da
     return sized.select("a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("iou"), (F.col("common") / F.least("n_a", "n_b")).alias("containment"))
 
 
-def merged(masks: DataFrame, scores: DataFrame, least_iou: float) -> DataFrame:
-    """(keeper, members, cells): groups of regions tied by their overlap; the best score keeps, then the smallest id; masks unite."""
-    ties = overlaps(masks).where(F.col("iou") >= least_iou).select("a", "b")
+def merged(masks: DataFrame, scores: DataFrame, least_iou: float | None, least_containment: float | None = None, kind: str | None = None) -> DataFrame:
+    """(keeper, members, cells): groups of regions tied by their overlap; the best score keeps, null last, then the smallest id; masks unite.
+
+    Regions are tied by intersection over union or by the share of the smaller one that lies in the other, whichever is
+    asked for, and only inside one class where ``kind`` names that column of ``scores``, null being a class.
+    """
+    if least_iou is None and least_containment is None:
+        raise ValueError("at least one threshold is needed")
+    enough = [F.col(c) >= least for c, least in (("iou", least_iou), ("containment", least_containment)) if least is not None]
+    ties = overlaps(masks).where(enough[0] if len(enough) == 1 else enough[0] | enough[1]).select("a", "b")
+    if kind:
+        of = lambda c: scores.select(F.col("region").alias(c), F.col(kind).alias(f"kind_{c}"))
+        ties = ties.join(of("a"), "a").join(of("b"), "b").where(F.col("kind_a").eqNullSafe(F.col("kind_b"))).select("a", "b")
     grouped = components(scores.select(F.col("region").alias("node")), ties)
-    keeper = grouped.join(scores, F.col("node") == F.col("region")).groupBy("root").agg(F.min_by("region", F.struct(-F.col("score"), F.col("region"))).alias("keeper"), F.count(F.lit(1)).alias("members"))
+    best = F.struct(F.col("score").isNull(), F.coalesce(-F.col("score"), F.lit(0.0)), F.col("region"))
+    keeper = grouped.join(scores, F.col("node") == F.col("region")).groupBy("root").agg(F.min_by("region", best).alias("keeper"), F.count(F.lit(1)).alias("members"))
     united = masks.join(grouped, F.col("region") == F.col("node")).select("root", "cell").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
     return keeper.join(united, "root").select("keeper", "members", "cells")
 

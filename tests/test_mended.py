@@ -85,3 +85,47 @@ def test_gradients_look_back(spark):
     assert every - got == {(y + p, x) for p in (0, 5) for y, x in ((2, 2), (2, 3), (3, 2))}
     diagonal = spark.createDataFrame([(y, x, 3.0 * x + 4.0 * y) for y in range(3) for x in range(3)], "y int, x int, value double")
     assert {(r.y, r.x) for r in stencil.steep(diagonal, 3, 5.0).collect()} == {(0, 0), (0, 1), (0, 2), (1, 0), (2, 0)}
+
+
+def test_merging_by_class_and_containment(spark):
+    """1 and 2 overlap by half, 3 lies inside 1 but is of another class, 4 has no class like 5 inside of it."""
+    masks = {1: range(0, 6), 2: range(2, 8), 3: range(0, 2), 4: range(20, 30), 5: range(20, 22)}
+    cells = spark.createDataFrame([(r, c) for r, m in masks.items() for c in m], "region long, cell long")
+    scores = spark.createDataFrame([(1, 0.5, "x"), (2, 0.9, "x"), (3, 0.7, "y"), (4, None, None), (5, 0.1, None)], "region long, score double, class string")
+    got = lambda **how: {(r.keeper, r.members, r.cells) for r in regions.merged(cells, scores, **how).collect()}
+    assert got(least_iou=0.5) == {(2, 2, 8), (3, 1, 2), (4, 1, 10), (5, 1, 2)}
+    assert got(least_iou=None, least_containment=0.9) == {(3, 2, 6), (2, 1, 6), (5, 2, 10)}
+    assert got(least_iou=0.5, least_containment=0.9, kind="class") == {(2, 2, 8), (3, 1, 2), (5, 2, 10)}
+    with pytest.raises(ValueError, match="threshold"):
+        got(least_iou=None)
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_holes_by_connectivity(spark, connectivity):
+    import numpy as np
+
+    rng = np.random.default_rng(connectivity)
+    h, w = 8, 12
+    inside, known = rng.random((h, w)) < 0.7, rng.random((h, w)) < 0.95
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (connectivity == 8 or not a * b)]
+    area = [(np.sin(np.pi / 2 - np.pi * y / h) - np.sin(np.pi / 2 - np.pi * (y + 1) / h)) * 2 * np.pi / w for y in range(h)]
+    want, seen = set(), set()
+    for start in map(tuple, np.argwhere(known & ~inside)):
+        if start in seen:
+            continue
+        piece, open_, frontier = {start}, False, [start]
+        while frontier:
+            y, x = frontier.pop()
+            for a, b in steps:
+                p = (y + a, (x + b) % w)
+                if not 0 <= p[0] < h:
+                    continue
+                open_ |= not known[p]
+                if known[p] and not inside[p] and p not in piece:
+                    piece.add(p)
+                    frontier.append(p)
+        seen |= piece
+        if not open_ and sum(area[y] for y, _ in piece) <= 0.5:
+            want |= piece
+    rows = spark.createDataFrame([(int(y), int(x), bool(inside[y, x])) for y, x in np.argwhere(known)], "y int, x int, inside boolean")
+    assert {(r.y, r.x) for r in regions.filled(rows, h, w, 0.5, connectivity).collect()} == want
