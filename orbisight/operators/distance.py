@@ -53,9 +53,9 @@ def geodesic_distance(cells: DataFrame, target: Column, height: int, width: int,
         up, across = F.sin(off(t) / 2), F.sin(t["dx"] * east / 2)
         return up * up + F.cos(lat) * F.cos(_latitude(t["ty"], height)) * across * across
 
-    near = own.withColumn("reach", reach)
-    least = F.array_min(F.transform(F.filter("rows", lambda t: off(t) <= F.col("reach") + 1e-9), half_chord))
-    found = near.select("y", "x", least.alias("h"))
+    # bound by a lambda, the reach is computed once for a cell and not for each of its rows
+    least = F.transform(F.array(reach), lambda b: F.array_min(F.transform(F.filter("rows", lambda t: off(t) <= b + 1e-9), half_chord)))[0]
+    found = own.select("y", "x", least.alias("h"))
     angle = F.when(F.col("h").isNotNull(), 2 * F.asin(F.least(F.sqrt("h"), F.lit(1.0))))
     return found.select("y", "x", (F.degrees(angle) if units == "degrees" else angle).alias("distance"))
 
@@ -113,8 +113,8 @@ def skeleton(cells: DataFrame, inside: Column, height: int, width: int, connecti
     neighbour that isn't in the mask counts as lower, the seam wraps and the poles don't.  A mask that fills what is known of a
     panorama has no skeleton.
     """
-    far = geodesic_distance(cells, ~inside, height, width).where("distance IS NOT NULL").withColumn("distance", F.round("distance", 9))
-    own = checkpointed(far.join(cells.where(inside).select("y", "x"), ["y", "x"], "left_semi"))
+    far = geodesic_distance(cells, ~inside, height, width).withColumn("distance", F.round("distance", 9))
+    own = checkpointed(far.join(cells.where(inside).select("y", "x"), ["y", "x"], "left_semi")).where("distance IS NOT NULL")
     pairs = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if connectivity == 8 else [])]
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s * dy).alias("dy"), F.lit(s * dx).alias("dx")) for k, (dy, dx) in enumerate(pairs) for s in (1, -1)])).alias("s")
     asked = own.select("y", "x", "distance", steps).select("y", "x", "distance", "s.k", (F.col("y") + F.col("s.dy")).alias("ny"), F.pmod(F.col("x") + F.col("s.dx"), F.lit(width)).alias("nx"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geometry as G
 from ..sources.lineage import checkpointed
 
-_TILE, _COARSE = 16, 8
+_TILE, _COARSE = 4, 8
 _AT = ("i", "j", "k")
 
 
