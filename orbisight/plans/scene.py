@@ -270,8 +270,9 @@ def field_of_rays(spark, d: str) -> DataFrame:
 
 
 def sampled_rays(spark, d: str) -> DataFrame:
-    """Value and label of the cell of the first panorama that each observation's bearing falls on."""
-    rays = observations(spark, d).select("id", F.lit(0).cast("long").alias("pano"), G.ray_of(F.col("lon"), F.col("lat")).alias("ray"))
+    """Value and label of the cell that each observation's bearing falls on, in the panoramas of the stack by turns."""
+    many = (cells(spark, d).agg(F.max("y")).first()[0] or 0) // H + 1
+    rays = observations(spark, d).select("id", (F.col("id") % many).alias("pano"), G.ray_of(F.col("lon"), F.col("lat")).alias("ray"))
     found = fields.sampled(cells(spark, d).select("y", "x", "value", F.col("label").alias("kind")), rays, ["value", "kind"], H, W)
     return found.select("id", "value", "kind")
 
@@ -447,7 +448,7 @@ QUERIES = {
     "replayed_log": (replayed_log, "SELECT user_id, event_id, event_type, round(value,4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'"),
     "field_of_rays": (field_of_rays, "WITH t AS (SELECT id // 128 AS y, id % 128 AS x, 2*pi()*((id % 128)+0.5)/128 - pi() AS lon, pi()/2 - pi()*((id // 128) % 64 + 0.5)/64 AS lat FROM range(16384) g(id)) SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(sin(lon)*cos(lat)*2 + sin(lat)*(cos(lon)*cos(lat)),6) AS value FROM t"),
     "sampled_rays": (sampled_rays, f"""WITH {CELLS}, {OBSERVATIONS}, b AS (SELECT id, atan2(sin(lon)*cos(lat), cos(lon)*cos(lat)) AS o, asin(sin(lat)) AS a FROM observations), p AS (SELECT id, (o+pi())/(2*pi())*128-0.5 AS u, round((pi()/2-a)/pi()*64-0.5,9) AS v FROM b), n AS (SELECT id, CAST(floor(round(u-128*floor(u/128),9)+0.5) AS BIGINT) % 128 AS sx, CAST(least(63,greatest(0,floor(v+0.5))) AS BIGINT) AS sy FROM p)
- SELECT id, value, label AS kind FROM n JOIN cells ON y = sy AND x = sx"""),
+ SELECT id, value, label AS kind FROM n JOIN cells ON y = sy + 64 * (id % (SELECT max(y)//64 + 1 FROM cells)) AND x = sx"""),
     "cropped_window": (cropped_window, f"WITH {CELLS} SELECT y, x, value FROM cells WHERE y % 64 BETWEEN 10 AND 39 AND x BETWEEN 20 AND 69"),
     "pasted_patch": (pasted_patch, f"WITH {CELLS} SELECT y, x, CASE WHEN valid AND y % 64 BETWEEN 5 AND 24 AND x BETWEEN 5 AND 24 THEN value*2 ELSE value END AS value, valid FROM cells"),
     "flipped_longitude": (flipped_longitude, f"WITH {CELLS} SELECT y, 127 - x AS x, value FROM cells"), "flipped_latitude": (flipped_latitude, f"WITH {CELLS} SELECT y + 63 - 2*(y%64) AS y, x, value FROM cells"),
