@@ -5,7 +5,7 @@ an encoding is right exactly if all its neighbours may.  So each prefix has one
 may follow the last token of what is before it.  ``last[i]`` and ``count[i]`` follow from shorter prefixes, the whole
 count is ``count[n]``, and truncation or budget questions are answered from the table without encoding again.
 
-The whole count asks for the same recurrence from the end and so fills only the prefixes it needs; ``prefixes`` fills all.
+The query reads its count and the longest prefix within the limit from these tables; ``prefixes`` gives the whole table.
 Pre-tokens never interact, so tables are kept per pre-token and added up; a cut inside a run of white space, or inside a
 contraction, is looked up as the pre-tokens the cut text would have.
 
