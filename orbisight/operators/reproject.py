@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
 from . import distance as D, stencil as S
@@ -13,11 +13,6 @@ from . import distance as D, stencil as S
 Layout = Sequence[tuple[str, float, float]]
 
 
-def panoramas(cells: DataFrame, height: int) -> DataFrame:
-    """(pano): the panoramas of a stack."""
-    return cells.select(F.floor(F.col("y") / height).alias("pano")).distinct()
-
-
 def _views(layout: Layout) -> Column:
     """A row for each view with its right, up and forward axes; a layout has a few fixed views."""
     made = []
@@ -31,40 +26,40 @@ def _axis(name: str) -> Column:
     return G.ray(*[F.col(f"{name}{c}") for c in "xyz"])
 
 
-def face_rays(panos: DataFrame, layout: Layout, fov_deg: float, size: int) -> DataFrame:
-    """(pano, view, v, u, ray): every pixel of square views."""
-    each = panos.select("pano", _views(layout)).select("pano", "b.*").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
+def face_rays(spark: SparkSession, layout: Layout, fov_deg: float, size: int) -> DataFrame:
+    """(view, v, u, ray): every pixel of square views, the same for every panorama."""
+    each = spark.range(size * size).select("id", _views(layout)).select("id", "b.*")
     focal, middle = size / (2 * G.math.tan(G.math.radians(fov_deg) / 2)), (size - 1) / 2
     v, u = F.floor(F.col("id") / size), F.col("id") % size
     a, b = (u - middle) / focal, (middle - v) / focal
     ray = G.unit(G.ray(*[a * F.col(f"r{c}") + b * F.col(f"u{c}") + F.col(f"f{c}") for c in "xyz"]))
-    return each.select("pano", "view", v.cast("int").alias("v"), u.cast("int").alias("u"), ray.alias("ray"))
+    return each.select("view", v.cast("int").alias("v"), u.cast("int").alias("u"), ray.alias("ray"))
 
 
 def extract(cells: DataFrame, layout: Layout, fov_deg: float, size: int, height: int, width: int, how: str = "nearest") -> DataFrame:
     """(pano, view, v, u, value ..): views sampled from the panoramas, nearest (with ``valid``) or bilinear over valid corners."""
     pixel = G.ray_to_erp_pixel(F.col("ray"), height, width)
-    targets = face_rays(panoramas(cells, height), layout, fov_deg, size).withColumn("p", pixel)
+    targets = face_rays(cells.sparkSession, layout, fov_deg, size).withColumn("p", pixel)
     x, y = F.round("p.x", 9), F.round("p.y", 9)
+    rows = len(layout) * size * size
     if how == "nearest":
-        return S.resample_nearest(cells, targets, x, y, height, width).drop("p", "ray")
-    return S.resample_bilinear(cells, targets, ["pano", "view", "v", "u"], x, y, height, width)
+        return S.resample_nearest(cells, targets, x, y, height, width, rows).drop("p", "ray")
+    return S.resample_bilinear(cells, targets, ["pano", "view", "v", "u"], x, y, height, width, rows)
 
 
-def footprints(panos: DataFrame, layout: Layout, fov_deg: float, size: int, height: int, width: int) -> DataFrame:
-    """(pano, y, x, view, v, u, dot): the pixel of every view that sees a cell, and how near its axis the cell lies."""
-    each = panos.select("pano", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("id"))
+def footprints(spark: SparkSession, layout: Layout, fov_deg: float, size: int, height: int, width: int) -> DataFrame:
+    """(y, x, view, v, u, dot): the pixel of every view that sees a cell of a panorama, and how near its axis the cell lies."""
     y, x = F.floor(F.col("id") / width).cast("int"), (F.col("id") % width).cast("int")
-    rays = each.select("pano", y.alias("y"), x.alias("x")).withColumn("ray", G.erp_pixel_to_ray(F.col("x"), F.col("y"), height, width))
-    seen = rays.select("pano", "y", "x", "ray", _views(layout)).select("pano", "y", "x", "ray", "b.*")
+    rays = spark.range(height * width).select(y.alias("y"), x.alias("x")).withColumn("ray", G.erp_pixel_to_ray(F.col("x"), F.col("y"), height, width))
+    seen = rays.select("y", "x", "ray", _views(layout)).select("y", "x", "ray", "b.*")
     focal, middle = size / (2 * G.math.tan(G.math.radians(fov_deg) / 2)), (size - 1) / 2
     ahead = G.dot(F.col("ray"), _axis("f"))
     seen = seen.withColumn("dot", F.round(ahead, 12)).where("dot > 0.01")
     u = F.round(focal * G.dot(F.col("ray"), _axis("r")) / ahead + middle, 9)
     v = F.round(middle - focal * G.dot(F.col("ray"), _axis("u")) / ahead, 9)
-    seen = seen.select("pano", "y", "x", "view", "dot", u.alias("u"), v.alias("v")).where(F.col("u").between(-0.5, size - 0.5) & F.col("v").between(-0.5, size - 0.5))
+    seen = seen.select("y", "x", "view", "dot", u.alias("u"), v.alias("v")).where(F.col("u").between(-0.5, size - 0.5) & F.col("v").between(-0.5, size - 0.5))
     clamp = lambda c: F.least(G.nearest(F.col(c)), F.lit(size - 1)).cast("int").alias(c)
-    return seen.select("pano", "y", "x", "view", "dot", clamp("v"), clamp("u"))
+    return seen.select("y", "x", "view", "dot", clamp("v"), clamp("u"))
 
 
 def reconstruct(faces: DataFrame, layout: Layout, fov_deg: float, size: int, height: int, width: int, method: str = "average") -> DataFrame:
@@ -73,7 +68,8 @@ def reconstruct(faces: DataFrame, layout: Layout, fov_deg: float, size: int, hei
     By average, gaussian (of the angle to the axis), nearest_axis (the least such angle), or by how deep a cell lies in what
     a view sees: feathering and closest.
     """
-    found = footprints(faces.select("pano").distinct(), layout, fov_deg, size, height, width).join(faces.where("valid"), ["pano", "view", "v", "u"])
+    sees = S.lattice(footprints(faces.sparkSession, layout, fov_deg, size, height, width), len(layout) * height * width)
+    found = faces.where("valid").join(sees, ["view", "v", "u"])
     if method in ("feathering", "closest"):
         made = D.blend_by_depth(found.select("pano", "view", "y", "x", "value"), ["pano"], height, width, method)
     else:

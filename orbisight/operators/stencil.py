@@ -81,21 +81,49 @@ def morphology(cells: DataFrame, lut: DataFrame, height: int, width: int, kind:
     return pushed.unionByName(pulled).groupBy("y", "x").agg(best.alias("value")).join(targets, ["y", "x"], "left_semi")
 
 
-def resample_nearest(cells: DataFrame, targets: DataFrame, x: Column, y: Column, height: int, width: int) -> DataFrame:
-    """The cells that fractional source pixels of the targets (pano, ..) fall on; x wraps and y clamps."""
-    at = targets.withColumn("_x", F.pmod(G.nearest(x), F.lit(width)).cast("int")).withColumn("_y", (F.col("pano") * height + F.least(F.greatest(G.nearest(y), F.lit(0)), F.lit(height - 1))).cast("int"))
-    source = cells.select(F.col("y").alias("_y"), F.col("x").alias("_x"), "value", "valid")
-    return at.join(source, ["_y", "_x"]).drop("_y", "_x")
+#: Tables that are the same for every panorama are broadcast up to so many rows, and sorted and merged beyond.
+BROADCAST_ROWS = 1 << 18
 
 
-def resample_bilinear(cells: DataFrame, targets: DataFrame, keys: list[str], x: Column, y: Column, height: int, width: int) -> DataFrame:
-    """Four corners of each target (pano, ..) by one join, added up with their weights renormalised over valid corners."""
+def lattice(table: DataFrame, rows: int) -> DataFrame:
+    """A table of about ``rows`` rows that is the same for every panorama, to be joined with the rows of a whole stack.
+
+    Spark takes what was exploded for as small as what it came from and would send a copy for every panorama through the
+    driver; so a join reads one table for all of them, whose size the lattice and not the data fixes.
+    """
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
+def _met(cells: DataFrame, at: DataFrame, rows: int | None, height: int) -> DataFrame:
+    """Targets (.., _y, _x) with the cells of their panorama, or with those of every panorama where they name none."""
+    if "pano" in at.columns:
+        source = cells.select(F.col("y").alias("_y"), F.col("x").alias("_x"), "value", "valid")
+        return at.withColumn("_y", F.col("pano") * height + F.col("_y")).join(source, ["_y", "_x"]).drop("_y", "_x")
+    source = cells.select(F.floor(F.col("y") / height).alias("pano"), G.row_in(F.col("y"), height).cast("int").alias("_y"), F.col("x").alias("_x"), "value", "valid")
+    return source.join(at.hint("merge") if rows is None else lattice(at, rows), ["_y", "_x"]).drop("_y", "_x")
+
+
+def resample_nearest(cells: DataFrame, targets: DataFrame, x: Column, y: Column, height: int, width: int, rows: int | None = None) -> DataFrame:
+    """The cells that fractional source pixels of the targets (pano, ..) fall on; x wraps and y clamps.
+
+    Targets without ``pano``, ``rows`` of them, are the same in every panorama.
+    """
+    at = targets.withColumn("_x", F.pmod(G.nearest(x), F.lit(width)).cast("int")).withColumn("_y", F.least(F.greatest(G.nearest(y), F.lit(0)), F.lit(height - 1)).cast("int"))
+    return _met(cells, at, rows, height)
+
+
+def resample_bilinear(cells: DataFrame, targets: DataFrame, keys: list[str], x: Column, y: Column, height: int, width: int, rows: int | None = None) -> DataFrame:
+    """Four corners of each target (pano, ..) by one join, added up with their weights renormalised over valid corners.
+
+    Targets without ``pano``, ``rows`` of them, are the same in every panorama; ``keys`` name it all the same.
+    """
     fx, fy = x - F.floor(x), y - F.floor(y)
     corner = lambda i, j, w: F.struct((F.floor(x) + i).alias("cx"), (F.floor(y) + j).alias("cy"), w.alias("w"))
     four = F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))
-    spread = targets.select(*keys, F.explode(four).alias("c")).select(*keys, F.pmod("c.cx", F.lit(width)).cast("int").alias("_x"), (F.col("pano") * height + F.least(F.greatest("c.cy", F.lit(0)), F.lit(height - 1))).cast("int").alias("_y"), F.col("c.w").alias("w"))
-    source = cells.where("valid").select(F.col("y").alias("_y"), F.col("x").alias("_x"), "value")
-    return spread.join(source, ["_y", "_x"]).groupBy(*keys).agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"), F.sum("w").alias("weight"))
+    own = [k for k in keys if k in targets.columns]
+    spread = targets.select(*own, F.explode(four).alias("c")).select(*own, F.pmod("c.cx", F.lit(width)).cast("int").alias("_x"), F.least(F.greatest("c.cy", F.lit(0)), F.lit(height - 1)).cast("int").alias("_y"), F.col("c.w").alias("w"))
+    met = _met(cells.where("valid"), spread, rows and 4 * rows, height)
+    return met.groupBy(*keys).agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"), F.sum("w").alias("weight"))
 
 
 def bilateral(cells: DataFrame, lut: DataFrame, height: int, width: int, sigma_color: float) -> DataFrame:
