@@ -36,7 +36,7 @@ def broadcast_rows(df):
     return found
 
 
-QUERIES = ["cubemap_faces_bilinear"]
+QUERIES = ["cubemap_faces_bilinear", "reconstruct_average"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
