@@ -95,7 +95,7 @@ def blend_by_depth(seen: DataFrame, keys: list[str], height: int, width: int, me
     """
     whole = [*keys, "view"]
     deep = mask_depth(seen, whole, height, width)
-    met = seen.join(deep, [*whole, "y", "x"])
+    met = seen.join(deep.hint("merge"), [*whole, "y", "x"])  # as many rows as are seen, which no estimate after an explode tells
     own = [*keys, "y", "x"]
     if method == "closest":
         return met.groupBy(*own).agg(F.min_by("value", F.struct(F.coalesce(-F.col("depth"), F.lit(-math.inf)), F.col("view"))).alias("value"), F.count(F.lit(1)).alias("support"))
