@@ -36,7 +36,7 @@ def broadcast_rows(df):
     return found
 
 
-QUERIES = ["cubemap_faces_bilinear", "reconstruct_average", "reconstruct_nearest_axis", "reconstruct_gaussian", "reconstruct_closest"]
+QUERIES = ["cubemap_faces_bilinear", "reconstruct_average", "reconstruct_nearest_axis", "reconstruct_gaussian", "reconstruct_closest", "reconstruct_feathering"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
