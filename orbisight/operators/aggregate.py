@@ -5,8 +5,12 @@ Every blend is an algebraic or partially combined aggregate, so one shuffle by c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.lineage import checkpointed
+
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(weight))
@@ -117,19 +121,35 @@ def voxel_blend(df: DataFrame, size: float, weight: str = "w", axes: tuple[str,
 def surface_metrics(found: DataFrame, truth: DataFrame, distance: float) -> DataFrame:
     """Precision, recall and their harmonic mean of points (id, x, y, z) that have a point of the other side within ``distance``.
 
-    Points are hashed to boxes of that width and meet those of the 27 boxes around; only whether there is one is kept.
+    Equal points are asked once.  Two points of a box of half that width are near for certain, so most need no pair; the
+    others meet the points of the boxes of full width around theirs, as far as there are any.  Only whether there is one is kept.
     """
-    box = lambda df, p: df.select(F.col("id").alias(f"{p}id"), *[F.col(k).cast("double").alias(f"{p}{k}") for k in "xyz"], *[F.floor(F.col(k) / distance).alias(f"g{k}") for k in "xyz"])
+    at, wide, fine = list("xyz"), list("fgh"), list("uvw")
+    bounded = lambda k, width: F.floor(F.least(F.greatest(F.col(k) / width, F.lit(-(2.0**60))), F.lit(2.0**60)))
+    exact = F.greatest(*[F.abs(k) for k in at]) < distance * 2.0**40  # beyond, rounding may move a point to another box
 
-    def share(a: DataFrame, b: DataFrame) -> DataFrame:
-        asked = box(a, "a")
-        for k in "xyz":
-            asked = asked.withColumn("_s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"g{k}", F.col(f"g{k}") + F.col("_s")).drop("_s")
-        apart = sum((F.pow(F.col(f"a{k}") - F.col(f"b{k}"), F.lit(2.0)) for k in "xyz"), F.lit(0.0))
-        other = box(b, "b")
-        keys = [asked[f"g{k}"] == other[f"g{k}"] for k in "xyz"]
-        hit = asked.join(other, [*keys, apart <= distance * distance], "left_semi").select("aid").distinct()
-        return a.join(hit, F.col("id") == F.col("aid"), "left").agg(F.count("aid").alias("hits"), F.count(F.lit(1)).alias("n"))
+    def boxed(df: DataFrame) -> DataFrame:
+        each = df.select(*[F.col(k).cast("double").alias(k) for k in at]).groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+        finite = F.greatest(*[F.abs(k) for k in at]) < math.inf
+        known = F.when(finite & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), F.lit(True))
+        halves = [F.when(known & exact, bounded(k, distance / 2)).alias(b) for k, b in zip(at, fine, strict=True)]
+        return each.select(*at, "n", *[F.when(known, bounded(k, distance)).alias(b) for k, b in zip(at, wide, strict=True)], *halves)
 
+    def share(a: DataFrame, b: DataFrame) -> DataFrame:
+        told = checkpointed(a.join(b.select(*fine, F.lit(True).alias("same")).distinct(), fine, "left").select(*at, "n", *wide, "same"))
+        left = told.where("same IS NULL")
+        boxes = left.select(*wide).distinct()
+        for k in wide:
+            boxes = boxes.withColumn(f"o{k}", F.explode(F.array(*[F.col(k) + s for s in (-1, 0, 1)])))
+        other = b.select(*[F.col(k).alias(f"o{k}") for k in wide], *[F.col(k).alias(f"b{k}") for k in at])
+        meet = [f"o{k}" for k in wide]
+        boxes = boxes.hint("merge").join(other.select(*meet).distinct(), meet)
+        apart = sum((F.pow(F.col(k) - F.col(f"b{k}"), F.lit(2.0)) for k in at), F.lit(0.0))
+        asked = left.join(boxes, wide).select(*at, "n", *meet)
+        near = asked.join(other, [*[asked[k] == other[k] for k in meet], apart <= distance * distance], "left_semi").select(*at, "n").distinct()
+        both = told.select("n", F.when(F.col("same"), F.col("n")).alias("hit")).unionByName(near.select(F.lit(0).cast("long").alias("n"), F.col("n").alias("hit")))
+        return both.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.sum("n").alias("n"))
+
+    found, truth = checkpointed(boxed(found)), checkpointed(boxed(truth))
     p, q = share(found, truth).select(F.lit(0).alias("k"), F.try_divide("hits", "n").alias("precision")), share(truth, found).select(F.lit(0).alias("k"), F.try_divide("hits", "n").alias("recall"))
     return p.join(q, "k").select("precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f_score"))
