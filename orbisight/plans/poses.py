@@ -20,7 +20,7 @@ def matches(spark, d: str) -> DataFrame:
 
     Every step has plain columns, which are computed once however often the next one reads them.
     """
-    share = lambda c, k: F.round(F.pmod(F.col(c) * k, F.lit(1.0)), 9)
+    share = lambda c, k: F.floor((F.col(c) * k - F.floor(F.col(c) * k)) * 1e9 + 0.5) / 1e9
     pair, c = F.col("pair"), F.col
     items = read(spark, d, "lineitem").select(
         c("l_suppkey").alias("pair"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("id"), (c("l_linenumber") % 3 == 0).alias("wrong"), (2 + c("l_quantity") / 10).alias("depth"),
@@ -28,11 +28,10 @@ def matches(spark, d: str) -> DataFrame:
     )
     bearing = lambda u, v, n: [(F.sin(2 * math.pi * c(u)) * F.cos(F.asin(1 - 2 * c(v)))).alias(f"{n}x"), (1 - 2 * c(v)).alias(f"{n}y"), (F.cos(2 * math.pi * c(u)) * F.cos(F.asin(1 - 2 * c(v)))).alias(f"{n}z")]
     seen = items.select("pair", "id", "wrong", "depth", *bearing("u1", "v1", "a"), *bearing("u2", "v2", "l"))
-    poses = seen.select("pair").distinct().select("pair", ((pair % 7) * 0.05 - 0.15).alias("vx"), ((pair % 11) * 0.06 - 0.3).alias("vy"), ((pair % 5) * 0.04 - 0.08).alias("vz"), ((pair % 3) - 1.0).alias("sx"), ((pair % 4) * 0.25 - 0.5).alias("sy"))
+    posed = seen.select("*", ((pair % 7) * 0.05 - 0.15).alias("vx"), ((pair % 11) * 0.06 - 0.3).alias("vy"), ((pair % 5) * 0.04 - 0.08).alias("vz"), ((pair % 3) - 1.0).alias("sx"), ((pair % 4) * 0.25 - 0.5).alias("sy"))
     turn = G.rotation_exp(c("vx"), c("vy"), c("vz"))
     length = F.sqrt(c("sx") * c("sx") + c("sy") * c("sy") + 1)
-    poses = checkpointed(poses.select("pair", *[turn[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], (c("sx") / length).alias("tx"), (c("sy") / length).alias("ty"), (1 / length).alias("tz")))
-    met = seen.join(poses, "pair")
+    met = posed.select(*seen.columns, *[turn[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], (c("sx") / length).alias("tx"), (c("sy") / length).alias("ty"), (1 / length).alias("tz"))
     moved = met.select("*", *[((c(f"r{i}0") * c("ax") + c(f"r{i}1") * c("ay") + c(f"r{i}2") * c("az")) * c("depth") + c(f"t{k}")).alias(f"p{k}") for i, k in enumerate("xyz")])
     sized = moved.withColumn("far", F.sqrt(c("px") * c("px") + c("py") * c("py") + c("pz") * c("pz")))
     return sized.select("pair", "id", *[f"a{k}" for k in "xyz"], *[F.when(c("wrong"), c(f"l{k}")).otherwise(c(f"p{k}") / c("far")).alias(f"b{k}") for k in "xyz"])

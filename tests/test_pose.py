@@ -89,3 +89,26 @@ def test_sums_do_not_depend_on_chunks(spark):
     assert pose.chunks(matches, 7).count() > 20
     for x in both:
         assert np.allclose([x[n] for n in pose._R], r.ravel(), atol=1e-8) and np.allclose([x[n] for n in pose._T], t, atol=1e-8) and x.inliers == 300
+
+
+def test_pairs_of_one_chunk_take_one_pass(spark):
+    """Such pairs have no rounds of jobs, and come to the poses that sums over chunks come to."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(3):
+        _, _, a, b = planted(rng, 90)
+        b[:30] = unit(rng.normal(size=(30, 3)))
+        rows += rows_of(f"p{k}", a, b)
+    matches = spark.createDataFrame(rows, MATCHES)
+    spark.sparkContext.setJobGroup("one chunk", "")
+    try:
+        whole = sorted(pose.relative_poses(matches, math.radians(0.3)).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one chunk"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12
+    parts = sorted(pose.relative_poses(matches, math.radians(0.3), rows=20).collect())
+    assert len(whole) == len(parts) == 3
+    for x, y in zip(whole, parts, strict=True):
+        assert x.pair == y.pair and x.n == y.n == 90 and x.inliers == y.inliers and x.accepted
+        assert np.allclose([x[n] for n in [*pose._R, *pose._T]], [y[n] for n in [*pose._R, *pose._T]], atol=1e-8)
