@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
@@ -27,6 +30,11 @@ def _matrix(turned: bool = False) -> list[list[Column]]:
     return [[F.col(f"r{b}{a}" if turned else f"r{a}{b}") for b in range(3)] for a in range(3)]
 
 
+def _nine(c: Column) -> Column:
+    """Nine digits; ``round`` goes by decimals, some ten times slower."""
+    return F.floor(c * 1e9 + 0.5) / 1e9
+
+
 def world_points(ranges: DataFrame, poses: DataFrame, height: int, width: int) -> DataFrame:
     """Valid ranges with their unit direction ``d`` in the world and the centre of their view."""
     ray = G.erp_pixel_to_ray(F.col("x"), F.col("y"), height, width)
@@ -39,7 +47,7 @@ def band_blocks(ranges: DataFrame, poses: DataFrame, height: int, width: int, vo
     steps = max(1, math.ceil(2 * truncation / (side / 2)))
     along = F.explode(F.array(*[F.lit(truncation * (2 * k / steps - 1)) for k in range(steps + 1)])).alias("s")
     points = world_points(ranges, poses, height, width).select("scene", "range", "d", "cx", "cy", "cz", along)
-    home = lambda k: F.floor(F.round((F.col(f"c{k}") + F.col("d")[k] * (F.col("range") + F.col("s"))) / side, 9))
+    home = lambda k: F.floor(_nine((F.col(f"c{k}") + F.col("d")[k] * (F.col("range") + F.col("s"))) / side))
     touched = points.select("scene", *[home(k).alias(f"b{n}") for k, n in zip("xyz", _AT, strict=True)]).distinct()
     for n in _AT:
         touched = touched.withColumn(f"b{n}", F.explode(F.array(*[F.col(f"b{n}") + s for s in (-1, 0, 1)])))
@@ -77,6 +85,71 @@ def reached(blocks: DataFrame, ranges: DataFrame, poses: DataFrame, voxel: float
     return homes.join(boxes, ["scene", *[f"g{n}" for n in _AT]]).where(F.sqrt(off) <= F.col("far")).drop("far", *[f"g{n}" for n in _AT])
 
 
+def projected(reached_: DataFrame, height: int, width: int, voxel: float, block: int) -> DataFrame:
+    """(scene, view, i, j, k, dist, px, py): every voxel of each block as its view sees it, pixels to nine digits.
+
+    Few rows of blocks make many of voxels, so blocks are dealt to all tasks; the arithmetic is too long for a method that the
+    JVM compiles, and so goes by arrays.
+    """
+    frame = [f"c{k}" for k in "xyz"] + [f"r{a}{b}" for a in range(3) for b in range(3)]
+    kinds = dict(reached_.dtypes)
+    inner = np.stack(np.unravel_index(np.arange(block**3), (block,) * 3), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                told = lambda names: np.stack([part.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)  # noqa: B023, E731
+                place = told([f"b{n}" for n in _AT])[:, None, :] * block + inner
+                pose = told(frame)[:, None, :]
+                x, y, z = np.moveaxis((place + 0.5) * voxel - pose[:, :, :3], 2, 0)
+                x, y, z = (pose[:, :, 3 + 3 * a] * x + pose[:, :, 4 + 3 * a] * y + pose[:, :, 5 + 3 * a] * z for a in range(3))
+                dist = np.sqrt(x * x + y * y + z * z)
+                keep = np.flatnonzero(dist > 0)
+                x, y, z, dist = (c.ravel()[keep] for c in (x, y, z, dist))
+                u = (np.arctan2(x, z) + math.pi) / (2 * math.pi) * width - 0.5
+                u = np.floor((u - width * np.floor(u / width)) * 1e9 + 0.5) / 1e9
+                v = (math.pi / 2 - np.arcsin(np.clip(y / dist, -1, 1))) / math.pi * height - 0.5
+                v = np.clip(np.floor(v * 1e9 + 0.5) / 1e9, 0, height - 1)
+                own = pa.array(keep // block**3)
+                columns = [*place.reshape(-1, 3)[keep].T.copy(), dist, np.where(u >= width, u - width, u), v]
+                yield pa.RecordBatch.from_arrays([*[part.column(n).take(own) for n in ("scene", "view")], *map(pa.array, columns)], ["scene", "view", *_AT, "dist", "px", "py"])
+
+    tasks = int(reached_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = reached_.select("scene", "view", *[f"b{n}" for n in _AT], *frame).repartition(tasks, "scene", "view", *[f"b{n}" for n in _AT])
+    return dealt.mapInArrow(run, f"scene {kinds['scene']}, view {kinds['view']}, i long, j long, k long, dist double, px double, py double")
+
+
+def accepted(met: DataFrame, truncation: float, weighting: str, min_valid_weight: float) -> DataFrame:
+    """(scene, i, j, k, s, sure) of the voxels of each tile that its view accepts: clipped distance by weight, and weight."""
+    n, kind = _TILE + 1, dict(met.dtypes)["scene"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            voxels = batch.column("voxels")
+            own, held = np.repeat(np.arange(len(batch)), np.diff(voxels.offsets.to_numpy())), voxels.flatten()
+            i, j, k, dist, px, py = (held.field(c).to_numpy(zero_copy_only=False) for c in (*_AT, "dist", "px", "py"))
+            far, sure = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.column("pixels").flatten().flatten())
+            x, y = np.floor(px), np.floor(py)
+            at = own * n * n + ((y % _TILE) * n + x % _TILE).astype(int)
+            w, wr, wc = np.zeros((3, len(own)))
+            for dy, dx, share in ((0, 0, (1 - py + y) * (1 - px + x)), (0, 1, (1 - py + y) * (px - x)), (1, 0, (py - y) * (1 - px + x)), (1, 1, (py - y) * (px - x))):
+                known = (share > 0) & ~np.isnan(far[np.where(share > 0, at + dy * n + dx, at)])  # a corner without a share may lie outside
+                spot = np.where(known, at + dy * n + dx, 0)
+                w += np.where(known, share, 0.0)
+                wr += np.where(known, share * far[spot], 0.0)
+                wc += np.where(known, share * sure[spot], 0.0)
+            known = np.flatnonzero((w > 0) & (w >= min_valid_weight - 1e-6))
+            sdf = np.floor((wr[known] / w[known] - dist[known]) * 1e9 + 0.5) / 1e9
+            trust = wc[known] / w[known] if weighting == "confidence" else np.ones(len(known))
+            good = (sdf >= -truncation) & (trust > 0)
+            known, sdf, trust = known[good], sdf[good], trust[good]
+            made = [batch.column("scene").take(pa.array(own[known])), *[pa.array(c[known]) for c in (i, j, k)], pa.array(np.clip(sdf / truncation, -1, 1) * trust), pa.array(trust)]
+            yield pa.RecordBatch.from_arrays(made, ["scene", *_AT, "s", "sure"])
+
+    return met.select("scene", "voxels", "pixels").mapInArrow(run, f"scene {kind}, i long, j long, k long, s double, sure double")
+
+
 def fuse_tsdf(ranges: DataFrame, poses: DataFrame, height: int, width: int, voxel: float, truncation: float, block: int = 8, weighting: str = "uniform", min_valid_weight: float = 1.0) -> DataFrame:
     """(scene, i, j, k, tsdf, weight, views) of every voxel near the measured surface that some view accepts.
 
@@ -86,31 +159,13 @@ def fuse_tsdf(ranges: DataFrame, poses: DataFrame, height: int, width: int, voxe
     """
     if weighting not in ("uniform", "confidence"):
         raise ValueError(f"no weighting {weighting}")
-    n = _TILE + 1
     blocks = band_blocks(ranges, poses, height, width, voxel, truncation, block)
-    each = reached(blocks, ranges, poses, voxel, truncation, block).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(block**3 - 1))))
-    inner = (F.floor(F.col("v") / block**2), F.floor(F.col("v") / block) % block, F.col("v") % block)
-    each = each.select("scene", "view", *[f"c{k}" for k in "xyz"], *[f"r{a}{b}" for a in range(3) for b in range(3)], *[(F.col(f"b{m}") * block + o).alias(m) for m, o in zip(_AT, inner, strict=True)])
-    moved = G.ray(*[(F.col(m) + 0.5) * voxel - F.col(f"c{k}") for k, m in zip("xyz", _AT, strict=True)])
-    seen = each.select("scene", "view", *_AT, G.rotate(_matrix(), moved).alias("q")).where(G.norm(F.col("q")) > 0)
-    seen = seen.select("scene", "view", *_AT, G.norm(F.col("q")).alias("dist"), G.ray_to_erp_pixel(F.col("q"), height, width).alias("p"))
-    x = F.pmod(F.round("p.x", 9), F.lit(float(width)))
-    seen = seen.select("scene", "view", *_AT, "dist", x.alias("px"), F.least(F.greatest(F.round("p.y", 9), F.lit(0.0)), F.lit(height - 1.0)).alias("py"))
+    seen = projected(reached(blocks, ranges, poses, voxel, truncation, block), height, width, voxel, block)
     tile = lambda c: F.floor(F.floor(F.col(c)) / _TILE)
-    met = seen.withColumn("ty", tile("py")).withColumn("tx", tile("px")).join(_tiles(ranges, height, width), ["scene", "view", "ty", "tx"])
-    ly, lx = F.floor("py") - F.col("ty") * _TILE, F.floor("px") - F.col("tx") * _TILE
-    wy, wx = F.col("py") - F.floor("py"), F.col("px") - F.floor("px")
-    pixel = lambda dy, dx: F.get("pixels", ((ly + dy) * n + lx + dx).cast("int"))
-    corners = F.array(*[F.struct(w.alias("w"), pixel(dy, dx).alias("p")) for dy, dx, w in ((0, 0, (1 - wy) * (1 - wx)), (0, 1, (1 - wy) * wx), (1, 0, wy * (1 - wx)), (1, 1, wy * wx))])
-    known = met.select("scene", *_AT, "dist", F.filter(corners, lambda c: (c["w"] > 0) & c["p"].isNotNull()).alias("c"))
-    total = lambda of: F.aggregate("c", F.lit(0.0), lambda a, c: a + of(c))
-    known = known.select("scene", *_AT, "dist", total(lambda c: c["w"]).alias("w"), total(lambda c: c["w"] * c["p"]["range"]).alias("wr"), total(lambda c: c["w"] * c["p"]["confidence"]).alias("wc"))
-    known = known.where((F.col("w") > 0) & (F.col("w") >= min_valid_weight - 1e-6))
-    sdf = F.round(F.col("wr") / F.col("w") - F.col("dist"), 9)
-    sure = F.col("wc") / F.col("w") if weighting == "confidence" else F.lit(1.0)
-    told = known.select("scene", *_AT, sdf.alias("sdf"), sure.alias("sure")).where((F.col("sdf") >= -truncation) & (F.col("sure") > 0))
-    clipped = F.least(F.greatest(F.col("sdf") / truncation, F.lit(-1.0)), F.lit(1.0))
-    sums = told.groupBy("scene", *_AT).agg(F.sum(clipped * F.col("sure")).alias("s"), F.sum("sure").alias("weight"), F.count(F.lit(1)).alias("views"))
+    dealt = seen.select("scene", "view", tile("py").alias("ty"), tile("px").alias("tx"), F.struct(*_AT, "dist", "px", "py").alias("s"))
+    met = dealt.groupBy("scene", "view", "ty", "tx").agg(F.collect_list("s").alias("voxels")).join(_tiles(ranges, height, width), ["scene", "view", "ty", "tx"])
+    told = accepted(met, truncation, weighting, min_valid_weight)
+    sums = told.groupBy("scene", *_AT).agg(F.sum("s").alias("s"), F.sum("sure").alias("weight"), F.count(F.lit(1)).alias("views"))
     return sums.select("scene", *_AT, (F.col("s") / F.col("weight")).alias("tsdf"), "weight", "views")
 
 

@@ -193,3 +193,13 @@ def test_triangles_close_at_random_signs(spark):
         a, b, c = (tuple(f[n])[:4] for n in "abc")
         sides.update([(a, b), (b, c), (c, a)])
     assert faces and set(sides.values()) == {1} and all((b, a) in sides for a, b in sides)
+
+
+def test_blocks_go_to_all_tasks(spark):
+    """A few blocks make many voxels: they are dealt to as many tasks as the session names, however small their table is."""
+    h, w = 16, 32
+    ranges, poses = {v: np.full((h, w), 2.0) for v in range(2)}, {v: ((0.1 * v, 0.0, 0.0), np.eye(3)) for v in range(2)}
+    blocks = volume.reached(volume.band_blocks(*scene(spark, h, w, ranges, poses), h, w, 0.25, 0.5, 4), *scene(spark, h, w, ranges, poses), 0.25, 0.5, 4)
+    seen = volume.projected(blocks, h, w, 0.25, 4)
+    assert seen.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert seen.count() == blocks.count() * 64
