@@ -3,18 +3,22 @@
 A frame is (session, frame, ts, features): ids with their bearings, already matched by id.  It is tracked against the last
 keyframes of its session's map; if none of them fits, all others are asked (relocalisation); if none fits, it is lost.  A
 frame that has moved on far enough becomes a keyframe.  The map is state: at most ``most_keyframes`` of them, the oldest go;
-a timer in event time forgets a session that has been idle.  The batch runs the same steps with the map in memory.
+a timer in event time forgets a session that has been idle.  The batch runs the same steps with the map in memory, of many
+sessions at once: a step asks for its pairs of frames, and what all sessions of a task ask for is answered together.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import pose as P
@@ -68,64 +72,173 @@ def relative(a: np.ndarray, b: np.ndarray, o: Options) -> tuple[np.ndarray, np.n
     return r, t, int(good.sum()), float(np.median(moved))
 
 
+class Seen(NamedTuple):
+    """The features of a frame: ids in order, each once, and their bearings."""
+
+    ids: np.ndarray
+    bearings: np.ndarray
+
+
+class Keyframe(NamedTuple):
+    seen: Seen
+    pose: np.ndarray
+
+
+Pairs = list[tuple[Keyframe, Seen]]
+Steps = Generator[Pairs, list[tuple | None], Any]
+
+
+def _matched(pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, size): bearings of the features that both frames of a pair have, pair by pair, and how many each has."""
+    sides = [k.seen for k, _ in pairs], [seen for _, seen in pairs]
+    ids = [np.concatenate([s.ids for s in side]) for side in sides]
+    low, high = min((int(i.min()) for i in ids if len(i)), default=0), max((int(i.max()) for i in ids if len(i)), default=0)
+    span = high - low + 1
+    if span * len(pairs) < 2**62:
+        ids = [i - low for i in ids]
+    else:
+        named, place = np.unique(np.concatenate(ids), return_inverse=True)
+        ids, span = np.split(place, [len(ids[0])]), len(named)
+    keys = [np.repeat(np.arange(len(pairs)), [len(s.ids) for s in side]) * span + i for side, i in zip(sides, ids, strict=True)]
+    at = np.searchsorted(keys[1], keys[0])
+    both = np.flatnonzero(np.append(keys[1], -1)[at] == keys[0])
+    a, b = (np.concatenate([s.bearings for s in side]) for side in sides)
+    return a[both], b[at[both]], np.bincount(keys[0][both] // span, minlength=len(pairs))
+
+
+def relatives(pairs: Pairs, o: Options) -> list[tuple | None]:
+    """(inliers, matches, parallax, pose, yaw) of the frame of each pair by its keyframe, or None if the pair isn't admitted.
+
+    It is what ``relative`` tells of each pair.  Where the first rotation fits every match, further rounds would not change
+    it: those pairs are done together, in rows of like numbers of matches.  The others go one by one.
+    """
+    out: list[tuple | None] = [None] * len(pairs)
+    if not pairs:
+        return out
+    a, b, size = _matched(pairs)
+    start, wide = np.cumsum(size) - size, np.where(size >= o.least_matches, -(-size // 8) * 8, 0)
+    for width in np.unique(wide[wide > 0]):
+        own = np.flatnonzero(wide == width)
+        n, place, each = size[own], np.arange(width), np.arange(len(own))
+        held = place < n[:, None]
+        rows = np.where(held, start[own, None] + place, 0)
+        x, y = (m[rows] * held[:, :, None] for m in (a, b))
+        u, _, vt = np.linalg.svd(y.transpose(0, 2, 1) @ x)
+        u[:, :, 2] *= np.sign(np.linalg.det(u @ vt))[:, None]
+        turn = u @ vt
+        near = np.sort(np.where(held, ((x @ turn.transpose(0, 2, 1)) * y).sum(2), 2.0), axis=1)
+        far, one, other = (np.arccos(np.clip(near[each, k], -1, 1)) for k in (0, (n - 1) // 2, n // 2))
+        inliers, parallax = n.copy(), (one + other) / 2
+        for k in np.flatnonzero(~(far <= o.threshold)):
+            turn[k], _, inliers[k], parallax[k] = relative(x[k, : n[k]], y[k, : n[k]], o)
+        pose = turn @ np.array([pairs[k][0].pose for k in own])
+        yaw = np.arctan2(pose[:, 2, 0], pose[:, 2, 2])
+        told = zip(inliers.tolist(), n.tolist(), parallax.tolist(), pose, yaw.tolist(), strict=True)
+        for k, found in zip(own.tolist(), told, strict=True):
+            out[k] = found if found[0] >= o.least_inliers else None
+    return out
+
+
 class Map:
     """Keyframes by number, with what has been seen last; loads and stores plain values."""
 
     def __init__(self, keyframes: dict[int, tuple], last: tuple | None) -> None:
-        self.keyframes, self.gone, self.new = keyframes, set(), set()
+        self.keyframes, self.gone, self.new = {k: Keyframe(Seen(np.array(ids, np.int64), np.array(b, float).reshape(-1, 3)), np.array(pose, float).reshape(3, 3)) for k, (ids, b, pose) in keyframes.items()}, set(), set()
         self.last_at, self.last_key, self.key_at = last or (-math.inf, None, -math.inf)
 
-    def step(self, session: int, r: Any, o: Options) -> tuple:
-        """The output row of one frame, which may change the map."""
-        said = lambda state, key=False, ref=None, m=0, n=0, far=None, yaw=None, why="": (session, r.frame, state, key, ref, m, n, far, yaw, len(self.keyframes), why)
-        if r.at <= self.last_at:
+    def stored(self, number: int) -> tuple:
+        k = self.keyframes[number]
+        return k.seen.ids.tolist(), k.seen.bearings.ravel().tolist(), k.pose.ravel().tolist()
+
+    def step(self, session: int, frame: int, at: float, seen: Seen, o: Options) -> Steps:
+        """The output row of one frame, which may change the map; asks for pairs of a keyframe and the frame."""
+        said = lambda state, key=False, ref=None, m=0, n=0, far=None, yaw=None, why="": (session, frame, state, key, ref, m, n, far, yaw, len(self.keyframes), why)
+        if at <= self.last_at:
             return said("late", why="not after the last frame")
-        if r.at - self.last_at > o.idle_seconds:  # what the timer does to a stream's state, whenever it fires
+        if at - self.last_at > o.idle_seconds:  # what the timer does to a stream's state, whenever it fires
             self.gone |= set(self.keyframes)
             self.keyframes, self.last_key, self.key_at = {}, None, -math.inf
-        self.last_at = r.at
-        feature = {f["id"]: (f["x"], f["y"], f["z"]) for f in r.features if f["id"] is not None}
-        if len(feature) < o.least_features:
+        self.last_at = at
+        if len(seen.ids) < o.least_features:
             return said("lost", why="insufficient-features")
         if not self.keyframes:
-            self._keep(r, feature, np.eye(3), o)
+            self._keep(at, seen, np.eye(3), o)
             return said("initializing", True, yaw=0.0, why="world-anchor-created")
         order = sorted(self.keyframes, reverse=True)
         for state, some in (("tracking", order[: o.window]), ("relocalized", order[o.window :])):
-            made = [x for k in some if (x := self._against(k, feature, o))]
+            found = (yield [(self.keyframes[k], seen) for k in some]) if some else []
+            made = [(x[0], k, x) for k, x in zip(some, found, strict=True) if x]
             if made:
-                inliers, key, matches, turn, far = max(made, key=lambda x: (x[0], x[1]))
-                world = turn @ np.array(self.keyframes[key][2]).reshape(3, 3)
-                fresh = far >= o.least_parallax or r.at - self.key_at >= o.most_seconds or matches < o.least_overlap * len(feature) or state == "relocalized"
+                inliers, key, (_, matches, far, world, yaw) = max(made)
+                fresh = far >= o.least_parallax or at - self.key_at >= o.most_seconds or matches < o.least_overlap * len(seen.ids) or state == "relocalized"
                 if fresh:
-                    self._keep(r, feature, world, o)
-                return said(state, fresh, key, matches, inliers, round(far, 6), round(math.atan2(world[2, 0], world[2, 2]), 6))
+                    self._keep(at, seen, world, o)
+                return said(state, fresh, key, matches, inliers, round(far, 6), round(yaw, 6))
         return said("lost", why="no-admitted-reference")
 
-    def _against(self, key: int, feature: dict, o: Options) -> tuple | None:
-        ids, bearings, _ = self.keyframes[key]
-        both = [(k, i) for k, i in enumerate(ids) if i in feature]
-        if len(both) < o.least_matches:
-            return None
-        a = np.array(bearings).reshape(-1, 3)[[k for k, _ in both]]
-        turn, _, inliers, far = relative(a, np.array([feature[i] for _, i in both]), o)
-        return (inliers, key, len(both), turn, far) if inliers >= o.least_inliers else None
-
-    def _keep(self, r: Any, feature: dict, world: np.ndarray, o: Options) -> None:
+    def _keep(self, at: float, seen: Seen, world: np.ndarray, o: Options) -> None:
         number = 0 if self.last_key is None else self.last_key + 1
-        ids = sorted(feature)
-        self.keyframes[number] = (ids, [float(v) for i in ids for v in feature[i]], [float(v) for v in world.ravel()])
+        self.keyframes[number] = Keyframe(seen, world)
         self.new.add(number)
-        self.last_key, self.key_at = number, r.at
+        self.last_key, self.key_at = number, at
         while len(self.keyframes) > o.most_keyframes:
             old = min(self.keyframes)
             del self.keyframes[old]
             self.gone.add(old)
 
 
+def _sent(lane: Steps, answer: list[tuple | None] | None) -> Pairs | None:
+    """What a lane asks for next; None at its end."""
+    try:
+        return lane.send(answer)
+    except StopIteration:
+        return None
+
+
+def _together(lanes: list[Steps], o: Options) -> None:
+    """Runs steps of many sessions side by side; each waits only for what it has asked for."""
+    asked = [(lane, pairs) for lane in lanes if (pairs := _sent(lane, None)) is not None]
+    while asked:
+        answers = iter(relatives([pair for _, pairs in asked for pair in pairs], o))
+        asked = [(lane, more) for lane, pairs in asked if (more := _sent(lane, list(itertools.islice(answers, len(pairs))))) is not None]
+
+
+def _lane(session: int, frames: list[tuple[int, float, Seen]], held: Map, o: Options, out: list[tuple]) -> Steps:
+    for frame, at, seen in frames:
+        out.append((yield from held.step(session, frame, at, seen, o)))
+
+
+def listed(frames: pa.RecordBatch) -> list[Seen]:
+    """What each frame's features hold: those without id take no part; of several with one id the last stands."""
+    rows = frames.column("features")
+    count = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(rows)
+    of, ids = np.repeat(np.arange(len(count)), count), pc.struct_field(flat, "id")
+    named = ids.is_valid().to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bearings = np.stack([pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in "xyz"], axis=1)
+    if not named.all():
+        of, ids, bearings = of[named], ids[named], bearings[named]
+    if not ((of[1:] > of[:-1]) | (ids[1:] > ids[:-1])).all():
+        order = np.lexsort((ids, of))
+        order = order[np.append((np.diff(of[order]) != 0) | (np.diff(ids[order]) != 0), True)]
+        of, ids, bearings = of[order], ids[order], bearings[order]
+    ends = np.searchsorted(of, np.arange(len(count) + 1)).tolist()
+    return [Seen(ids[i:j], bearings[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _times(ts: pa.Array) -> np.ndarray:
+    """Seconds; null is before all others."""
+    return pc.fill_null(ts.cast(pa.timestamp("us", ts.type.tz)).cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False) / 1e6
+
+
 def _rows(session: int, frames: pd.DataFrame, held: Map, o: Options) -> pd.DataFrame:
     frames = frames.assign(at=frames["ts"].astype("datetime64[us]").astype("int64") / 1e6).sort_values(["at", "frame"])
-    return pd.DataFrame([held.step(session, r, o) for r in frames.itertuples()], columns=_NAMES).astype({"reference": "Int64", "parallax": "Float64", "yaw": "Float64"})
+    feature = [{f["id"]: (f["x"], f["y"], f["z"]) for f in some if f["id"] is not None} for some in frames["features"]]
+    seen = [Seen(np.array(ids := sorted(f), np.int64), np.array([f[i] for i in ids], float).reshape(-1, 3)) for f in feature]
+    out: list[tuple] = []
+    _together([_lane(session, list(zip(frames["frame"], frames["at"], seen, strict=True)), held, o, out)], o)
+    return pd.DataFrame(out, columns=_NAMES).astype({"reference": "Int64", "parallax": "Float64", "yaw": "Float64"})
 
 
 class Tracker(StatefulProcessor):
@@ -144,7 +257,7 @@ class Tracker(StatefulProcessor):
         held = Map(dict(stored), tuple(self.last.get()) if self.last.exists() else None)
         out = _rows(key[0], pd.concat(list(rows)), held, self.options)
         for number in held.new & set(held.keyframes):
-            self.keyframes.updateValue((number,), held.keyframes[number])
+            self.keyframes.updateValue((number,), held.stored(number))
         for number in (held.gone & set(stored)) - set(held.keyframes):
             self.keyframes.removeKey((number,))
         if held.last_key is not None:
@@ -169,6 +282,45 @@ def track(frames: DataFrame, options: Options = Options()) -> DataFrame:  # noqa
     return watched.groupBy("session").transformWithStateInPandas(Tracker(options), OUT, "Append", "EventTime")
 
 
-def replay(frames: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """The same rows from a batch; the frames of a session follow one another, so a task holds a session."""
-    return frames.groupBy("session").applyInPandas(lambda key, rows: _rows(key[0], rows, Map({}, None), options), OUT)
+#: Frames whose sessions run side by side in a task.
+TOGETHER = 32768
+_SCHEMA = pa.schema([("session", pa.int64()), ("frame", pa.int64()), ("state", pa.string()), ("keyframe", pa.bool_()), ("reference", pa.int64()), ("matches", pa.int32()), ("inliers", pa.int32()), ("parallax", pa.float64()), ("yaw", pa.float64()), ("keyframes", pa.int32()), ("reason", pa.string())])
+
+
+def replay(frames: DataFrame, options: Options = Options(), features: Callable[[pa.RecordBatch], list[Seen]] = listed, together: int = TOGETHER) -> DataFrame:  # noqa: B008
+    """The same rows from a batch; the frames of a session follow one another, so a task has a session's frames in order.
+
+    A task holds ``together`` frames, a batch more, and the map of the session that goes on beyond them.  ``features`` tells
+    what the frames of a batch have seen; where it makes that of other columns, only those are dealt out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[Any, Map] = None, Map({}, None)
+        for part in _gathered(batches, together):
+            sessions, lanes, outs = part.column("session").to_pylist(), [], []
+            steps = list(zip(part.column("frame").to_pylist(), _times(part.column("ts")).tolist(), features(part), strict=True))
+            starts = [k for k, s in enumerate(sessions) if k == 0 or s != sessions[k - 1]]
+            for i, j in zip(starts, [*starts[1:], len(sessions)], strict=True):
+                held = last[1] if i == 0 and last[0] == (sessions[0],) else Map({}, None)
+                outs.append([])
+                lanes.append(_lane(sessions[i], steps[i:j], held, options, outs[-1]))
+                last = (sessions[i],), held
+            _together(lanes, options)
+            columns = zip(*[row for out in outs for row in out], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frames.repartition(tasks, "session").sortWithinPartitions("session", "ts", F.asc_nulls_last("frame"))
+    return dealt.mapInArrow(run, OUT)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if sum(map(len, held)):
+        yield pa.concat_batches(held)

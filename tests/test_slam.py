@@ -86,3 +86,60 @@ def test_pairs_of_frames():
     assert inliers >= 31 and math.acos(min(1.0, (np.trace(turn @ r.T) - 1) / 2)) < 0.02 and far > 0.02 and np.linalg.norm(t) > 0.9
     turn, t, inliers, _ = slam.relative(a, a @ r.T, slam.Options())
     assert inliers == 40 and np.allclose(turn, r) and not t.any()
+
+
+def test_sessions_run_side_by_side(spark, monkeypatch):
+    """Frames of all sessions are answered in as many rounds as one session needs; cut anywhere, sessions give the same rows."""
+    rows = [r for s in range(1, 25) for r in world(s)]
+    frames = spark.createDataFrame(rows, FRAMES)
+    whole = told(slam.replay(frames, slam.Options(window=2)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    cut = told(slam.replay(frames, slam.Options(window=2), together=4))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole == cut and len(whole) == len(rows)
+    rounds, answer = [], slam.relatives
+    monkeypatch.setattr(slam, "relatives", lambda pairs, o: rounds.append(len(pairs)) or answer(pairs, o))
+    lanes, out = [], []
+    for s in range(1, 25):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: r[2])
+        seen = [slam.Seen(np.array([f[0] for f in r[3]]), np.array([f[1:] for f in r[3]])) for r in own]
+        lanes.append(slam._lane(s, [(r[1], r[2].timestamp(), x) for r, x in zip(own, seen, strict=True)], slam.Map({}, None), slam.Options(window=2), out))
+    slam._together(lanes, slam.Options(window=2))
+    assert len(out) == len(rows) and len([n for n in rounds if n]) <= 2 * 15 and max(rounds) >= 2 * 24
+
+
+def test_pairs_answered_together():
+    """Pairs of any sizes, some with wrong matches, some with ids far apart, give what each gives alone."""
+    rng, o = np.random.default_rng(7), slam.Options()
+    pairs = []
+    for k in range(40):
+        n = int(rng.integers(0, 60))
+        ids = np.sort(rng.choice(100, n, replace=False)).astype(np.int64) * (2**55 if k == 3 else 1)
+        a = rng.normal(size=(n, 3))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = a @ pose._turned(rng.normal(size=3)).T
+        b[: n // 4 if k % 3 == 0 else 0] *= -1
+        keep = rng.random(n) < 0.9
+        pairs.append((slam.Keyframe(slam.Seen(ids, a), pose._turned(rng.normal(size=3))), slam.Seen(ids[keep], b[keep])))
+    for (key, seen), got in zip(pairs, slam.relatives(pairs, o), strict=True):
+        both = np.isin(key.seen.ids, seen.ids)
+        if both.sum() < o.least_matches:
+            assert got is None
+            continue
+        turn, _, inliers, far = slam.relative(key.seen.bearings[both], seen.bearings, o)
+        assert (got is None) == (inliers < o.least_inliers)
+        if got:
+            assert got[:2] == (inliers, both.sum()) and abs(got[2] - far) < 1e-7 and np.allclose(got[3], turn @ key.pose)
+    assert slam.relatives([], o) == []
+
+
+def test_odd_frames(spark):
+    """Features without id, ids seen twice and frames without features."""
+    _, _, at, features = world()[0]
+    import datetime as dt
+
+    twice = [(None, 0.0, 0.0, 1.0), *features[::-1], *[(i, 0.0, 0.0, 1.0) for i, *_ in features[:3]]]
+    rows = [(1, 0, at, features), (1, 1, at + dt.timedelta(seconds=1), twice), (1, 2, at + dt.timedelta(seconds=2), []), (None, 3, at, features), (None, 4, at + dt.timedelta(seconds=1), features)]
+    got = told(slam.replay(spark.createDataFrame(rows, FRAMES)))
+    assert (got[1, 1].state, got[1, 1].matches, got[1, 1].inliers) == ("tracking", 40, 37)
+    assert got[1, 2].state == "lost" and (got[None, 3].state, got[None, 4].state) == ("initializing", "tracking")
