@@ -4,6 +4,7 @@ Observations are (scene, camera, landmark, bx, by, bz, w), cameras (scene, camer
 matrix turning world into camera directions, landmarks (scene, landmark, x, y, z).  The reduced system is never formed: a
 product with it is one sum by landmark and one by camera over the observations, so neither the cameras of a landmark nor
 those of a scene meet in pairs or in one task.  All scenes are solved in the same jobs, each with its own damping and step.
+A scene of few rows has its sums in one task, without rounds: the same steps over arrays of many such scenes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.lineage import written
@@ -52,6 +55,14 @@ def residuals(bearing: np.ndarray, centre: np.ndarray, matrix: np.ndarray, spot:
     return e, np.concatenate([-slope @ _skews(seen), -by_spot], axis=2), by_spot
 
 
+def weighted(e: np.ndarray, jc: np.ndarray, jl: np.ndarray, w: np.ndarray, fixed: np.ndarray, huber: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(jc, jl, e, cost): residuals and derivatives by the roots of their weights; a fixed camera doesn't move."""
+    size = np.linalg.norm(e, axis=1)
+    root = np.sqrt(w * np.minimum(1.0, huber / np.maximum(size, 1e-300)))[:, None]
+    cost = w * np.where(size <= huber, size**2, 2 * huber * size - huber**2)
+    return np.where(fixed[:, None, None], 0.0, jc) * root[:, :, None], jl * root[:, :, None], e * root, cost
+
+
 def linearised(observations: DataFrame, cameras: DataFrame, landmarks: DataFrame, huber: float) -> DataFrame:
     """(scene, camera, landmark, jc, jl, e, cost) of every observation, weighted; a fixed camera doesn't move."""
     kinds = dict(observations.dtypes)
@@ -61,13 +72,9 @@ def linearised(observations: DataFrame, cameras: DataFrame, landmarks: DataFrame
         for b in batches:
             take = lambda cols: b[cols].to_numpy(float)  # noqa: B023, E731
             e, jc, jl = residuals(take(["bx", "by", "bz"]), take(CENTRE), take(MATRIX).reshape(-1, 3, 3), take(["x", "y", "z"]))
-            size = np.linalg.norm(e, axis=1)
-            near = np.minimum(1.0, huber / np.maximum(size, 1e-300))
-            w = np.sqrt(take(["w"])[:, 0] * near)[:, None]
-            cost = take(["w"])[:, 0] * np.where(size <= huber, size**2, 2 * huber * size - huber**2)
-            jc = np.where(b["fixed"].to_numpy(bool)[:, None, None], 0.0, jc)
+            jc, jl, e, cost = weighted(e, jc, jl, take(["w"])[:, 0], b["fixed"].to_numpy(bool), huber)
             out = b[names].copy()
-            out["jc"], out["jl"], out["e"] = list((jc * w[:, :, None]).reshape(-1, 12)), list((jl * w[:, :, None]).reshape(-1, 6)), list(e * w)
+            out["jc"], out["jl"], out["e"] = list(jc.reshape(-1, 12)), list(jl.reshape(-1, 6)), list(e)
             yield out.assign(cost=cost)
 
     met = observations.join(cameras, _CAMERA).join(landmarks, _LANDMARK)
@@ -155,12 +162,159 @@ def _moved(cameras: DataFrame, steps: DataFrame) -> DataFrame:
     return stepped.select(*names, "x").mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
-def adjust(observations: DataFrame, cameras: DataFrame, landmarks: DataFrame, outer: int = 4, inner: int = 6, huber: float = math.radians(1.0), damping: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame]:
+class _Scenes:
+    """Some scenes at once: observations with the places of their scene, camera and landmark, and sums over them as arrays."""
+
+    def __init__(self, scene: np.ndarray, camera: np.ndarray, landmark: np.ndarray, bearing: np.ndarray, w: np.ndarray, of_camera: np.ndarray, of_landmark: np.ndarray, fixed: np.ndarray, many: int) -> None:
+        self.scene, self.camera, self.landmark, self.bearing, self.w = scene, camera, landmark, bearing, w
+        self.of_camera, self.of_landmark, self.fixed, self.many = of_camera, of_landmark, fixed, many
+
+    def linear(self, centre: np.ndarray, matrix: np.ndarray, spot: np.ndarray, huber: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """jc (2, 6, n), jl (2, 3, n), e (2, n) and costs of all observations."""
+        e, jc, jl = residuals(self.bearing, centre[self.camera], matrix[self.camera], spot[self.landmark])
+        jc, jl, e, cost = weighted(e, jc, jl, self.w, self.fixed[self.camera], huber)
+        return np.ascontiguousarray(jc.transpose(1, 2, 0)), np.ascontiguousarray(jl.transpose(1, 2, 0)), np.ascontiguousarray(e.T), cost
+
+    def steps(self, jc: np.ndarray, jl: np.ndarray, e: np.ndarray, damping: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
+        """What ``camera_steps`` does: (x, shift), the steps of the cameras and of the landmarks, as columns."""
+        by_camera = lambda u: _added(self.camera, [jc[0, k] * u[0] + jc[1, k] * u[1] for k in range(6)], len(self.of_camera))
+        by_landmark = lambda u: _added(self.landmark, [jl[0, k] * u[0] + jl[1, k] * u[1] for k in range(3)], len(self.of_landmark))
+        left = lambda u, z: [u[r] - sum(jl[r, k] * z[k][self.landmark] for k in range(3)) for r in range(2)]
+        along = lambda p: [sum(jc[r, k] * p[k][self.camera] for k in range(6)) for r in range(2)]
+        of_scene = lambda a, b: np.bincount(self.of_camera, (a * b).sum(0), self.many)[self.of_camera]
+        block = _added(self.landmark, [jl[0, i] * jl[0, j] + jl[1, i] * jl[1, j] for i in range(3) for j in range(i, 3)], len(self.of_landmark))
+        block[[0, 3, 5]] *= 1 + damping[self.of_landmark]
+        inverse = _inverses(block)
+        own = _added(self.camera, [jc[0, k] ** 2 + jc[1, k] ** 2 for k in range(6)], len(self.of_camera))
+        scaled = lambda r: np.divide(r, own, out=np.zeros_like(r), where=own > 0)
+        rate_of = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+        r = -by_camera(left(e, _applied(inverse, by_landmark(e))))
+        z, x = scaled(r), np.zeros_like(r)
+        p = z
+        for _ in range(inner):
+            u = along(p)
+            q = by_camera(left(u, _applied(inverse, by_landmark(u)))) + damping[self.of_camera] * own * p
+            rz = of_scene(r, z)
+            rate = rate_of(rz, of_scene(p, q))
+            x, r = x + rate * p, r - rate * q
+            z = scaled(r)
+            p = z + rate_of(of_scene(r, z), rz) * p
+        after = along(x)
+        return x, _applied(inverse, by_landmark([e[k] + after[k] for k in range(2)]))
+
+    def adjusted(self, centre: np.ndarray, matrix: np.ndarray, spot: np.ndarray, outer: int, inner: int, huber: float, damping: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(centre, matrix, spot, before, after) as ``adjust`` has them."""
+        *lin, cost = self.linear(centre, matrix, spot, huber)
+        before = now = np.bincount(self.scene, cost, self.many)
+        held = np.full(self.many, damping)
+        for _ in range(outer):
+            x, shift = self.steps(*lin, held, inner)
+            x = np.where(self.fixed, 0.0, x).T
+            tried = centre + x[:, 3:], turned(x[:, :3]) @ matrix, spot - shift.T
+            *new, cost = self.linear(*tried, huber)
+            then = np.bincount(self.scene, cost, self.many)
+            better = then < now
+            now, held = np.where(better, then, now), np.where(better, held / 10, held * 10)
+            c, m, o = better[self.of_camera], better[self.of_landmark], better[self.scene]
+            centre, matrix, spot = np.where(c[:, None], tried[0], centre), np.where(c[:, None, None], tried[1], matrix), np.where(m[:, None], tried[2], spot)
+            lin = new if o.all() else [np.where(o, a, b) for a, b in zip(new, lin, strict=True)]
+        return centre, matrix, spot, before, now
+
+
+def _added(place: np.ndarray, columns: list[np.ndarray], many: int) -> np.ndarray:
+    return np.stack([np.bincount(place, c, many) for c in columns])
+
+
+def _inverses(m: np.ndarray) -> np.ndarray:
+    """``_inverse`` of columns of upper triangles."""
+    a, b, c, d, e, f = m
+    minors = np.stack([d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b])
+    det = a * minors[0] + b * minors[1] + c * minors[2]
+    return np.divide(minors, det, out=np.zeros_like(minors), where=np.abs(det) > 1e-30)
+
+
+def _applied(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    a, b, c, d, e, f = m
+    return np.stack([a * v[0] + b * v[1] + c * v[2], b * v[0] + d * v[1] + e * v[2], c * v[0] + e * v[1] + f * v[2]])
+
+
+def _places(scene: np.ndarray, name: pa.Array, of: np.ndarray, known: pa.Array) -> np.ndarray:
+    """Where the known things of a scene have a name; -1 where it isn't known."""
+    codes = pa.concat_arrays([known, name]).dictionary_encode().indices
+    codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    span = int(codes.max(initial=0)) + 1
+    key, want = of * span + codes[: len(known)], scene * span + codes[len(known) :]
+    key[codes[: len(known)] < 0], want[codes[len(known) :] < 0] = -2, -1
+    order = np.argsort(key, kind="stable")
+    at = np.searchsorted(key[order], want)
+    found = np.append(order, -1)[at]
+    return np.where(np.append(key[order], -2)[at] == want, found, -1)
+
+
+_CAM, _SPOT = [*CENTRE, *MATRIX], ["x", "y", "z"]
+
+
+def _solved(batch: pa.RecordBatch, outer: int, inner: int, huber: float, damping: float) -> pa.RecordBatch:
+    """The scenes of a batch, a row each, after adjustment."""
+    many = {k: pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False) for k in "ocm"}
+    of = {k: np.repeat(np.arange(len(batch)), n) for k, n in many.items()}
+    flat = {k: batch.column(k).flatten() for k in "ocm"}
+    take = lambda k, names: np.stack([flat[k].field(n).to_numpy(zero_copy_only=False) for n in names], axis=1).astype(float)
+    camera, landmark = (_places(of["o"], flat["o"].field(n), of[k], flat[k].field(n)) for k, n in (("c", "camera"), ("m", "landmark")))
+    known = (camera >= 0) & (landmark >= 0) & batch.column("scene").is_valid().to_numpy(zero_copy_only=False)[of["o"]]
+    seen, fixed = take("o", ["bx", "by", "bz", "w"])[known], pc.fill_null(flat["c"].field("fixed"), False).to_numpy(zero_copy_only=False)
+    some = _Scenes(of["o"][known], camera[known], landmark[known], seen[:, :3], seen[:, 3], of["c"], of["m"], fixed, len(batch))
+    cams = take("c", _CAM)
+    centre, matrix, spot, before, after = some.adjusted(cams[:, :3], cams[:, 3:].reshape(-1, 3, 3), take("m", _SPOT), outer, inner, huber, damping)
+    told = {"c": dict(zip(_CAM, np.hstack([centre, matrix.reshape(-1, 9)]).T, strict=True)), "m": dict(zip(_SPOT, spot.T, strict=True))}
+    lists = []
+    for k in "cm":
+        names = [f.name for f in flat[k].type]
+        made = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(told[k][n])) if n in told[k] else flat[k].field(n) for n in names], names)
+        lists.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(many[k])).astype(np.int32), made))
+    none = np.bincount(of["o"][known], minlength=len(batch)) == 0
+    return pa.RecordBatch.from_arrays([batch.column("scene"), *lists, *[pa.array(v, mask=none) for v in (before, after)]], ["scene", "c", "m", "before", "after"])
+
+
+def _adjusted_small(observations: DataFrame, cameras: DataFrame, landmarks: DataFrame, outer: int, inner: int, huber: float, damping: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``adjust`` gives for scenes that a task can hold: each is gathered once, and a task solves many side by side."""
+    cols = {"o": ["camera", "landmark", "bx", "by", "bz", "w"], "c": ["camera", *_CAM, "fixed"], "m": ["landmark", *_SPOT]}
+    tables = {"o": observations, "c": cameras, "m": landmarks}
+    tagged = [df.select("scene", F.struct(*cols[k]).alias(k)) for k, df in tables.items()]
+    met = tagged[0].unionByName(tagged[1], True).unionByName(tagged[2], True).groupBy("scene").agg(*[F.collect_list(k).alias(k) for k in "ocm"])
+    kind = lambda k: f"array<struct<{', '.join(f'{n}: {t}' for n, t in tables[k].select(*cols[k]).dtypes)}>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.list_value_length(batch.column("o")).to_numpy(zero_copy_only=False)) // 16384
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(batch)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j:
+                    yield _solved(batch.slice(i, j - i), outer, inner, huber, damping)
+
+    done = written(met.mapInArrow(run, f"scene {dict(observations.dtypes)['scene']}, c {kind('c')}, m {kind('m')}, before double, after double"))
+    return done.select("scene", F.inline("c")), done.select("scene", F.inline("m")), done.where("before IS NOT NULL").select("scene", "before", "after")
+
+
+def adjust(observations: DataFrame, cameras: DataFrame, landmarks: DataFrame, outer: int = 4, inner: int = 6, huber: float = math.radians(1.0), damping: float = 1e-4, rows: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cameras, landmarks, scenes) after ``outer`` damped steps; scenes are (scene, before, after), the robust costs.
 
     A scene takes a step only if its cost falls, and is damped less then and more otherwise.  Observations without their
-    camera or landmark take no part; what none of them sees stays where it is.
+    camera or landmark take no part; what none of them sees stays where it is.  Scenes of up to ``rows`` observations, cameras
+    and landmarks are solved in one pass, larger ones by rounds over tables.
     """
+    given = [written(df) for df in (observations, cameras, landmarks)]
+    told = [df.select("scene") for df in given]
+    large = written(told[0].unionByName(told[1]).unionByName(told[2]).groupBy("scene").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).select("scene"))
+    if large.isEmpty():
+        return _adjusted_small(*given, outer, inner, huber, damping)
+    apart = lambda how: [df.join(large, df["scene"].eqNullSafe(large["scene"]), how) for df in given]
+    both = zip(_adjusted_small(*apart("left_anti"), outer, inner, huber, damping), _adjusted_large(*apart("left_semi"), outer, inner, huber, damping), strict=True)
+    return tuple(a.unionByName(b) for a, b in both)
+
+
+def _adjusted_large(observations: DataFrame, cameras: DataFrame, landmarks: DataFrame, outer: int, inner: int, huber: float, damping: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``adjust`` gives for scenes of any size, by sums over tables."""
     observations, cameras, landmarks = (written(df) for df in (observations, cameras, landmarks))
     of = lambda lin, name: lin.groupBy("scene").agg(F.sum("cost").alias(name))
     lin = written(linearised(observations, cameras, landmarks, huber))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..operators import bundle as B, pose as P
-from ..sources.lineage import checkpointed
+from ..sources.lineage import checkpointed, written
 from ..sources.tables import read
 from .area import r
 
@@ -62,9 +62,13 @@ def scenes(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Bearings are those of planted cameras and landmarks; the first two cameras are known.
     """
-    seen = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("scene"), (F.col("l_linenumber") % 4 + 1).cast("long").alias("camera"), (F.col("l_partkey") % 40).alias("landmark")).distinct()
-    often = seen.groupBy("scene", "landmark").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
-    seen = seen.join(often, ["scene", "landmark"])
+    items = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("scene"), (F.col("l_linenumber") % 4 + 1).cast("long").alias("camera"), (F.col("l_partkey") % 40).alias("landmark"))
+    # the cameras of a landmark as bits: -2 to 4 from the second on, null as the first
+    bit = F.call_function("shiftleft", F.lit(1), F.coalesce(F.col("camera") + 3, F.lit(0)).cast("int"))
+    often = written(items.groupBy("scene", "landmark").agg(F.bit_or(bit).alias("bits")).where(F.bit_count("bits") >= 3))
+    told = lambda df, *names: df.select(*names, F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit("bits", k) == 1)).alias("k")).select(*names, F.when(F.col("k") > 0, F.col("k") - 3).cast("long").alias("camera"))
+    met = often.where("scene IS NOT NULL AND landmark IS NOT NULL")
+    seen = told(met, "scene", "landmark")
     c, m = F.col("camera"), F.col("landmark")
     share = lambda k: F.pmod(m * k, F.lit(1.0))
     far = 4 + (m % 5) * 0.5
@@ -79,7 +83,7 @@ def scenes(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     bearings = seen_at.withColumn("n", size).select("scene", "camera", "landmark", *[(F.col(f"b{k}") / F.col("n")).alias(f"b{k}") for k in "xyz"], F.lit(1.0).alias("w"))
     free = F.when(c > 2, 1.0).otherwise(0.0)
     guess = turn(c * 0.2 + free * 0.01)
-    cameras = seen.select("scene", "camera").distinct().withColumn("c", centre).select("scene", "camera", *[(F.col("c")[k] + free * 0.05 * F.sin(c * f)).alias(f"c{k}") for k, f in (("x", 1.3), ("y", 2.1), ("z", 0.7))], *[guess[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], (c <= 2).alias("fixed"))
+    cameras = told(met.groupBy("scene").agg(F.bit_or("bits").alias("bits")), "scene").withColumn("c", centre).select("scene", "camera", *[(F.col("c")[k] + free * 0.05 * F.sin(c * f)).alias(f"c{k}") for k, f in (("x", 1.3), ("y", 2.1), ("z", 0.7))], *[guess[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], (c <= 2).alias("fixed"))
     landmarks = often.withColumn("s", spot).select("scene", "landmark", *[(F.col("s")[k] * (1 + 0.03 * F.cos(m)) + 0.05).alias(k) for k in "xyz"])
     return bearings, cameras, landmarks
 

@@ -89,3 +89,36 @@ def test_planted_scenes(spark):
         assert np.allclose([r[n] for n in bundle.CENTRE], truth[1][c], atol=1e-3) and np.allclose([r[n] for n in bundle.MATRIX], truth[0][c].ravel(), atol=1e-3)
     spots = {r.landmark: (r.x, r.y, r.z) for r in landmarks.where("scene = 'clean'").collect()}
     assert all(np.allclose(spots[m], truth[2][m], atol=5e-3) for m in range(25))
+
+
+def test_small_and_large_scenes_agree(spark):
+    """A scene of few rows is solved in one pass, a larger one by rounds over tables: the same steps."""
+    rng = np.random.default_rng(3)
+    _, obs, cams, lands = planted(rng, "a", 4, 12, 1e-3)
+    twin = lambda rows: [("b", *r[1:]) for r in rows]
+    odd = [("a", 9, 0, 1.0, 0.0, 0.0, 1.0), ("a", None, 0, 1.0, 0.0, 0.0, 1.0), (None, 2, 0, 1.0, 0.0, 0.0, 1.0)]  # no such camera
+    unseen = [(None, 2, 0.0, 0.0, 0.0, *np.eye(3).ravel().tolist(), False)]
+    more = [("b", k, 7, 1.0, 0.0, 0.0, 1.0) for k in range(100, 120)]  # makes b the larger one
+    frames = spark.createDataFrame(obs + twin(obs) + odd + more, OBS), spark.createDataFrame(cams + twin(cams) + unseen, CAM), spark.createDataFrame(lands + twin(lands), MARK)
+    cameras, landmarks, scenes = bundle.adjust(*frames, outer=1, inner=2, rows=len(obs) + len(cams) + len(lands) + len(odd))
+    told = {r.scene: r for r in scenes.collect()}
+    assert set(told) == {"a", "b"} and told["a"].after < 0.5 * told["a"].before
+    assert np.allclose([told["a"].before, told["a"].after], [told["b"].before, told["b"].after], rtol=1e-9)
+    for df, key, cols in ((cameras, "camera", [*bundle.CENTRE, *bundle.MATRIX]), (landmarks, "landmark", ["x", "y", "z"])):
+        got = {(r.scene, r[key]): [r[c] for c in cols] for r in df.collect()}
+        known = [k for s, k in got if s == "a"]
+        assert len(known) == (4 if key == "camera" else 12) and len(got) == 2 * len(known) + (key == "camera")
+        assert all(np.allclose(got["a", k], got["b", k], atol=1e-9) for k in known)
+        assert key != "camera" or got[None, 2] == [0.0, 0.0, 0.0, *np.eye(3).ravel()]
+
+
+def test_small_scenes_take_few_jobs(spark):
+    """Rounds over tables write some twenty tables for a single step."""
+    rng = np.random.default_rng(4)
+    _, obs, cams, lands = planted(rng, "a", 3, 8)
+    frames = spark.createDataFrame(obs, OBS), spark.createDataFrame(cams, CAM), spark.createDataFrame(lands, MARK)
+    spark.sparkContext.setJobGroup("bundle", "bundle")
+    cameras, _, _ = bundle.adjust(*frames)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("bundle"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert cameras.count() == 3 and jobs <= 12, jobs
